@@ -2,13 +2,17 @@
 
 A plain ``Window.partitionBy(key).orderBy(pos)`` sends every row of a key to
 one task, so a key that holds a third of the table is scanned by one core.
-``running`` instead range-partitions on ``(key, order)``: a hot key is cut
-into several contiguous chunks, each chunk is scanned by its own task, and the
-chunks of a key are stitched with a carry computed from per-chunk totals.
-
-Only keys that sit on a chunk boundary can span chunks (each boundary cuts at
-most one key), so the carry table has at most ``3 * chunks`` rows and is
-broadcast by construction.
+``running`` cuts the ordered table ``(key, order)`` into contiguous chunks of
+about equal size, scans each chunk in its own task, and stitches the chunks of
+a key with a carry computed from per-chunk totals.
+
+Chunk boundaries are a deterministic function of the data: sort keys are
+sampled by hash (not by a seeded random sampler, whose seed changes between
+executions), and a row's chunk is found by a binary-search ``CASE`` on its
+sort key.  Every branch of the plan, and every re-execution after a lost
+executor, therefore assigns a row to the same chunk.  Only keys that sit on a
+chunk boundary can span chunks, so the carry table has at most ``3 * chunks``
+rows and is broadcast by construction.
 """
 
 from __future__ import annotations
@@ -23,6 +27,48 @@ from ..session import shuffle_partitions
 _OPS = ("sum", "min", "max", "last")
 
 
+def _sample_bounds(df: DataFrame, cols: list[str], n: int, per_chunk: int = 20) -> list:
+    """``n - 1`` sort-key boundaries from a hash sample of about ``per_chunk * n`` rows."""
+    keys = df.select(*cols)
+    total = keys.count()
+    k = max(1, total // max(1, per_chunk * n))
+    sample = keys
+    if k > 1:
+        sample = keys.where(F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(k)) == 0)
+    rows = sample.orderBy(*cols).collect()
+    if len(rows) < 2 or n < 2:
+        return []
+    picks = [rows[(i * len(rows)) // n] for i in range(1, n)]
+    out, seen = [], set()
+    for r in picks:
+        t = tuple(r)
+        if t not in seen:
+            seen.add(t)
+            out.append(t)
+    return out
+
+
+def chunk_of(df: DataFrame, cols: list[str], n: int) -> Column:
+    """Deterministic chunk number (0..n-1) of each row in ``cols`` order."""
+    bounds = _sample_bounds(df, cols, n)
+    if not bounds:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+
+    def lit_key(b):
+        return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(cols, b))])
+
+    def tree(lo: int, hi: int) -> Column:
+        # number of bounds <= key, knowing it lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < lit_key(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
 def _agg(op: str, c: Column, order_struct: Column | None = None) -> Column:
     if op == "sum":
         return F.sum(c)
@@ -63,8 +109,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     tmp = {name: f"__run_in_{i}" for i, name in enumerate(aggs)}
     order_struct = F.struct(*[F.col(o) for o in order])
     base = df.select("*", *[expr.alias(tmp[name]) for name, (op, expr) in aggs.items()])
-    rp = base.repartitionByRange(n, *by, *order).withColumn("__chunk", F.spark_partition_id())
-
+    rp = base.withColumn("__chunk", chunk_of(df, by + order, n))
     hi = Window.currentRow if not exclusive else -1
     w = (Window.partitionBy(*by, "__chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, hi))

@@ -38,3 +38,75 @@ SELECT terms.term, count(m.l_orderkey) AS n_sigs
 FROM terms LEFT JOIN m ON m.term = terms.term
 GROUP BY terms.term
 """
+
+ORACLE["seq_split"] = """
+WITH r AS (
+  SELECT user_id, event_id, ts, event_type = 'error' AS d,
+         sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nd
+  FROM events),
+st AS (SELECT user_id, nd AS seg, count(*) AS n_items,
+              first(event_id ORDER BY ts, event_id) AS first_event_id,
+              last(event_id ORDER BY ts, event_id) AS last_event_id
+       FROM r WHERE NOT d GROUP BY user_id, nd),
+k AS (SELECT user_id, nd - 1 AS seg FROM r WHERE d UNION SELECT user_id, seg FROM st)
+SELECT k.user_id, k.seg, coalesce(st.n_items, 0) AS n_items, st.first_event_id, st.last_event_id
+FROM k LEFT JOIN st ON st.user_id = k.user_id AND st.seg = k.seg
+"""
+
+ORACLE["seq_nesting"] = """
+SELECT user_id, event_id, depth, depth = 0 AS balanced FROM (
+  SELECT user_id, event_id,
+         sum(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS depth
+  FROM events)
+"""
+
+ORACLE["seq_first"] = """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT user_id, first(event_id ORDER BY ts, event_id) AS first_purchase_id, min(pos) AS first_purchase_pos
+FROM e WHERE event_type = 'purchase' GROUP BY user_id
+"""
+
+ORACLE["seq_run"] = """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT user_id, coalesce(min(pos) FILTER (WHERE NOT coalesce(event_type <> 'error', false)), count(*)) AS run
+FROM e GROUP BY user_id
+"""
+
+ORACLE["seq_prev"] = """
+WITH e AS (
+  SELECT user_id, event_id, event_type,
+         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type,
+         sum(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS depth
+  FROM events)
+SELECT user_id, event_id, prev_type,
+       coalesce(prev_type = 'view' AND event_type = 'purchase', false) AS view_purchase,
+       coalesce(prev_type = 'view' AND event_type = 'purchase' AND depth > 0, false) AS nested_view_purchase
+FROM e
+"""
+
+ORACLE["array_ops"] = """
+SELECT vec_id,
+       len(embedding) AS n,
+       len(list_filter(embedding, lambda x: x < 0)) AS n_neg,
+       list_position(list_transform(embedding, lambda x: x < 0), true) - 1 AS first_neg_idx,
+       coalesce(list_position(list_transform(embedding, lambda x: NOT (x >= 0)), true) - 1, len(embedding)) AS lead_nonneg,
+       len(list_concat(embedding[2:4], [embedding[-1]])) AS n_cut,
+       embedding[-1] > embedding[1] AS last_gt_first,
+       len(list_filter(embedding, lambda x: x > 0.9)) > 0 AS any_high,
+       len(list_filter(embedding, lambda x: NOT (abs(x) < 1))) = 0 AS all_unit,
+       list_contains(list_transform(embedding, lambda x: x > 0), true) AS has_pos
+FROM embeddings
+"""
+
+ORACLE["flatten"] = """
+WITH w AS (
+  SELECT doc_id, flatten(list_transform(string_split(text, chr(10)),
+                                        lambda l: list_filter(string_split(l, ' '), lambda x: x <> ''))) AS w
+  FROM documents)
+SELECT doc_id, len(w) AS n_words, w[1] AS first_word, w[-1] AS last_word,
+       array_to_string(w[1:3], ' ') AS head
+FROM w
+"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import multiset
+from ..operators import multiset, sequence
 from .tables import Tables
 
 
@@ -38,4 +38,80 @@ def sig_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.mention_counts(parts, terms)
 
 
-REGISTERED = ["sig_exact", "sig_related", "sig_contains"]
+# ------------------------------------------------------------------ sequences
+_EV_BY, _EV_ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def seq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1: each user's events split at ``error`` events (delimiter dropped)."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    return sequence.segments(ev, _EV_BY, _EV_ORDER, F.col("event_type") == "error", "event_id")
+
+
+def seq_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: nesting depth with ``signup`` opening and ``purchase`` closing."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    d = sequence.nesting_depth(ev, _EV_BY, _EV_ORDER, F.col("event_type") == "signup",
+                               F.col("event_type") == "purchase")
+    return d.select("user_id", "event_id", "depth",
+                    sequence.balanced(F.col("depth")).alias("balanced"))
+
+
+def seq_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2/Q3: each user's first ``purchase`` and its position."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    f = sequence.first_match(ev, _EV_BY, _EV_ORDER, F.col("event_type") == "purchase",
+                             "event_id", "first_purchase")
+    return f.select("user_id", F.col("first_purchase_value").alias("first_purchase_id"),
+                    "first_purchase_pos")
+
+
+def seq_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: length of each user's leading run of non-error events."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    return sequence.leading_run(ev, _EV_BY, _EV_ORDER, F.col("event_type") != "error", "run")
+
+
+def seq_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6/Q7/Q8: (previous, current) predicate and a conjunction with nesting depth."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    d = sequence.nesting_depth(ev, _EV_BY, _EV_ORDER, F.col("event_type") == "signup",
+                               F.col("event_type") == "purchase")
+    p = sequence.with_previous(d, _EV_BY, _EV_ORDER, {"prev_type": F.col("event_type")})
+    vp = (F.col("prev_type") == "view") & sequence.value_is("event_type", "purchase")
+    return p.select("user_id", "event_id", "prev_type",
+                    F.coalesce(vp, F.lit(False)).alias("view_purchase"),
+                    F.coalesce(sequence.all_of(vp, F.col("depth") > 0), F.lit(False)).alias("nested_view_purchase"))
+
+
+def array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2-Q4, Q9 and A5 on the embedding arrays."""
+    e = F.col("embedding")
+    emb = Tables(spark, sf_dir).embeddings
+    return emb.select(
+        "vec_id",
+        F.size(e).alias("n"),
+        F.size(F.filter(e, lambda x: x < 0)).alias("n_neg"),
+        sequence.array_find_index(e, lambda x: x < 0).alias("first_neg_idx"),
+        sequence.array_leading_run(e, lambda x: x >= 0).alias("lead_nonneg"),
+        F.size(F.concat(F.slice(e, 2, 3), F.array(sequence.array_from_end(e, 1)))).alias("n_cut"),
+        (sequence.array_from_end(e, 1) > F.get(e, 0)).alias("last_gt_first"),
+        F.exists(e, lambda x: x > 0.9).alias("any_high"),
+        F.forall(e, lambda x: F.abs(x) < 1).alias("all_unit"),
+        F.array_contains(F.transform(e, lambda x: x > 0), True).alias("has_pos"))
+
+
+def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: words of every line flattened into one sequence per document."""
+    docs = Tables(spark, sf_dir).documents
+    words = F.flatten(F.transform(F.split(F.col("text"), "\n"),
+                                  lambda l: F.filter(F.split(l, " "), lambda w: w != "")))
+    return (docs.select("doc_id", words.alias("w"))
+            .select("doc_id", F.size("w").alias("n_words"), F.get("w", 0).alias("first_word"),
+                    F.element_at("w", -1).alias("last_word"),
+                    F.array_join(F.slice("w", 1, 3), " ").alias("head")))
+
+
+REGISTERED = ["sig_exact", "sig_related", "sig_contains",
+              "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
+              "array_ops", "flatten"]
