@@ -110,3 +110,106 @@ SELECT doc_id, len(w) AS n_words, w[1] AS first_word, w[-1] AS last_word,
        array_to_string(w[1:3], ' ') AS head
 FROM w
 """
+
+_CUSTOMER_TREE = """
+  SELECT c.c_custkey, c.c_acctbal, n.n_name, n.n_nationkey, r.r_name, r.r_regionkey
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+
+ORACLE["tri_state"] = f"""
+WITH t AS ({_CUSTOMER_TREE})
+SELECT r_name, n_name, CAST(grouping(r_name) + grouping(n_name) AS INTEGER) AS lvl,
+       CASE WHEN bool_and(c_acctbal > 0) THEN true WHEN bool_or(c_acctbal > 0) THEN NULL ELSE false END AS state,
+       count(*) AS n_leaves
+FROM t GROUP BY ROLLUP (r_name, n_name)
+"""
+
+ORACLE["propagate_down"] = f"""
+WITH t AS ({_CUSTOMER_TREE}),
+a AS (
+  SELECT c_custkey, r_regionkey * 2 + 7 AS seq, r_regionkey % 2 = 0 AS v FROM t
+  UNION ALL
+  SELECT c_custkey, n_nationkey AS seq,
+         CASE WHEN n_nationkey % 3 = 0 THEN false WHEN n_nationkey % 3 = 1 THEN NULL ELSE true END AS v
+  FROM t)
+SELECT c_custkey, coalesce(arg_max_null(v, seq), false) AS enabled FROM a GROUP BY c_custkey
+"""
+
+ORACLE["string_agg"] = """
+SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS n_turns
+FROM conversations GROUP BY conv_id
+"""
+
+ORACLE["progress"] = """
+WITH lab AS (SELECT DISTINCT doc_id FROM labels)
+SELECT d.lang, d.source, count(*) AS n_done, count(lab.doc_id) AS n_ok,
+       count(*) - count(lab.doc_id) AS n_error
+FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id GROUP BY d.lang, d.source
+"""
+
+ORACLE["enrich"] = """
+SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic,
+       l.quality IS NOT NULL AS labelled
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+"""
+
+ORACLE["worklist"] = """
+SELECT doc_id, lang, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+"""
+
+ORACLE["resolve_first"] = """
+WITH li AS (
+  SELECT l.l_partkey, l.l_suppkey, l.l_orderkey, l.l_linenumber
+  FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE s.s_acctbal > 0),
+f AS (SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 100000 + l_linenumber) AS s_suppkey
+      FROM li GROUP BY l_partkey)
+SELECT p.p_partkey, f.s_suppkey, CASE WHEN f.s_suppkey IS NULL THEN 'no supplier' END AS error
+FROM part p LEFT JOIN f ON f.l_partkey = p.p_partkey
+"""
+
+_LAYER_EDGES = """
+  SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
+  UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
+"""
+
+ORACLE["topo_levels"] = f"""
+WITH RECURSIVE e AS ({_LAYER_EDGES}),
+ns AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+lv(node, level) AS (
+  SELECT node, 0 FROM ns WHERE node NOT IN (SELECT dst FROM e)
+  UNION
+  SELECT e.dst, lv.level + 1 FROM lv JOIN e ON e.src = lv.node)
+SELECT node, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY node
+"""
+
+ORACLE["graph_reverse"] = f"""
+SELECT dst AS src, src AS dst FROM ({_LAYER_EDGES})
+"""
+
+ORACLE["graph_nodes"] = f"""
+WITH e AS ({_LAYER_EDGES}),
+ns AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, (SELECT count(*) FROM e WHERE e.src = ns.node) AS out_degree,
+       (SELECT count(*) FROM e WHERE e.dst = ns.node) AS in_degree
+FROM ns
+"""
+
+ORACLE["module_select"] = """
+WITH good AS (SELECT DISTINCT d.lang, d.source FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+              WHERE l.quality = 1)
+SELECT d.doc_id, d.lang, d.source FROM documents d
+WHERE EXISTS (SELECT 1 FROM good g WHERE g.lang = d.lang AND g.source = d.source)
+"""
+
+ORACLE["scope_union"] = """
+SELECT p_partkey, name, 'import' AS origin FROM (
+  SELECT p_partkey, unnest(list_filter(regexp_split_to_array(trim(translate(p_name, chr(10) || chr(9), '  ')), '[, \t\n]'),
+                                       lambda x: x <> '')) AS name
+  FROM part)
+UNION ALL
+SELECT p_partkey, p_brand AS name, 'selected' AS origin FROM part
+"""

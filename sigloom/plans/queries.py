@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import multiset, sequence
+from ..operators import graph, hierarchy, multiset, sequence
+from ..session import broadcast_if_small
 from .tables import Tables
 
 
@@ -112,6 +113,147 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.slice("w", 1, 3), " ").alias("head")))
 
 
+# ------------------------------------------------------------------ hierarchy
+def _customer_tree(t: Tables) -> DataFrame:
+    return (t.customer.select("c_custkey", "c_nationkey", "c_acctbal")
+            .join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey"), "c_nationkey")
+            .join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey"))
+
+
+def tri_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: region > nation > customer, leaf flag ``c_acctbal > 0``, rolled up."""
+    tree = _customer_tree(Tables(spark, sf_dir))
+    return hierarchy.rollup_tri_state(tree, ["r_name", "n_name"], F.col("c_acctbal") > 0)
+
+
+def _assignments(t: Tables) -> DataFrame:
+    """Selections made on regions and nations, interleaved in time (``seq``)."""
+    reg = t.region.select((F.col("r_regionkey") * 2 + 7).alias("seq"), F.array("r_name").alias("path"),
+                          (F.col("r_regionkey") % 2 == 0).alias("enabled"))
+    nat = (t.nation.join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+           .select(F.col("n_nationkey").alias("seq"), F.array("r_name", "n_name").alias("path"),
+                   F.when(F.col("n_nationkey") % 3 == 0, F.lit(False))
+                   .when(F.col("n_nationkey") % 3 == 1, F.lit(None).cast("boolean"))
+                   .otherwise(F.lit(True)).alias("enabled")))
+    return reg.unionByName(nat)
+
+
+def propagate_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: region and nation selections pushed down to customers, latest wins."""
+    t = Tables(spark, sf_dir)
+    leaves = _customer_tree(t).select(
+        "c_custkey", F.array("r_name", "n_name", F.col("c_custkey").cast("string")).alias("path"))
+    return hierarchy.propagate_down(leaves, _assignments(t), "c_custkey")
+
+
+def string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: roles of every conversation in turn order."""
+    c = Tables(spark, sf_dir).conversations
+    return c.groupBy("conv_id").agg(hierarchy.ordered_join(F.col("role"), F.col("turn"), ",").alias("roles"),
+                                    F.count(F.lit(1)).alias("n_turns"))
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents processed per (lang, source): labelled = ok, unlabelled = error."""
+    t = Tables(spark, sf_dir)
+    lab = t.labels.select("doc_id").distinct().withColumn("ok", F.lit(True))
+    d = t.documents.select("doc_id", "lang", "source").join(lab, "doc_id", "left")
+    return d.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_done"),
+        F.count("ok").alias("n_ok"),
+        F.count(F.when(F.col("ok").isNull(), 1)).alias("n_error"))
+
+
+def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents enriched by labels; missing labels default to -1."""
+    t = Tables(spark, sf_dir)
+    lab = t.labels.select("doc_id", "quality", "toxic")
+    return (t.documents.select("doc_id").join(lab, "doc_id", "left")
+            .select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"),
+                    F.coalesce("toxic", F.lit(-1)).alias("toxic"),
+                    F.col("quality").isNotNull().alias("labelled")))
+
+
+def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents still to be labelled (anti-join)."""
+    t = Tables(spark, sf_dir)
+    return t.documents.select("doc_id", "lang", "source").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+
+
+def resolve_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part, the supplier of its first line item (by order, line
+    number) among suppliers with a positive balance; otherwise an error row."""
+    t = Tables(spark, sf_dir)
+    sup = t.supplier.where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("l_suppkey"))
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").join(sup, "l_suppkey", "left_semi")
+    first = li.groupBy("l_partkey").agg(
+        F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).alias("s_suppkey"))
+    return (t.part.select(F.col("p_partkey").alias("l_partkey")).join(first, "l_partkey", "left")
+            .select(F.col("l_partkey").alias("p_partkey"), "s_suppkey",
+                    F.when(F.col("s_suppkey").isNull(), F.lit("no supplier")).alias("error")))
+
+
+# ------------------------------------------------------------------ graph
+def _layer_edges(t: Tables) -> DataFrame:
+    def e(df, a, pa, b, pb):
+        return df.select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("src"),
+                         F.concat(F.lit(pb), F.col(b).cast("string")).alias("dst"))
+    return (e(t.nation, "n_regionkey", "r", "n_nationkey", "n")
+            .unionByName(e(t.customer, "c_nationkey", "n", "c_custkey", "c"))
+            .unionByName(e(t.orders, "o_custkey", "c", "o_orderkey", "o"))
+            .unionByName(e(t.lineitem, "l_orderkey", "o", "l_partkey", "p")))
+
+
+def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peel levels of region > nation > customer > order > part."""
+    return graph.topological_levels(_layer_edges(Tables(spark, sf_dir)))
+
+
+def graph_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph with every edge reversed (parallel edges kept)."""
+    return graph.reverse(_layer_edges(Tables(spark, sf_dir)))
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: nodes of the layered graph with their in- and out-degree."""
+    e = _layer_edges(Tables(spark, sf_dir))
+    n = graph.nodes(e)
+    outd = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
+    ind = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+    return (n.join(outd, "node", "left").join(ind, "node", "left")
+            .select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
+                    F.coalesce("in_degree", F.lit(0)).alias("in_degree")))
+
+
+# ------------------------------------------------------------------ selection
+def module_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the selected modules (library = lang, module = source).
+
+    A module is selected when one of its documents is labelled with quality 1.
+    The selection has one row per module; it is broadcast only when its size
+    estimate is small."""
+    t = Tables(spark, sf_dir)
+    catalog = t.documents.select("lang", "source").distinct()
+    good = (t.labels.where(F.col("quality") == 1).select("doc_id")
+            .join(t.documents.select("doc_id", "lang", "source"), "doc_id").select("lang", "source").distinct())
+    selection = catalog.join(good, ["lang", "source"], "left_semi")
+    return t.documents.select("doc_id", "lang", "source").join(broadcast_if_small(selection),
+                                                               ["lang", "source"], "left_semi")
+
+
+def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names imported by each part (its cleaned name split on
+    separators) plus the selected brand, duplicates kept."""
+    p = Tables(spark, sf_dir).part
+    clean = F.trim(F.translate(F.col("p_name"), "\n\t", "  "))
+    imported = p.select("p_partkey", F.explode(F.filter(F.split(clean, "[, \t\n]"), lambda x: x != "")).alias("name"),
+                        F.lit("import").alias("origin"))
+    selected = p.select("p_partkey", F.col("p_brand").alias("name"), F.lit("selected").alias("origin"))
+    return imported.unionByName(selected)
+
 REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
-              "array_ops", "flatten"]
+              "array_ops", "flatten",
+              "tri_state", "propagate_down", "string_agg", "progress", "enrich", "worklist",
+              "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
+              "scope_union"]
