@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+from ..functions import abbrev, tokens
+from . import queries as _q
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["sig_exact"] = """
@@ -213,3 +222,103 @@ SELECT p_partkey, name, 'import' AS origin FROM (
 UNION ALL
 SELECT p_partkey, p_brand AS name, 'selected' AS origin FROM part
 """
+
+_P = _lit(tokens.PATTERN_PLAIN)
+_TAG = "CASE " + " ".join(f"WHEN regexp_full_match(value, {_lit(p)}) THEN '{t}'" for t, p in tokens.RULES) + " END"
+
+
+def _lastnl(x: str) -> str:
+    return f"(CASE WHEN strpos({x}, chr(10)) > 0 THEN length({x}) - strpos(reverse({x}), chr(10)) ELSE -1 END)"
+
+
+def _nl(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, chr(10), '')))"
+
+
+ORACLE["tokenise"] = f"""
+WITH t AS (SELECT doc_id, regexp_split_to_array(text, {_P}) AS g, regexp_extract_all(text, {_P}) AS v
+           FROM documents),
+x AS (SELECT doc_id, unnest(range(len(v))) AS pos, unnest(g[1:len(v)]) AS gap, unnest(v) AS value FROM t),
+o AS (SELECT *, coalesce(sum(length(gap || value)) OVER w, 0) AS off,
+               coalesce(sum({_nl("(gap || value)")}) OVER w, 0) AS nl
+      FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, coalesce(max(CASE WHEN {_lastnl("(gap || value)")} >= 0 THEN off + {_lastnl("(gap || value)")} END)
+                  OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev_nl
+      FROM o)
+SELECT doc_id, pos, {_TAG} AS tag, value, off + length(gap) AS start_idx,
+       nl + {_nl("gap")} + 1 AS line,
+       off + length(gap) - (CASE WHEN {_lastnl("gap")} >= 0 THEN off + {_lastnl("gap")} ELSE prev_nl END) AS col
+FROM p
+"""
+
+ORACLE["token_gaps"] = f"""
+WITH t AS (SELECT doc_id, regexp_split_to_array(text, {_P}) AS g FROM documents),
+x AS (SELECT doc_id, unnest(range(len(g) - 1)) AS pos, unnest(g[1:len(g) - 1]) AS gap FROM t)
+SELECT doc_id, pos, gap FROM x WHERE regexp_matches(gap, '\\S')
+"""
+
+_LOG_BODY = _lit(r'^(?:' + re.escape(_q.LOG_PROMPT) + r')?\(((?:"[^"]*"|[^)"])*)')
+
+ORACLE["log_parse"] = f"""
+WITH l AS (
+  SELECT event_id,
+         CASE WHEN event_id % 10 = 9 THEN 'junk ' || event_id
+              ELSE (CASE WHEN event_id % 3 = 0 THEN {_lit(_q.LOG_PROMPT)} ELSE '' END)
+                   || '(' || event_type || ' "' || props || '" ' || user_id || ')' END AS line
+  FROM events),
+w AS (SELECT event_id, line,
+             list_transform(regexp_extract_all(regexp_extract(line, {_LOG_BODY}, 1), {_lit('"[^"]*"|[^ "]+')}),
+                            lambda x: regexp_replace(x, '^"|"$', '', 'g')) AS w
+      FROM l)
+SELECT event_id,
+       CASE WHEN len(w) > 0 THEN w[1] END AS tag,
+       CASE WHEN len(w) > 0 THEN w[2:len(w)] END AS args,
+       CASE WHEN len(w) = 0 THEN line END AS error
+FROM w
+"""
+
+
+def _abbrev_sql() -> str:
+    pairs = abbrev.flatten_dictionary(_q.ABBREVIATIONS)
+    case = "CASE p " + " ".join(f"WHEN {_lit(chr(92) + k)} THEN {_lit(v)}" for k, v in pairs) + " ELSE p END"
+    cut = _lit(abbrev.cut_pattern(pairs))
+    return f"""
+SELECT doc_id,
+       array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '([otc])', '\\\\\\1', 'g'), {cut}),
+                                      lambda p: {case}), '') AS expanded
+FROM documents
+"""
+
+
+ORACLE["expand_abbrev"] = _abbrev_sql()
+
+
+def _expand_patterns(entries: list[tuple[str, str]]) -> dict[str, str]:
+    """Plain restatement: substitute references until nothing changes."""
+    out = dict(entries)
+    for _ in range(len(out) + 1):
+        for k, v in list(out.items()):
+            out[k] = re.sub(r"\(([A-Za-z_][A-Za-z0-9_]*)\)", lambda m: "(?:" + out[m.group(1)] + ")", v)
+    return out
+
+
+def _dict_sql() -> str:
+    ex = _expand_patterns(_q.PATTERNS)
+    cols = ", ".join(f"CAST(len(regexp_extract_all(text, {_lit(ex[n])})) AS BIGINT) AS n_{n}" for n, _ in _q.PATTERNS)
+    return f"SELECT doc_id, {cols} FROM documents"
+
+
+ORACLE["expand_dict"] = _dict_sql()
+
+ORACLE["fifo_match"] = """
+WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'R' ELSE 'S' END AS k
+           FROM events WHERE event_type IN ('view', 'purchase')),
+c AS (SELECT *, sum(CASE WHEN k = 'R' THEN 1 ELSE -1 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM e),
+f AS (SELECT *, least(0, coalesce(min(cum) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS flo FROM c),
+ok AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS rn
+       FROM f WHERE k = 'R' OR cum >= flo)
+SELECT r.user_id, r.event_id AS req_event_id, s.event_id AS resp_event_id
+FROM ok r JOIN ok s ON r.user_id = s.user_id AND r.rn = s.rn AND r.k = 'R' AND s.k = 'S'
+"""

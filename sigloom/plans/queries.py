@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, hierarchy, multiset, sequence
+from ..functions import abbrev, tokens
+from ..operators import correlate, graph, hierarchy, multiset, sequence
+from ..sources import logs
 from ..session import broadcast_if_small
 from .tables import Tables
 
@@ -251,9 +253,75 @@ def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     selected = p.select("p_partkey", F.col("p_brand").alias("name"), F.lit("selected").alias("origin"))
     return imported.unionByName(selected)
 
+# ------------------------------------------------------------------ text
+def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every document with its tag and real position."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    return tokens.token_table(docs, "doc_id", "text").drop("gap")
+
+
+def token_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank text between tokens (the trailing gap is not reported)."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    return tokens.unmatched(docs, "doc_id", "text")
+
+
+LOG_PROMPT = "> "
+
+
+def _log_lines(t: Tables) -> DataFrame:
+    ev = t.events
+    line = (F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("junk "), F.col("event_id").cast("string")))
+            .otherwise(F.concat(F.when(F.col("event_id") % 3 == 0, F.lit(LOG_PROMPT)).otherwise(F.lit("")),
+                                F.lit("("), F.col("event_type"), F.lit(' "'), F.col("props"), F.lit('" '),
+                                F.col("user_id").cast("string"), F.lit(")"))))
+    return ev.select("event_id", line.alias("line"))
+
+
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interaction-log lines built from events, parsed into tag + arguments."""
+    p = logs.parse_log(_log_lines(Tables(spark, sf_dir)), "line", LOG_PROMPT)
+    return p.select("event_id", "tag", "args", "error")
+
+
+# Abbreviation dictionary used over the documents (nested form).
+ABBREVIATIONS = {"o": {" ": "ō", "u": "ȣ"}, " th": "þ", "c": {"h": "ç"}, "a": "α",
+                 "e": {" ": "ε", "e": "ē"}}
+
+
+def expand_abbrev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a backslash before every o, t and c, expanded."""
+    pairs = abbrev.flatten_dictionary(ABBREVIATIONS)
+    docs = Tables(spark, sf_dir).documents
+    marked = F.regexp_replace(F.col("text"), "([otc])", "\\\\$1")
+    return docs.select("doc_id", abbrev.expand(marked, pairs).alias("expanded"))
+
+
+# Pattern dictionary whose entries refer to others as (name).
+PATTERNS = [("vowel", "[aeiouyàâäéèêëîïôöùûüÿœæ]"), ("cons", "[bcdfghjklmnpqrstvwxzç]"),
+            ("syll", "(cons)(vowel)+"), ("word2", "(syll)(syll)"), ("closed", "(syll)(cons)")]
+
+
+def expand_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expand the pattern dictionary dependents-first, then count every
+    expanded pattern's matches in every document."""
+    d = spark.createDataFrame(PATTERNS, "name string, body string")
+    expanded = {r["name"]: r["expanded"] for r in graph.expand_dictionary(d).collect()}
+    docs = Tables(spark, sf_dir).documents
+    return docs.select("doc_id", *[F.size(F.regexp_extract_all(F.col("text"), F.lit(expanded[n]), 0))
+                                   .cast("bigint").alias(f"n_{n}") for n, _ in PATTERNS])
+
+
+def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's purchases matched to the earliest pending view."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    return correlate.fifo_pairs(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view",
+                                F.col("event_type") == "purchase", "event_id")
+
 REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
               "array_ops", "flatten",
               "tri_state", "propagate_down", "string_agg", "progress", "enrich", "worklist",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
-              "scope_union"]
+              "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict",
+              "fifo_match"]
