@@ -31,7 +31,9 @@ def rollup_tri_state(df: DataFrame, levels: Sequence[str], flag: Column, name: s
 
 def path_prefixes(path: Column) -> Column:
     """All non-empty prefixes of an array path, shortest first."""
-    return F.transform(F.sequence(F.lit(1), F.size(path)), lambda k: F.slice(path, 1, k))
+    n = F.size(path)
+    ks = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(ks, lambda k: F.slice(path, 1, k))
 
 
 def propagate_down(leaves: DataFrame, assignments: DataFrame, leaf_id: str, path: str = "path",
