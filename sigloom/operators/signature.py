@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
+from ..session import ensure_checkpoint_dir
 
 OPEN = ("parenL", "curlyL", "instsL")
 CLOSE = ("parenR", "curlyR", "instsR")
@@ -140,16 +141,17 @@ def parts_sql(col: str, strict_parity: bool = False) -> str:
     """
     k = _run_len("reverse(__a)", "curlyR")
     m = _run_len("__a", "curlyL")
-    curly = _let(col, "__a", _slice("__a", f"least({k}, {m}) + 1", f"size(__a) - {k} - least({k}, {m})"))
+    curly = _let(col, "__a", _let(k, "__k", _let(m, "__m", _slice("__a", "least(__k, __m) + 1",
+                                                                  "size(__a) - __k - least(__k, __m)"))))
     a = _run_len("__b", "parenL")
     b = _run_len("reverse(__b)", "parenR")
     if strict_parity:
-        pairs = f"least({a}, {b})"
+        pairs = "least(__ra, __rb)"
     else:
-        pairs = (f"size(filter({_range(f'least({a}, {b})')}, q -> size(__b) - 2 * q + 1 > 0 "
+        pairs = (f"size(filter({_range('least(__ra, __rb)')}, q -> size(__b) - 2 * q + 1 > 0 "
                  f"AND array_min(slice(__d, q, size(__b) - 2 * q + 1)) >= q))")
-    paren = _let(curly, "__b", _let(_depth("__b"), "__d",
-                                    _let(pairs, "__q", _slice("__b", "__q + 1", "size(__b) - 2 * __q"))))
+    paren = _let(curly, "__b", _let(a, "__ra", _let(b, "__rb", _let(_depth("__b"), "__d",
+                 _let(pairs, "__q", _slice("__b", "__q + 1", "size(__b) - 2 * __q"))))))
     implied = _let(paren, "__c", "flatten(transform(" + _range("size(__c)") + ", i -> "
                    "if(i > 1 AND element_at(__c, i - 1).tag = 'curlyR' AND element_at(__c, i).tag IN ('parenL', 'curlyL'), "
                    "array(named_struct('tag', 'arrow', 'value', '->'), element_at(__c, i)), array(element_at(__c, i)))))")
@@ -172,19 +174,23 @@ def _leaf_node(toks: Column) -> Column:
 
 def parse_canonical(sigs: DataFrame, id_col: str = "id", toks: str = "toks",
                     strict_parity: bool = False, max_depth: int | None = None) -> DataFrame:
-    """``(id, enc, error)``: canonical preorder encoding of every signature.
+    """``(id, enc, top, error)``: canonical preorder encoding of every
+    signature and the encodings of its top-level parts (a leaf is its own part).
 
     ``error`` is set (and ``enc`` NULL) when a part is empty (V8).
     """
     i = id_col
+    ensure_checkpoint_dir(sigs.sparkSession)
     if max_depth is None:
         d = sigs.select(F.max(F.expr(f"array_max(transform({_depth(toks)}, x -> x))")).alias("d")).first()["d"]
         max_depth = int(d or 0) + 2
     seg = sigs.select(i, F.array().cast("array<int>").alias("path"), F.col(toks).alias("__in"))
     leaves, funcs = [], []
     empty_paths = None
+    step_sql = parts_sql("__in", strict_parity)
     for depth in range(max_depth + 2):
-        stepped = seg.withColumn("__parts", F.expr(parts_sql("__in", strict_parity)))
+        # materialise every round: keeps plans small and cuts lineage (reliable checkpoint)
+        stepped = seg.withColumn("__parts", F.expr(step_sql)).checkpoint()
         bad = stepped.where(F.size("__parts") == 0).select(i)
         empty_paths = bad if empty_paths is None else empty_paths.unionByName(bad)
         leaves.append(stepped.where(F.size("__parts") == 1)
@@ -198,18 +204,19 @@ def parse_canonical(sigs: DataFrame, id_col: str = "id", toks: str = "toks",
                             F.array().cast("array<string>").alias("tags")))
     enc = None
     for depth in reversed(range(len(leaves))):
-        cur = leaves[depth].select(i, "path", "enc")
+        cur = leaves[depth].select(i, "path", "enc", F.array("enc").alias("top"))
         if enc is not None:
             parent = enc.select(i, F.slice("path", 1, F.size("path") - 1).alias("path"), "enc")
             grouped = parent.groupBy(i, "path").agg(F.array_sort(F.collect_list("enc")).alias("__kids"))
             fenc = (funcs[depth].join(grouped, [i, "path"])
-                    .select(i, "path", F.concat(node, F.flatten("__kids")).alias("enc")))
+                    .select(i, "path", F.concat(node, F.flatten("__kids")).alias("enc"), F.col("__kids").alias("top")))
             cur = cur.unionByName(fenc)
         enc = cur
-    root = enc.where(F.size("path") == 0).select(i, "enc")
+    root = enc.where(F.size("path") == 0).select(i, "enc", "top")
     bad = empty_paths.distinct().withColumn("error", F.lit("empty signature part"))
     return (sigs.select(i).join(root, i, "left").join(bad, i, "left")
-            .select(i, F.when(F.col("error").isNull(), F.col("enc")).alias("enc"), "error"))
+            .select(i, F.when(F.col("error").isNull(), F.col("enc")).alias("enc"),
+                    F.when(F.col("error").isNull(), F.col("top")).alias("top"), "error"))
 
 
 # ---------------------------------------------------------------- columns
@@ -251,4 +258,19 @@ def build_signatures(defs: DataFrame, id_col: str, text: str, strict_parity: boo
     canon = parse_canonical(arrays, id_col, "toks", strict_parity)
     out = arrays.join(canon, id_col)
     cols = signature_columns(F.col("enc"))
-    return out.select(id_col, "toks", "enc", *[c.alias(k) for k, c in cols.items()], "error")
+    return out.select(id_col, "toks", "enc", "top", *[c.alias(k) for k, c in cols.items()],
+                      part_keys(F.col("top")).alias("part_keys"), "error")
+
+
+def _leaf_key(e: Column) -> Column:
+    return F.concat(F.coalesce(F.get(e["tags"], 0), F.lit("")), F.lit(":"),
+                    F.regexp_extract(F.coalesce(F.get(e["vals"], 0), F.lit("")), r"([^.]*)$", 1))
+
+
+def part_keys(top: Column) -> Column:
+    """Blocking keys for related search: the keys of the top-level leaf parts,
+    or, when every part is a function, all leaf keys of the first part."""
+    leaf_parts = F.filter(top, lambda p: F.get(p, 0)["kind"] == 0)
+    first = F.filter(F.coalesce(F.get(top, 0), F.array()), lambda e: e["kind"] == 0)
+    return F.array_distinct(F.when(F.size(leaf_parts) > 0, F.transform(leaf_parts, lambda p: _leaf_key(F.get(p, 0))))
+                            .otherwise(F.transform(first, _leaf_key)))
