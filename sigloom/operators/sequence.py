@@ -139,7 +139,7 @@ def array_leading_run(arr: Column, pred) -> Column:
 
 def array_from_end(arr: Column, n: int) -> Column:
     """Q9: element ``n`` from the end (1 = last)."""
-    return F.element_at(arr, -n)
+    return F.try_element_at(arr, F.lit(-n))
 
 
 def pointwise_all(x: Column, y: Column, f) -> Column:

@@ -322,3 +322,69 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_i
 SELECT r.user_id, r.event_id AS req_event_id, s.event_id AS resp_event_id
 FROM ok r JOIN ok s ON r.user_id = s.user_id AND r.rn = s.rn AND r.k = 'R' AND s.k = 'S'
 """
+
+_LINES = """
+  SELECT doc_id, n, regexp_replace(line, '\r$', '') AS line FROM (
+    SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+"""
+_SIG = r"^\s*(\S+)\s+:\s*(.*)$"
+
+ORACLE["line_scan"] = f"""
+WITH l AS ({_LINES})
+SELECT doc_id, n, length(regexp_extract(line, '^(\s*)', 1)) AS ind, regexp_extract(line, '^\s*(\S+)', 1) AS w,
+       CASE WHEN regexp_matches(line, '{_SIG}') THEN regexp_extract(line, '{_SIG}', 1) END AS sig_name
+FROM l WHERE regexp_matches(line, '\S')
+"""
+
+ORACLE["line_fold"] = f"""
+WITH l AS (SELECT * FROM ({_LINES}) WHERE regexp_matches(line, '\S')),
+i AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(line, '^\p{{Lu}}') THEN n END)
+                  OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), -1) AS island FROM l)
+SELECT doc_id, island, count(*) AS n_lines, string_agg(line, ' ' ORDER BY n) AS folded
+FROM i GROUP BY doc_id, island
+"""
+
+ORACLE["scope_lines"] = """
+WITH RECURSIVE l AS (SELECT user_id, event_id AS n, 2 * (event_id % 4) AS ind, event_type AS w FROM events),
+p AS (SELECT a.user_id, a.n,
+             (SELECT max(b.n) FROM l b WHERE b.user_id = a.user_id AND b.n < a.n AND b.ind < a.ind) AS parent
+      FROM l a),
+ch(user_id, n, anc) AS (
+  SELECT user_id, n, parent FROM p WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT ch.user_id, ch.n, p.parent FROM ch JOIN p ON p.user_id = ch.user_id AND p.n = ch.anc
+  WHERE p.parent IS NOT NULL)
+SELECT p.user_id, p.n AS event_id, p.parent AS parent_event_id, count(ch.anc) AS depth,
+       coalesce(string_agg(l.w, '.' ORDER BY ch.anc), '') AS path
+FROM p LEFT JOIN ch ON ch.user_id = p.user_id AND ch.n = p.n
+LEFT JOIN l ON l.user_id = ch.user_id AND l.n = ch.anc
+GROUP BY p.user_id, p.n, p.parent
+"""
+
+ORACLE["kind_classify"] = """
+SELECT event_id,
+       CASE event_type WHEN 'signup' THEN 'DataType' WHEN 'purchase' THEN 'RecordType'
+                       WHEN 'view' THEN 'Pattern' WHEN 'click' THEN 'RecordConstructor' ELSE 'Function' END AS kind,
+       'e' || event_id AS name,
+       CASE event_type WHEN 'signup' THEN ': U' || user_id WHEN 'purchase' THEN ': U' || user_id
+                       WHEN 'view' THEN 'x = U' || user_id WHEN 'click' THEN NULL ELSE ': U' || user_id END AS type_raw,
+       CASE event_type WHEN 'click' THEN 'e' || event_id
+                       WHEN 'view' THEN 'e' || event_id || ' x = U' || user_id
+                       ELSE 'e' || event_id || ' : U' || user_id END AS title
+FROM events
+"""
+
+ORACLE["rename_binders"] = """
+WITH w AS (SELECT p_partkey, p_type, string_split_regex(trim(p_name), ' +') AS w FROM part),
+x AS (SELECT p_partkey, p_type, CASE WHEN w[1] = w[-1] THEN '@0' ELSE '@1' END AS b2 FROM w)
+SELECT p_partkey, '{ @0 : ' || p_type || ' } { ' || b2 || ' : ' || p_type || ' } -> ' || b2 AS renamed FROM x
+"""
+
+ORACLE["name_lookup"] = """
+WITH w AS (SELECT p_partkey, p_brand, string_split_regex(trim(p_name), ' +') AS w FROM part),
+terms AS (SELECT DISTINCT unnest(w) AS term FROM w)
+SELECT t.term, w.p_partkey, bool_or(w.w[-1] = t.term) AS exact
+FROM terms t JOIN w ON list_contains(w.w, t.term) OR w.p_brand = t.term
+GROUP BY t.term, w.p_partkey
+"""

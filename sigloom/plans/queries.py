@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import abbrev, tokens
-from ..operators import correlate, graph, hierarchy, multiset, sequence
+from ..operators import correlate, extract, graph, hierarchy, multiset, search, sequence, signature
+from ..operators.scan import running
 from ..sources import logs
 from ..session import broadcast_if_small
 from .tables import Tables
@@ -111,7 +112,7 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   lambda l: F.filter(F.split(l, " "), lambda w: w != "")))
     return (docs.select("doc_id", words.alias("w"))
             .select("doc_id", F.size("w").alias("n_words"), F.get("w", 0).alias("first_word"),
-                    F.element_at("w", -1).alias("last_word"),
+                    F.try_element_at("w", F.lit(-1)).alias("last_word"),
                     F.array_join(F.slice("w", 1, 3), " ").alias("head")))
 
 
@@ -318,10 +319,102 @@ def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.fifo_pairs(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view",
                                 F.col("event_type") == "purchase", "event_id")
 
+# ------------------------------------------------------------------ extraction
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines of every document with indentation, first word
+    and, for ``name : type`` lines, the declared name."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    ln = extract.lines(docs, ["doc_id"])
+    return ln.select("doc_id", "n", "ind", "w",
+                     F.when(F.col("line").rlike(extract.SIG_RE), F.regexp_extract("line", extract.SIG_RE, 1))
+                     .alias("sig_name"))
+
+
+def line_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines folded into islands; a line starting with an upper-case letter opens one."""
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    ln = extract.lines(docs, ["doc_id"])
+    isl = running(ln, ["doc_id"], ["n"], {"island": ("max", F.when(F.col("line").rlike(r"^\p{Lu}"), F.col("n")))})
+    isl = isl.withColumn("island", F.coalesce("island", F.lit(-1)))
+    return isl.groupBy("doc_id", "island").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        hierarchy.ordered_join(F.col("line"), F.col("n"), " ").alias("folded"))
+
+
+def _event_lines(t: Tables) -> DataFrame:
+    return t.events.select("user_id", F.col("event_id").cast("int").alias("n"),
+                           (F.col("event_id") % 4 * 2).cast("int").alias("ind"),
+                           F.col("event_type").alias("w"))
+
+
+def scope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines built from each user's events (word = event type, indentation
+    2 * (event_id mod 4), in event_id order); every line's parent, depth and
+    scope path of ancestor words."""
+    ln = _event_lines(Tables(spark, sf_dir))
+    a = extract.ancestors(ln, ["user_id"])
+    words = ln.select("user_id", F.col("n").alias("an"), F.col("w").alias("aw"))
+    path = (a.select("user_id", "n", F.explode("ancs").alias("an")).join(words, ["user_id", "an"])
+            .groupBy("user_id", "n").agg(hierarchy.ordered_join(F.col("aw"), F.col("an"), ".").alias("path")))
+    return (a.join(path, ["user_id", "n"], "left")
+            .select("user_id", F.col("n").cast("bigint").alias("event_id"),
+                    F.try_element_at("ancs", F.lit(-1)).cast("bigint").alias("parent_event_id"),
+                    F.size("ancs").cast("bigint").alias("depth"), F.coalesce("path", F.lit("")).alias("path")))
+
+
+def _kind_lines(t: Tables) -> DataFrame:
+    e = F.col("event_id").cast("string")
+    u = F.col("user_id").cast("string")
+    line = (F.when(F.col("event_type") == "signup", F.concat(F.lit("data e"), e, F.lit(" : U"), u, F.lit(" where")))
+            .when(F.col("event_type") == "purchase", F.concat(F.lit("record e"), e, F.lit(" : U"), u, F.lit(" where")))
+            .when(F.col("event_type") == "view", F.concat(F.lit("pattern e"), e, F.lit(" x = U"), u))
+            .when(F.col("event_type") == "click", F.concat(F.lit("constructor e"), e))
+            .otherwise(F.concat(F.lit("e"), e, F.lit(" : U"), u)))
+    return t.events.select("event_id", line.alias("text"))
+
+
+def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-line modules built from events, classified by leading keyword."""
+    mods = _kind_lines(Tables(spark, sf_dir))
+    d = extract.extract_definitions(mods, ["event_id"], "text")
+    return d.select("event_id", "kind", "name", "type_raw",
+                    extract.title(F.col("name"), F.col("type_raw")).alias("title"))
+
+
+def rename_binders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4/T5: ``{w1 w2 : p_type} -> w2`` from the first and last word of each part
+    name, with bound names renamed and the binder group expanded."""
+    p = Tables(spark, sf_dir).part
+    w = F.split(F.trim(F.col("p_name")), " +")
+    text = F.concat(F.lit("{"), F.get(w, 0), F.lit(" "), F.element_at(w, -1), F.lit(" : "), F.col("p_type"),
+                    F.lit("} -> "), F.element_at(w, -1))
+    src = p.select("p_partkey", text.alias("t"))
+    rows = signature.rename_binders(signature.token_rows(src, "p_partkey", "t"), "p_partkey")
+    arr = signature.collect_tokens(rows, "p_partkey")
+    return arr.select("p_partkey", F.array_join(F.transform("toks", lambda x: x["value"]), " ").alias("renamed"))
+
+
+def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every part name as a query (names on, loose);
+    a part is a hit when its name (last word) is the word or its signature (the
+    name's words and its brand) mentions it; each part once per query."""
+    p = Tables(spark, sf_dir).part
+    w = F.split(F.trim(F.col("p_name")), " +")
+    defs = p.select(F.col("p_partkey").alias("def_id"), F.element_at(w, -1).alias("name"),
+                    F.array_distinct(F.concat(w, F.array("p_brand"))).alias("mentions"))
+    words = p.select(F.explode(w).alias("term")).distinct()
+    q = words.select(F.col("term").alias("query_id"), F.array("term").alias("terms"),
+                     F.lit(True).alias("search_names"), F.lit(False).alias("strict_names"))
+    hits = (search.name_hits(defs, q).withColumn("exact", F.lit(True))
+            .unionByName(search.loose_hits(defs, q).withColumn("exact", F.lit(False))))
+    return (hits.groupBy("query_id", "def_id").agg(F.bool_or("exact").alias("exact"))
+            .select(F.col("query_id").alias("term"), F.col("def_id").alias("p_partkey"), "exact"))
+
 REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
               "array_ops", "flatten",
               "tri_state", "propagate_down", "string_agg", "progress", "enrich", "worklist",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
               "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict",
-              "fifo_match"]
+              "fifo_match", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
+              "name_lookup"]
