@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .scan import running
 
 # Block keywords and the kinds they give.
@@ -57,7 +58,9 @@ def ancestors(ln: DataFrame, key: list[str]) -> DataFrame:
                 exclusive=True)
     c = (a.where(F.col("lvl") <= F.col("eff")).groupBy(*key, "n")
          .agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list("anc")))).alias("ancs")))
-    return e.join(c, key + ["n"], "left").withColumn("ancs", F.coalesce("ancs", F.array().cast("array<int>")))
+    out = e.join(c, key + ["n"], "left").withColumn("ancs", F.coalesce("ancs", F.array().cast("array<int>")))
+    # used several times downstream: materialise (reliable checkpoint) to cut lineage
+    return out.checkpoint()
 
 
 def _is_sig(line: Column) -> Column:
@@ -70,6 +73,7 @@ def classify(ln: DataFrame, key: list[str]) -> DataFrame:
     Output columns: ``key, n, line, w, rest, role, inner_path, ignored, cont_of, block_kind``
     where ``role`` is one of ``opener``, ``signature``, ``continuation``, ``other``.
     """
+    ensure_checkpoint_dir(ln.sparkSession)
     a = ancestors(ln, key)
     first_module = (a.where(F.col("w") == "module").groupBy(*key).agg(F.min("n").alias("__m0")))
     a = a.join(first_module, key, "left")
@@ -101,7 +105,7 @@ def classify(ln: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, "n", "line", "ind", "w", "rest", role.alias("role"),
                       path.alias("inner_path"), F.coalesce("ignored", F.lit(False)).alias("ignored"),
                       F.when(cont, F.col("__sig_anc")).alias("cont_of"),
-                      F.coalesce("block_word", F.lit("")).alias("block_word"))
+                      F.coalesce("block_word", F.lit("")).alias("block_word")).checkpoint()
 
 
 def _strip_where(s: Column) -> Column:

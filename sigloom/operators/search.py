@@ -121,7 +121,9 @@ def _tree(enc, pos=0):
     """Preorder encoding -> (node, next position); node = ('E', [(tag, value)]) or ('F', [children])."""
     e = enc[pos]
     if e["kind"] == 0:
-        return ("E", list(zip(e["tags"] or [], e["vals"] or []))), pos + 1
+        tags = [] if e["tags"] is None else list(e["tags"])
+        vals = [] if e["vals"] is None else list(e["vals"])
+        return ("E", list(zip(tags, vals))), pos + 1
     kids, p = [], pos + 1
     for _ in range(e["n"]):
         k, p = _tree(enc, p)
@@ -236,6 +238,7 @@ def index_definitions(defs: DataFrame, id_col: str = "def_id", type_col: str = "
     text = F.regexp_replace(F.col(type_col), r"^\s*:\s*", "")
     if "type_normalised" in defs.columns:
         text = F.coalesce(F.col("type_normalised"), text)
+    defs = defs.checkpoint()
     src = defs.select(id_col, text.alias("__sig"))
     sig = signature.build_signatures(src, id_col, "__sig", strict_parity)
     sig = sig.withColumnRenamed("error", "sig_error").drop("toks")

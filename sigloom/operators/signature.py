@@ -251,10 +251,12 @@ def build_signatures(defs: DataFrame, id_col: str, text: str, strict_parity: boo
                      unicode: bool = True) -> DataFrame:
     """T1 + T4-T9: ``(id, toks, enc, signature columns..., error)`` for each definition
     with a non-NULL ``text``."""
-    src = defs.where(F.col(text).isNotNull()).select(id_col, text)
+    ensure_checkpoint_dir(defs.sparkSession)
+    src = defs.where(F.col(text).isNotNull()).select(id_col, text).checkpoint()
     rows = rename_binders(token_rows(src, id_col, text, unicode), id_col)
-    arrays = src.select(id_col).join(collect_tokens(rows, id_col), id_col, "left") \
-        .select(id_col, F.coalesce("toks", F.array().cast(f"array<{TOKEN_T}>")).alias("toks"))
+    arrays = (src.select(id_col).join(collect_tokens(rows, id_col), id_col, "left")
+              .select(id_col, F.coalesce("toks", F.array().cast(f"array<{TOKEN_T}>")).alias("toks"))
+              .checkpoint())
     canon = parse_canonical(arrays, id_col, "toks", strict_parity)
     out = arrays.join(canon, id_col)
     cols = signature_columns(F.col("enc"))

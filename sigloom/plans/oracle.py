@@ -323,21 +323,21 @@ SELECT r.user_id, r.event_id AS req_event_id, s.event_id AS resp_event_id
 FROM ok r JOIN ok s ON r.user_id = s.user_id AND r.rn = s.rn AND r.k = 'R' AND s.k = 'S'
 """
 
-_LINES = """
+_LINES = r"""
   SELECT doc_id, n, regexp_replace(line, '\r$', '') AS line FROM (
     SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
 """
 _SIG = r"^\s*(\S+)\s+:\s*(.*)$"
 
-ORACLE["line_scan"] = f"""
+ORACLE["line_scan"] = rf"""
 WITH l AS ({_LINES})
 SELECT doc_id, n, length(regexp_extract(line, '^(\s*)', 1)) AS ind, regexp_extract(line, '^\s*(\S+)', 1) AS w,
        CASE WHEN regexp_matches(line, '{_SIG}') THEN regexp_extract(line, '{_SIG}', 1) END AS sig_name
 FROM l WHERE regexp_matches(line, '\S')
 """
 
-ORACLE["line_fold"] = f"""
+ORACLE["line_fold"] = rf"""
 WITH l AS (SELECT * FROM ({_LINES}) WHERE regexp_matches(line, '\S')),
 i AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(line, '^\p{{Lu}}') THEN n END)
                   OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), -1) AS island FROM l)
