@@ -148,7 +148,9 @@ def definitions_from_lines(cl: DataFrame, key: list[str]) -> DataFrame:
             .select(*key, "inner_path", F.regexp_extract("line", SIG_RE, 1).alias("name"), kind.alias("kind"),
                     F.concat(F.lit(": "), F.regexp_extract("line", SIG_RE, 2), folded).alias("type_raw"), "n"))
     out = record.unionByName(data).unionByName(pattern).unionByName(ctor).unionByName(fld).unionByName(sigs)
-    return out.withColumnRenamed("n", "line_no")
+    # stable, exact identity: source key and line (two definitions never share a line)
+    def_id = F.concat_ws("#", *[F.col(k).cast("string") for k in key], F.col("n").cast("string"))
+    return out.withColumn("def_id", def_id).withColumnRenamed("n", "line_no")
 
 
 def extract_definitions(modules: DataFrame, key: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -116,7 +116,8 @@ def _range(n: str) -> str:
 
 def _run_len(arr: str, tag: str) -> str:
     """Length of the leading run of ``tag`` in ``arr``."""
-    return f"coalesce(array_position(transform({arr}, t -> t.tag != '{tag}'), true) - 1, size({arr}))"
+    pos = f"array_position(transform({arr}, t -> t.tag != '{tag}'), true)"
+    return f"if({pos} = 0, size({arr}), {pos} - 1)"
 
 
 def _depth(arr: str) -> str:

@@ -75,19 +75,29 @@ def read_modules(spark: SparkSession, libraries: DataFrame, extension: str) -> D
     the include dirs; the module name is the path relative to its include dir
     without the extension, separators turned into dots.  When two include dirs
     hold the same module, the later dir wins."""
+    return latest_per_module(source_files(spark, libraries, extension))
+
+
+def source_files(spark: SparkSession, libraries: DataFrame, extension: str) -> DataFrame:
+    """S3: every source file under every include dir ``(library, ord, path, text, module)``
+    (before S5 picks one file per module)."""
     libs = libraries.select("library", "ord", F.regexp_replace("include_dir", "/+$", "").alias("include_dir"))
     dirs = [r["include_dir"] for r in libs.select("include_dir").distinct().collect()]
     if not dirs:
-        return spark.createDataFrame([], "library string, module string, path string, text string, ord int")
+        return spark.createDataFrame([], "library string, ord int, path string, text string, module string")
     files = (spark.read.text(dirs, wholetext=True, recursiveFileLookup=True,
                              pathGlobFilter=f"*{extension}")
              .select(_strip_scheme(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
-    m = files.join(libs, F.col("path").startswith(F.concat(F.col("include_dir"), F.lit("/"))))
+    # a file belongs to every include dir that is one of its folder prefixes: explode the
+    # (depth-bounded) prefixes and equi-join, instead of a prefix-match nested loop
+    parts = F.split(F.col("path"), "/")
+    pref = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+                       lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    m = files.select("*", F.explode(pref).alias("include_dir")).join(libs, "include_dir")
     rel = F.expr("substring(path, length(include_dir) + 2)")
     ext_re = extension.replace(".", r"\.") + "$"
-    m = m.select("library", "ord", "path", "text",
-                 F.regexp_replace(F.regexp_replace(rel, ext_re, ""), "/", ".").alias("module"))
-    return latest_per_module(m)
+    return m.select("library", "ord", "path", "text",
+                    F.regexp_replace(F.regexp_replace(rel, ext_re, ""), "/", ".").alias("module"))
 
 
 def latest_per_module(m: DataFrame) -> DataFrame:

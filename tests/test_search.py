@@ -18,7 +18,7 @@ m : (Nat -> D) -> Bool
 @pytest.fixture(scope="module")
 def index(spark):
     df = spark.createDataFrame([("lib", "T", CORPUS)], "library string, module string, text string")
-    defs = extract.extract_definitions(df).withColumn("def_id", F.xxhash64("name"))
+    defs = extract.extract_definitions(df)
     return search.index_definitions(defs).checkpoint()
 
 

@@ -26,7 +26,7 @@ def test_parse_cases(spark):
 
 def test_strict_parity_strips_unmatched(spark):
     got = _sig(spark, ["(A) → (B)"], strict_parity=True)
-    assert got[0] == ("E", ["A) → (B"], None)
+    assert got[0] == ("E", ["A ) → ( B"], None)
 
 
 def test_canonical_order(spark):

@@ -31,7 +31,7 @@ def test_registry_descriptors_tree_and_index(spark, tmp_path):
     sel = spark.createDataFrame([("mylib", "C", True), ("mylib", "A.B", False)], "library string, module string, enabled boolean")
     assert [r["name"] for r in index.select_modules(back, sel).collect()] == ["h"]
     assert sorted(tuple(r["path"]) for r in index.catalog(back).collect()) == [("A", "B"), ("C",)]
-    files = mods.select("path")
+    files = corpus.source_files(spark, libs, ".src").select("path")
     res = corpus.resolve_files(back.select("library", "module", "name").unionByName(
         spark.createDataFrame([("other", "Q", "q")], "library string, module string, name string")), libs, files, ".src")
     r = {x["name"]: (x["source_path"], x["error"]) for x in res.collect()}
