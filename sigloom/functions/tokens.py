@@ -9,8 +9,11 @@ gaps between tokens.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Token rules in priority order (tag, pattern).  They must equal
 # the reference tokeniser's rules for identical tokens.  Written in the
@@ -44,8 +47,17 @@ RULES: list[tuple[str, str]] = [
 # \s and \d Unicode-aware (as in .NET).  The oracle comparison runs without
 # (?U) because RE2 reads (?U) as "ungreedy".
 PATTERN_PLAIN = "|".join(f"(?:{p})" for _, p in RULES)
-PATTERN = "(?d)" + PATTERN_PLAIN
-PATTERN_UNICODE = "(?dU)" + PATTERN_PLAIN
+
+# Every rule before ``name`` starts with one of these characters.  At a
+# position whose character is not one of them, only ``name`` can match, so
+# trying ``name`` first there gives the same tokens; Java otherwise tries all
+# earlier alternatives at every letter.  (RE2, used by the oracle, has no
+# look-ahead; the oracle keeps PATTERN_PLAIN.)
+_SPECIAL_FIRST = r"""[-{"'\d:→λ(){}⦃⦄_]"""
+_NAME = dict(RULES)["name"]
+PATTERN_FAST = f"(?:(?!{_SPECIAL_FIRST}){_NAME})|" + PATTERN_PLAIN
+PATTERN = "(?d)" + PATTERN_FAST
+PATTERN_UNICODE = "(?dU)" + PATTERN_FAST
 
 
 def _flags(unicode: bool) -> str:
@@ -54,13 +66,16 @@ def _flags(unicode: bool) -> str:
 
 def token_values(text: Column, unicode: bool = False) -> Column:
     """Array of token texts in order."""
-    return F.regexp_extract_all(text, F.lit(_flags(unicode) + PATTERN_PLAIN), 0)
+    return F.regexp_extract_all(text, F.lit(_flags(unicode) + PATTERN_FAST), 0)
 
 
 def tag_of(tok: Column, unicode: bool = False, rules: list[tuple[str, str]] | None = None) -> Column:
     """Tag of one token text: the first rule that matches it whole."""
     fl = _flags(unicode)
     out = None
+    if rules is None:
+        # fast path: a token that does not start like any earlier rule is a name
+        out = F.when(~tok.rlike(f"{fl}^{_SPECIAL_FIRST}"), F.lit("name"))
     for tag, p in rules or RULES:
         cond = tok.rlike(f"{fl}^(?:{p})$")
         out = F.when(cond, F.lit(tag)) if out is None else out.when(cond, F.lit(tag))
@@ -75,7 +90,7 @@ def tokens(text: Column, unicode: bool = False) -> Column:
 
 def gaps(text: Column, unicode: bool = False) -> Column:
     """Text between tokens: element i precedes token i; the last one trails."""
-    return F.split(text, _flags(unicode) + PATTERN_PLAIN, -1)
+    return F.split(text, _flags(unicode) + PATTERN_FAST, -1)
 
 
 def _last_nl(s: Column) -> Column:
@@ -87,48 +102,69 @@ def _nl_count(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
+_POS_T = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("start", "line", "col")])
+
+
+@F.pandas_udf(_POS_T)
+def _positions(lg: pd.Series, lt: pd.Series, ng: pd.Series, nt: pd.Series,
+               qg: pd.Series, qt: pd.Series) -> pd.DataFrame:
+    """Running offsets inside one text (numpy per row, no shuffle).
+
+    Inputs per row: lengths, newline counts and last-newline index (-1 if none)
+    of every gap (g) and token (t); gap i precedes token i.
+    """
+    starts, lines, cols = [], [], []
+    for a, b, c, d, e, f in zip(lg, lt, ng, nt, qg, qt):
+        n = len(b)
+        if n == 0:
+            starts.append([]), lines.append([]), cols.append([])
+            continue
+        a, c, e = np.asarray(a[:n], dtype=np.int64), np.asarray(c[:n], dtype=np.int64), np.asarray(e[:n], dtype=np.int64)
+        b, d, f = np.asarray(b, dtype=np.int64), np.asarray(d, dtype=np.int64), np.asarray(f, dtype=np.int64)
+        piece = a + b
+        off = np.concatenate(([0], np.cumsum(piece)[:-1]))          # start of gap i
+        start = off + a
+        nl_before = np.concatenate(([0], np.cumsum(c + d)[:-1]))
+        # absolute index of the last newline of each piece (gap, then token)
+        last_piece = np.where(f >= 0, start + f, np.where(e >= 0, off + e, -1))
+        prev = np.concatenate(([-1], np.maximum.accumulate(last_piece)[:-1]))
+        last_before = np.where(e >= 0, off + e, prev)
+        starts.append(start.tolist())
+        lines.append((nl_before + c + 1).tolist())
+        cols.append((start - last_before).tolist())
+    return pd.DataFrame({"start": starts, "line": lines, "col": cols})
+
+
+def _lens(arr: Column):
+    return (F.transform(arr, lambda x: F.length(x).cast("bigint")),
+            F.transform(arr, lambda x: _nl_count(x).cast("bigint")),
+            F.transform(arr, lambda x: _last_nl(x).cast("bigint")))
+
+
 def token_table(df: DataFrame, id_col: str, text: str, unicode: bool = False) -> DataFrame:
     """T1+T2: one row per token ``(id, pos, tag, value, gap, start_idx, line, col)``.
 
-    Positions are real: 0-based character index, 1-based line and column.
-    Offsets come from a running sum per text; a text is one row, so a window
-    partition is bounded by the size of that text.
+    Positions are real: 0-based character index, 1-based line and column.  A
+    text is one row, so its running offsets are computed inside the row (no
+    shuffle); tokens are then exploded.
     """
-    from pyspark.sql import Window
-
-    t = df.select(id_col, F.col(text).alias("__t"))
-    t = t.select(id_col, F.arrays_zip(gaps(F.col("__t"), unicode).alias("g"),
-                                      token_values(F.col("__t"), unicode).alias("v")).alias("z"))
-    ex = t.select(id_col, F.posexplode("z").alias("pos", "p")).where(F.col("p.v").isNotNull())
-    ex = ex.select(id_col, "pos", F.col("p.g").alias("gap"), F.col("p.v").alias("value"))
-    piece = F.concat(F.col("gap"), F.col("value"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ex = ex.select("*",
-                   F.coalesce(F.sum(F.length(piece)).over(w), F.lit(0)).alias("__off"),
-                   F.coalesce(F.sum(_nl_count(piece)).over(w), F.lit(0)).alias("__nl"))
-    start = F.col("__off") + F.length("gap")
-    gl = _last_nl(F.col("gap"))
-    ex = ex.withColumn("__prev_nl", _prev_newline_abs(id_col))
-    last_nl_abs = F.when(gl >= 0, F.col("__off") + gl).otherwise(F.col("__prev_nl"))
-    return ex.select(id_col, "pos", tag_of(F.col("value"), unicode).alias("tag"), "value", "gap",
-                     start.cast("bigint").alias("start_idx"),
-                     (F.col("__nl") + _nl_count(F.col("gap")) + 1).cast("bigint").alias("line"),
-                     (start - last_nl_abs).cast("bigint").alias("col"))
-
-
-def _prev_newline_abs(id_col: str) -> Column:
-    """Absolute index of the last newline in all pieces before this row (-1 if none)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.concat(F.col("gap"), F.col("value"))
-    # piece start offset = running length before the piece; computed per row as __off
-    cand = F.when(_last_nl(piece) >= 0, F.col("__off") + _last_nl(piece))
-    return F.coalesce(F.max(cand).over(w), F.lit(-1))
+    t = df.select(id_col, gaps(F.col(text), unicode).alias("g"), token_values(F.col(text), unicode).alias("v"))
+    lg, ng, qg = _lens(F.col("g"))
+    lt, nt, qt = _lens(F.col("v"))
+    t = t.select(id_col, "g", "v", _positions(lg, lt, ng, nt, qg, qt).alias("p"))
+    z = F.arrays_zip(F.col("g").alias("gap"), F.col("v").alias("value"), F.col("p.start").alias("start_idx"),
+                     F.col("p.line").alias("line"), F.col("p.col").alias("col"))
+    ex = t.select(id_col, F.posexplode(z).alias("pos", "r")).where(F.col("r.value").isNotNull())
+    return ex.select(id_col, "pos", tag_of(F.col("r.value"), unicode).alias("tag"), F.col("r.value").alias("value"),
+                     F.col("r.gap").alias("gap"), F.col("r.start_idx").alias("start_idx"),
+                     F.col("r.line").alias("line"), F.col("r.col").alias("col"))
 
 
 def unmatched(df: DataFrame, id_col: str, text: str, unicode: bool = False) -> DataFrame:
     """Text between tokens that is not whitespace; the trailing gap is not reported."""
     t = df.select(id_col, gaps(F.col(text), unicode).alias("g"))
-    t = t.select(id_col, F.slice("g", 1, F.size("g") - 1).alias("g"))
-    return (t.select(id_col, F.posexplode("g").alias("pos", "gap"))
-            .where(F.col("gap").rlike(r"\S")))
+    # keep (position, gap) pairs that hold non-blank text, inside the row, before exploding
+    g = F.col("g")
+    kept = F.filter(F.transform(g, lambda x, i: F.struct(i.alias("pos"), x.alias("gap"))),
+                    lambda p: (p["pos"] < F.size(g) - 1) & p["gap"].rlike(r"\S"))
+    return t.select(id_col, F.explode(kept).alias("p")).select(id_col, "p.pos", "p.gap")

@@ -172,3 +172,32 @@ def display_path(library: Column, module: Column, inner_path: Column) -> Column:
 def split_results(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Successes and failures of one result table."""
     return df.where(F.col(error).isNull()).drop(error), df.where(F.col(error).isNotNull())
+
+
+DEF_KEY = ["library", "module", "inner_path", "name"]
+
+
+def attach_inferred_types(defs: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Definitions enriched with a checker's results.
+
+    ``inferred(library, module, inner_path, name, type_normalised, error)``;
+    a definition without a result keeps ``type_normalised`` NULL (signatures
+    then fall back to the raw type text); a failed check sets ``type_error``.
+    """
+    inf = inferred.select(*DEF_KEY, "type_normalised", F.col("error").alias("type_error"))
+    return defs.join(inf, DEF_KEY, "left")
+
+
+def type_worklist(defs: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Typed definitions that have no checker result yet (anti-join)."""
+    return (defs.where(F.col("type_raw").isNotNull())
+            .join(inferred.select(*DEF_KEY), DEF_KEY, "left_anti"))
+
+
+def progress_counts(results: DataFrame, error: str = "error") -> DataFrame:
+    """A3: per library, definitions processed (successes and errors) and modules done."""
+    return results.groupBy("library").agg(
+        F.count(F.lit(1)).alias("processed"),
+        F.count(F.when(F.col(error).isNull(), 1)).alias("indexed"),
+        F.count(F.when(F.col(error).isNotNull(), 1)).alias("failed"),
+        F.count_distinct("module").alias("modules"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 
 _OPS = ("sum", "min", "max", "last")
+MAX_CHUNKS = 1024
 
 
 def _sample_bounds(df: DataFrame, cols: list[str], n: int, per_chunk: int = 20) -> list:
@@ -105,7 +106,9 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order = list(by), list(order)
     spark = df.sparkSession
-    n = chunks or shuffle_partitions(spark)
+    # enough chunks to spread a hot key over many tasks; the bound keeps the
+    # binary-search expression small when shuffle partitions run into thousands
+    n = chunks or min(shuffle_partitions(spark), MAX_CHUNKS)
     tmp = {name: f"__run_in_{i}" for i, name in enumerate(aggs)}
     order_struct = F.struct(*[F.col(o) for o in order])
     base = df.select("*", *[expr.alias(tmp[name]) for name, (op, expr) in aggs.items()])

@@ -195,7 +195,9 @@ def related_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     leafs_q = F.transform(F.col("q_top"), lambda p: _leaf_tokens(F.get(p, 0)))
     short = F.when(F.col("q_arity") <= F.col("arity"), leafs_q).otherwise(leafs_d)
     long = F.when(F.col("q_arity") <= F.col("arity"), leafs_d).otherwise(leafs_q)
-    ok_flat = cand.where(flat).where(rel.flat_related(short, long))
+    # bind both sides as columns: the fold refers to them inside lambdas
+    ok_flat = (cand.where(flat).withColumn("__s", short).withColumn("__l", long)
+               .where(rel.flat_related(F.col("__s"), F.col("__l"))))
     ok_nested = cand.where(~flat).where(related_tree_udf(F.col("enc"), F.col("q_enc")))
     return ok_flat.select("query_id", "def_id").unionByName(ok_nested.select("query_id", "def_id"))
 

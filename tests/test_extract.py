@@ -66,3 +66,17 @@ def test_signature_at_end_of_file_and_blank_lines(spark):
     df = spark.createDataFrame([("l", "m", "\n\nz : A\n\n  -> B")], "library string, module string, text string")
     rows = extract.extract_definitions(df).collect()
     assert [(r["name"], r["type_raw"]) for r in rows] == [("z", ": A -> B ")]
+
+
+def test_type_enrichment_worklist_progress(spark):
+    defs = spark.createDataFrame([("l", "m", "", "f", ": A"), ("l", "m", "", "g", ": B"), ("l", "n", "", "c", None)],
+                                 "library string, module string, inner_path string, name string, type_raw string")
+    inferred = spark.createDataFrame([("l", "m", "", "f", "A", None), ("l", "m", "", "g", None, "boom")],
+                                     "library string, module string, inner_path string, name string, "
+                                     "type_normalised string, error string")
+    e = {r["name"]: (r["type_normalised"], r["type_error"]) for r in extract.attach_inferred_types(defs, inferred).collect()}
+    assert e == {"f": ("A", None), "g": (None, "boom"), "c": (None, None)}
+    assert extract.type_worklist(defs, inferred.limit(1)).select("name").first()["name"] == "g"
+    res = extract.attach_inferred_types(defs, inferred).withColumnRenamed("type_error", "error")
+    p = extract.progress_counts(res).first()
+    assert (p["processed"], p["indexed"], p["failed"], p["modules"]) == (3, 2, 1, 2)
