@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, checkpoint as _ckpt
 from .scan import running
 
 
@@ -32,10 +32,10 @@ def fifo_pairs(df: DataFrame, by: Sequence[str], order: Sequence[str], is_reques
          .where(F.col("__k").isNotNull()))
     step = F.when(F.col("__k") == "R", 1).otherwise(-1)
     ensure_checkpoint_dir(df.sparkSession)
-    c = running(e, by, order, {"__cum": ("sum", step)}).checkpoint()
+    c = _ckpt(running(e, by, order, {"__cum": ("sum", step)}))
     f = running(c, by, order, {"__min": ("min", F.col("__cum"))}, exclusive=True)
     f = f.withColumn("__flo", F.least(F.lit(0), F.coalesce("__min", F.lit(0))))
-    ok = f.where((F.col("__k") == "R") | (F.col("__cum") >= F.col("__flo"))).checkpoint()
+    ok = _ckpt(f.where((F.col("__k") == "R") | (F.col("__cum") >= F.col("__flo"))))
     n = running(ok.select(*by, *order, id_col, "__k"), by + ["__k"], order, {"__n": ("sum", F.lit(1))})
     req = n.where(F.col("__k") == "R").select(*by, "__n", F.col(id_col).alias(f"req_{id_col}"))
     resp = n.where(F.col("__k") == "S").select(*by, "__n", F.col(id_col).alias(f"resp_{id_col}"))

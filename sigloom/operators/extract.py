@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, checkpoint as _ckpt
 from .scan import running
 
 # Block keywords and the kinds they give.
@@ -60,7 +60,7 @@ def ancestors(ln: DataFrame, key: list[str]) -> DataFrame:
          .agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list("anc")))).alias("ancs")))
     out = e.join(c, key + ["n"], "left").withColumn("ancs", F.coalesce("ancs", F.array().cast("array<int>")))
     # used several times downstream: materialise (reliable checkpoint) to cut lineage
-    return out.checkpoint()
+    return _ckpt(out)
 
 
 def _is_sig(line: Column) -> Column:
@@ -102,10 +102,10 @@ def classify(ln: DataFrame, key: list[str]) -> DataFrame:
             .when(F.col("w").isin(*OPENER_WORDS, "constructor", "pattern"), F.lit("opener"))
             .when(_is_sig(F.col("line")), F.lit("signature"))
             .otherwise(F.lit("other")))
-    return out.select(*key, "n", "line", "ind", "w", "rest", role.alias("role"),
-                      path.alias("inner_path"), F.coalesce("ignored", F.lit(False)).alias("ignored"),
-                      F.when(cont, F.col("__sig_anc")).alias("cont_of"),
-                      F.coalesce("block_word", F.lit("")).alias("block_word")).checkpoint()
+    return _ckpt(out.select(*key, "n", "line", "ind", "w", "rest", role.alias("role"),
+                            path.alias("inner_path"), F.coalesce("ignored", F.lit(False)).alias("ignored"),
+                            F.when(cont, F.col("__sig_anc")).alias("cont_of"),
+                            F.coalesce("block_word", F.lit("")).alias("block_word")))
 
 
 def _strip_where(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, checkpoint as _ckpt
 
 
 def nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -36,14 +36,14 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst",
     level = 0
     while max_rounds is None or level < max_rounds:
         frontier = remaining.join(e.select(F.col("d").alias("node")), "node", "left_anti")
-        frontier = frontier.checkpoint() if level % checkpoint_every == 0 else frontier.cache()
+        frontier = _ckpt(frontier) if level % checkpoint_every == 0 else frontier.cache()
         if frontier.isEmpty():
             break
         done.append(frontier.select("node", F.lit(level).alias("level")))
         remaining = remaining.join(frontier, "node", "left_anti")
         e = e.join(frontier.select(F.col("node").alias("s")), "s", "left_anti")
         if level % checkpoint_every == 0:
-            remaining, e = remaining.checkpoint(), e.checkpoint()
+            remaining, e = _ckpt(remaining), _ckpt(e)
         level += 1
     out = remaining.select("node", F.lit(None).cast("int").alias("level"))
     for d in done:

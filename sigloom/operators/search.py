@@ -21,6 +21,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..session import checkpoint as _ckpt
 from pyspark.sql import types as T
 
 from ..functions import relations as rel
@@ -61,7 +63,7 @@ def prepare_queries(queries: DataFrame, query_types: DataFrame | None = None) ->
     sig = sig.where(F.col("error").isNull()).drop("error", "toks")
     sig = sig.select("query_id", *[F.col(c).alias(f"q_{c}") for c in sig.columns if c != "query_id"])
     # one row per query: materialised so every search branch reads it, not its plan
-    return q.join(sig, "query_id", "left").checkpoint()
+    return _ckpt(q.join(sig, "query_id", "left"))
 
 
 # ------------------------------------------------------------------ names
@@ -240,7 +242,7 @@ def index_definitions(defs: DataFrame, id_col: str = "def_id", type_col: str = "
     text = F.regexp_replace(F.col(type_col), r"^\s*:\s*", "")
     if "type_normalised" in defs.columns:
         text = F.coalesce(F.col("type_normalised"), text)
-    defs = defs.checkpoint()
+    defs = _ckpt(defs)
     src = defs.select(id_col, text.alias("__sig"))
     sig = signature.build_signatures(src, id_col, "__sig", strict_parity)
     sig = sig.withColumnRenamed("error", "sig_error").drop("toks")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, checkpoint as _ckpt
 
 OPEN = ("parenL", "curlyL", "instsL")
 CLOSE = ("parenR", "curlyR", "instsR")
@@ -191,7 +191,7 @@ def parse_canonical(sigs: DataFrame, id_col: str = "id", toks: str = "toks",
     step_sql = parts_sql("__in", strict_parity)
     for depth in range(max_depth + 2):
         # materialise every round: keeps plans small and cuts lineage (reliable checkpoint)
-        stepped = seg.withColumn("__parts", F.expr(step_sql)).checkpoint()
+        stepped = _ckpt(seg.withColumn("__parts", F.expr(step_sql)))
         bad = stepped.where(F.size("__parts") == 0).select(i)
         empty_paths = bad if empty_paths is None else empty_paths.unionByName(bad)
         leaves.append(stepped.where(F.size("__parts") == 1)
@@ -253,11 +253,10 @@ def build_signatures(defs: DataFrame, id_col: str, text: str, strict_parity: boo
     """T1 + T4-T9: ``(id, toks, enc, signature columns..., error)`` for each definition
     with a non-NULL ``text``."""
     ensure_checkpoint_dir(defs.sparkSession)
-    src = defs.where(F.col(text).isNotNull()).select(id_col, text).checkpoint()
+    src = _ckpt(defs.where(F.col(text).isNotNull()).select(id_col, text))
     rows = rename_binders(token_rows(src, id_col, text, unicode), id_col)
-    arrays = (src.select(id_col).join(collect_tokens(rows, id_col), id_col, "left")
-              .select(id_col, F.coalesce("toks", F.array().cast(f"array<{TOKEN_T}>")).alias("toks"))
-              .checkpoint())
+    arrays = _ckpt(src.select(id_col).join(collect_tokens(rows, id_col), id_col, "left")
+                   .select(id_col, F.coalesce("toks", F.array().cast(f"array<{TOKEN_T}>")).alias("toks")))
     canon = parse_canonical(arrays, id_col, "toks", strict_parity)
     out = arrays.join(canon, id_col)
     cols = signature_columns(F.col("enc"))

@@ -77,3 +77,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's checkpoint folder (cuts lineage).
+
+    The folder comes from ``spark.checkpoint.dir``; a local one is made only
+    when the setting is absent (tests, local runs)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
