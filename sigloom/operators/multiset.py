@@ -108,12 +108,14 @@ def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "
     small = shape.where(F.col("k") <= enum_limit)
     # subsets of each small signature's distinct parts
     arr = (dl.join(small.select(id_col), id_col, "left_semi")
-           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*FP))).alias("ps")))
-    subs = (arr.select(id_col, "ps", F.explode(F.expr("sequence(1, (1 << size(ps)) - 1)")).alias("m"))
-            .select(id_col, F.expr("filter(ps, (x, i) -> ((m >> i) & 1) = 1)").alias("s")))
-    subs = subs.select(id_col, *[F.aggregate(F.col("s"), F.lit(0).cast("bigint"), _adder(f)).alias(f)
-                                 for f in FP])
-    subs = subs.join(small.select(id_col, "arity"), id_col)
+           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*FP))).alias("ps"))
+           .join(small.select(id_col, "arity"), id_col))   # arity attached before the 2^k explode
+    subs = (arr.select(id_col, "arity", "ps", F.explode(F.expr("sequence(1, (1 << size(ps)) - 1)")).alias("m"))
+            .select(id_col, "arity", F.expr("filter(ps, (x, i) -> ((m >> i) & 1) = 1)").alias("s")))
+    subs = subs.select(id_col, "arity", *[F.aggregate(F.col("s"), F.lit(0).cast("bigint"), _adder(f)).alias(f)
+                                          for f in FP])
+    # read by both count branches: built once (recomputable from lineage if lost)
+    subs = subs.persist()
 
     # A: d small with arity(d) >= arity(q) and distinct(q) is one of d's subsets
     a_cnt = subs.groupBy(*FP, "arity").agg(F.count(F.lit(1)).alias("n"))
