@@ -32,8 +32,8 @@ dl AS (SELECT DISTINCT oid, leaf FROM items),
 pairs AS (SELECT a.oid AS q, b.oid AS d, count(*) AS shared
           FROM dl a JOIN dl b ON a.leaf = b.leaf GROUP BY a.oid, b.oid)
 SELECT p.q AS o_orderkey, qa.arity AS arity,
-       sum(CASE WHEN (da.arity >= qa.arity AND p.shared = qa.k)
-                  OR (da.arity < qa.arity AND p.shared = da.k) THEN 1 ELSE 0 END) AS n_related
+       CAST(sum(CASE WHEN (da.arity >= qa.arity AND p.shared = qa.k)
+                  OR (da.arity < qa.arity AND p.shared = da.k) THEN 1 ELSE 0 END) AS BIGINT) AS n_related
 FROM pairs p JOIN ar qa ON qa.oid = p.q JOIN ar da ON da.oid = p.d
 GROUP BY p.q, qa.arity
 """
@@ -59,12 +59,12 @@ st AS (SELECT user_id, nd AS seg, count(*) AS n_items,
               last(event_id ORDER BY ts, event_id) AS last_event_id
        FROM r WHERE NOT d GROUP BY user_id, nd),
 k AS (SELECT user_id, nd - 1 AS seg FROM r WHERE d UNION SELECT user_id, seg FROM st)
-SELECT k.user_id, k.seg, coalesce(st.n_items, 0) AS n_items, st.first_event_id, st.last_event_id
+SELECT k.user_id, CAST(k.seg AS BIGINT) AS seg, coalesce(st.n_items, 0) AS n_items, st.first_event_id, st.last_event_id
 FROM k LEFT JOIN st ON st.user_id = k.user_id AND st.seg = k.seg
 """
 
 ORACLE["seq_nesting"] = """
-SELECT user_id, event_id, depth, depth = 0 AS balanced FROM (
+SELECT user_id, event_id, CAST(depth AS BIGINT) AS depth, depth = 0 AS balanced FROM (
   SELECT user_id, event_id,
          sum(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)
            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS depth
@@ -245,9 +245,10 @@ o AS (SELECT *, coalesce(sum(length(gap || value)) OVER w, 0) AS off,
 p AS (SELECT *, coalesce(max(CASE WHEN {_lastnl("(gap || value)")} >= 0 THEN off + {_lastnl("(gap || value)")} END)
                   OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev_nl
       FROM o)
-SELECT doc_id, pos, {_TAG} AS tag, value, off + length(gap) AS start_idx,
-       nl + {_nl("gap")} + 1 AS line,
-       off + length(gap) - (CASE WHEN {_lastnl("gap")} >= 0 THEN off + {_lastnl("gap")} ELSE prev_nl END) AS col
+SELECT doc_id, pos, {_TAG} AS tag, value, CAST(off + length(gap) AS BIGINT) AS start_idx,
+       CAST(nl + {_nl("gap")} + 1 AS BIGINT) AS line,
+       CAST(off + length(gap) - (CASE WHEN {_lastnl("gap")} >= 0 THEN off + {_lastnl("gap")} ELSE prev_nl END)
+            AS BIGINT) AS col
 FROM p
 """
 
