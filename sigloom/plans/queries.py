@@ -94,11 +94,11 @@ def array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = Tables(spark, sf_dir).embeddings
     return emb.select(
         "vec_id",
-        F.size(e).alias("n"),
-        F.size(F.filter(e, lambda x: x < 0)).alias("n_neg"),
+        F.size(e).cast("bigint").alias("n"),
+        F.size(F.filter(e, lambda x: x < 0)).cast("bigint").alias("n_neg"),
         sequence.array_find_index(e, lambda x: x < 0).alias("first_neg_idx"),
-        sequence.array_leading_run(e, lambda x: x >= 0).alias("lead_nonneg"),
-        F.size(F.concat(F.slice(e, 2, 3), F.array(sequence.array_from_end(e, 1)))).alias("n_cut"),
+        sequence.array_leading_run(e, lambda x: x >= 0).cast("bigint").alias("lead_nonneg"),
+        F.size(F.concat(F.slice(e, 2, 3), F.array(sequence.array_from_end(e, 1)))).cast("bigint").alias("n_cut"),
         (sequence.array_from_end(e, 1) > F.get(e, 0)).alias("last_gt_first"),
         F.exists(e, lambda x: x > 0.9).alias("any_high"),
         F.forall(e, lambda x: F.abs(x) < 1).alias("all_unit"),
@@ -111,7 +111,7 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.flatten(F.transform(F.split(F.col("text"), "\n"),
                                   lambda l: F.filter(F.split(l, " "), lambda w: w != "")))
     return (docs.select("doc_id", words.alias("w"))
-            .select("doc_id", F.size("w").alias("n_words"), F.get("w", 0).alias("first_word"),
+            .select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.get("w", 0).alias("first_word"),
                     F.try_element_at("w", F.lit(-1)).alias("last_word"),
                     F.array_join(F.slice("w", 1, 3), " ").alias("head")))
 
@@ -258,13 +258,13 @@ def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every document with its tag and real position."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    return tokens.token_table(docs, "doc_id", "text").drop("gap")
+    return tokens.token_table(docs, "doc_id", "text").drop("gap").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def token_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank text between tokens (the trailing gap is not reported)."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    return tokens.unmatched(docs, "doc_id", "text")
+    return tokens.unmatched(docs, "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 LOG_PROMPT = "> "
@@ -325,7 +325,7 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     and, for ``name : type`` lines, the declared name."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
     ln = extract.lines(docs, ["doc_id"])
-    return ln.select("doc_id", "n", "ind", "w",
+    return ln.select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("ind").cast("bigint").alias("ind"), "w",
                      F.when(F.col("line").rlike(extract.SIG_RE), F.regexp_extract("line", extract.SIG_RE, 1))
                      .alias("sig_name"))
 
@@ -335,7 +335,7 @@ def line_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
     ln = extract.lines(docs, ["doc_id"])
     isl = running(ln, ["doc_id"], ["n"], {"island": ("max", F.when(F.col("line").rlike(r"^\p{Lu}"), F.col("n")))})
-    isl = isl.withColumn("island", F.coalesce("island", F.lit(-1)))
+    isl = isl.withColumn("island", F.coalesce("island", F.lit(-1)).cast("bigint"))
     return isl.groupBy("doc_id", "island").agg(
         F.count(F.lit(1)).alias("n_lines"),
         hierarchy.ordered_join(F.col("line"), F.col("n"), " ").alias("folded"))
