@@ -272,7 +272,8 @@ def _leaf_key(e: Column) -> Column:
 def part_keys(top: Column) -> Column:
     """Blocking keys for related search: the keys of the top-level leaf parts,
     or, when every part is a function, all leaf keys of the first part."""
-    leaf_parts = F.filter(top, lambda p: F.get(p, 0)["kind"] == 0)
-    first = F.filter(F.coalesce(F.get(top, 0), F.array()), lambda e: e["kind"] == 0)
+    # an empty leaf relates to anything, so it never serves as a (necessary) blocking key
+    leaf_parts = F.filter(top, lambda p: (F.get(p, 0)["kind"] == 0) & (F.get(p, 0)["n"] > 0))
+    first = F.filter(F.coalesce(F.get(top, 0), F.array()), lambda e: (e["kind"] == 0) & (e["n"] > 0))
     return F.array_distinct(F.when(F.size(leaf_parts) > 0, F.transform(leaf_parts, lambda p: _leaf_key(F.get(p, 0))))
                             .otherwise(F.transform(first, _leaf_key)))
