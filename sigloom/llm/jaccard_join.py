@@ -7,14 +7,14 @@ in the whole corpus (a table of fixed size; the order changes the speed, never t
 
 1. Documents with the same set are one vertex (its id: a hash of the set); vertices with the same prefix and
    size are one group, and groups, not documents, are joined on prefix tokens.
-2. Star round: a group is compared only with one group of smaller id that shares a token, and a vertex with
-   the first vertex of its group. A group of near copies of any size falls into one component after work in
-   proportion to its members.
+2. Star round: on each token every group is compared only with one centre (three choices of centre, by token,
+   so that one odd centre cannot keep a cluster apart), and a vertex with the first vertex of its group. A
+   cluster of near copies of any size falls into one component after work in proportion to its members.
 3. Cross round: on every token whose groups still lie in several components, the groups outside its largest
-   component are paired with those of other components, cut by size and by the positions of the token; the
-   pairs of groups are expanded to pairs of vertices. Pairs inside a component need no test: they can only
-   confirm it.
-4. Every pair is verified on the whole sets.
+   component are paired with those of other components; the pairs of groups are expanded to pairs of vertices.
+   Pairs inside a component need no test: they can only confirm it.
+4. Pairs of groups are cut by their sizes and by the positions of the shared token; each pair that is left is
+   verified on the whole sets. Only documents in such pairs have their sets built.
 
 Defined results: a null or empty text, and a text without words, has ``n_shingles`` 0 and is linked with
 nothing. A null ``doc_id`` takes part like any other; ``component_id`` is the smallest non-null id of the
@@ -28,12 +28,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
 from .common import components, small, store
 
+TOKEN_MASK = np.uint64((1 << 48) - 1)  # tokens of the join; equal low bits can only add candidates
 ORDER_BITS = 20  # 2^20 counters: 4 MB while counted, 1 MB when broadcast
 
 
@@ -74,7 +76,7 @@ def _set_id(s: np.ndarray) -> np.uint64:
 
 def _prefixes(classes, bits: int, k: int, num: int, den: int):
     def run(batches):
-        cls = classes.value
+        cls, rid = classes.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
             buf, offs = th.utf8(batch.column(1))
@@ -90,13 +92,14 @@ def _prefixes(classes, bits: int, k: int, num: int, den: int):
                     n.append(size)
                     fp.append(_set_id(s).view(np.int64))
                     grp.append(_set_id(np.append(first, np.uint64(size))).view(np.int64))
-                    pre.append(first.view(np.int64))
+                    pre.append((first & TOKEN_MASK).view(np.int64))
                 lens = np.cumsum([0, *map(len, pre)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(grp, pa.int64()),
+                    [ids[i:j], pa.array(np.arange(rid, rid + j - i)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(grp, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(lens, pa.int32()),
                                               pa.array(np.concatenate(pre) if pre else [], pa.int64()))],
-                    ["doc_id", "n", "fp", "grp", "prefix"])
+                    ["doc_id", "rid", "n", "fp", "grp", "prefix"])
+                rid += j - i
     return run
 
 
@@ -127,11 +130,16 @@ def _linked(num: int, den: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "a long, b long")
+def _verify(pairs: DataFrame, docs: DataFrame, vertex: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs of vertices ``(a, b)`` whose whole sets are similar enough."""
+    pairs = store(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    need = small(store(vertex.join(ends, "fp").select(F.col("doc_id").alias("id"))))
+    sets = store(docs.join(need, docs["doc_id"].eqNullSafe(need["id"]), "left_semi").select("text")
+                 .mapInArrow(_sets(k), "fp long, s binary").dropDuplicates(["fp"]))
+    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+            .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
+    return store(both.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -142,37 +150,46 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     rows = store(docs.mapInArrow(_prefixes(classes, ORDER_BITS, k, num, den),
-                                 "doc_id long, n int, fp long, grp long, prefix array<long>"))
+                                 "doc_id long, rid long, n int, fp long, grp long, prefix array<long>"))
     vertex = store(rows.where("n > 0").groupBy("fp")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n")))
     group = (vertex.groupBy("grp").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"),
                                        F.first("n").alias("n")))
-    post = (rows.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("pos", "token")))
-    shared = post.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1")
-    post = store(post.join(shared.select("token", "g0"), "token"))  # tokens that several groups have
+    # Postings of tokens that occur in several rows, and of these, by group.
+    post = rows.where("n > 0").select("rid", F.posexplode("prefix").alias("pos", "token"))
+    often = post.groupBy("token").count().where("count > 1").select("token")
+    slim = small(store(rows.select("rid", "grp", "n")))
+    post = store(post.join(often, "token").join(slim, "rid")
+                 .groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+
+    def may_link(n1, pos1, n2, pos2):
+        """Sizes are near enough, and what is left from the shared token on can hold the overlap."""
+        n1, pos1, n2, pos2 = F.col(n1), F.col(pos1), F.col(n2), F.col(pos2)
+        overlap = F.ceil((n1 + n2) * num / (num + den) - 1e-9)
+        return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= overlap)
 
     # Star round.
-    star = post.where("grp <> g0").groupBy("grp").agg(F.min("g0").alias("g0"))
+    draw = post.withColumn("h", F.xxhash64("grp", F.pmod("token", F.lit(3))))
+    centre = draw.groupBy("token").agg(F.min("h").alias("h"), F.max("h").alias("h1")).where("h <> h1").select("token", "h")
+    centre = draw.join(centre, ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos")])
     lead = group.select("grp", "lead")
-    star = (star.join(lead, "grp").join(lead.select(F.col("grp").alias("g0"), F.col("lead").alias("lead0")), "g0")
+    star = (post.join(centre, "token").where((F.col("grp") != F.col("grp0")) & may_link("n", "pos", "n0", "pos0"))
+            .select("grp", "grp0").distinct().join(lead, "grp")
+            .join(lead.select(F.col("grp").alias("grp0"), F.col("lead").alias("lead0")), "grp0")
             .select(F.least("lead", "lead0").alias("a"), F.greatest("lead", "lead0").alias("b")))
-    crowd = group.where("lead <> last").select("grp", "lead")
-    inner = vertex.join(crowd, "grp").where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
-    active = post.select("grp").union(crowd.select("grp")).distinct()
-    live = store(vertex.join(active, "grp"))
-    need = small(store(live.select("doc_id", F.col("fp").alias("want"))))
-    sets = store(docs.join(need, docs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi").select("text")
-                 .mapInArrow(_sets(k), "fp long, s binary").dropDuplicates(["fp"]))
-    found = store(_verify(star.unionByName(inner).distinct(), sets, num, den))
+    crowd = store(group.where("lead <> last").select("grp", "lead", "n"))
+    inner = vertex.join(crowd.select("grp", "lead"), "grp").where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    tried = store(star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    found = _verify(tried, docs, vertex, k, num, den)
     root = components(found)
 
     # Cross round, on what the star round left in several components.
-    live = live.join(root.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    live = store(live.select("fp", "grp", "n", "root"))
+    active = post.select("grp").union(crowd.select("grp")).distinct()
+    live = vertex.join(active, "grp").join(root.withColumnRenamed("v", "fp"), "fp", "left")
+    live = store(live.select("fp", "grp", F.coalesce("root", "fp").alias("root")))
     part = live.select("grp", "root").distinct()
     lists = (post.select("token", "grp", "n", "pos")
-             .unionByName(crowd.join(group.select("grp", "n"), "grp")
-                          .select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("pos"))).distinct())
+             .unionByName(crowd.select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("pos"))))
     lists = lists.join(part, "grp")
     split = (lists.groupBy("token", "root").count().groupBy("token")
              .agg(F.max_by("root", "count").alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -180,18 +197,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     lists = store(lists.join(split, "token"))
     x = lists.where("root <> main").select("token", *[F.col(c).alias(c + "x") for c in ("grp", "n", "pos", "root")])
     y = lists.select("token", *[F.col(c).alias(c + "y") for c in ("grp", "n", "pos", "root", "main")])
-    need_both = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den) - 1e-9)
     cross = (x.join(y, "token")
              .where((F.col("rootx") != F.col("rooty"))
                     & ((F.col("rooty") == F.col("mainy")) | (F.col("grpx") < F.col("grpy"))
                        | ((F.col("grpx") == F.col("grpy")) & (F.col("rootx") < F.col("rooty"))))
-                    & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny"))
-                    & (F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= need_both))
+                    & may_link("nx", "posx", "ny", "posy"))
              .select("grpx", "rootx", "grpy", "rooty").distinct())
     m = live.select("fp", "grp", "root")
-    pairs = (cross.join(m.toDF("a", "grpx", "rootx"), ["grpx", "rootx"])
-             .join(m.toDF("b", "grpy", "rooty"), ["grpy", "rooty"]).select("a", "b"))
-    more = store(_verify(pairs, sets, num, den))
+    pairs = (cross.join(m.toDF("x", "grpx", "rootx"), ["grpx", "rootx"])
+             .join(m.toDF("y", "grpy", "rooty"), ["grpy", "rooty"])
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    more = _verify(pairs.join(tried, ["a", "b"], "left_anti"), docs, vertex, k, num, den)
     if not more.isEmpty():
         top = root.toDF("v", "r")
         over = (more.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
@@ -210,10 +226,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest ``doc_id`` (with repeated rows
-    of that id, one of them), and every row without words or without ``doc_id``. Columns are those of ``docs``."""
-    got = (jaccard_components(docs, **options).where("doc_id <> component_id")
-           .select(F.col("doc_id").alias("gone")).distinct())
-    gone = small(store(got))
+    """The documents that stay: of each component the one with the smallest ``doc_id``, once if its row is
+    repeated, and every row without words or without ``doc_id``. Rows of equal ``doc_id`` go or stay together.
+    Columns are those of ``docs``."""
+    got = store(jaccard_components(docs, **options).select("doc_id", "component_id").where("doc_id is not null"))
+    gone = small(store(got.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()))
     left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    return left
+    twice = store(got.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
+    if twice.isEmpty():
+        return left
+    twice = small(twice)
+    again = left["doc_id"] == twice["twice"]
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
