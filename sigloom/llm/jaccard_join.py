@@ -8,13 +8,17 @@ in the whole corpus (a table of fixed size; the order changes the speed, never t
 1. Documents with the same set are one vertex (its id: a hash of the set); vertices with the same prefix and
    size are one group, and groups, not documents, are joined on prefix tokens.
 2. Star round: on each token every group is compared only with one centre (three choices of centre, by token,
-   so that one odd centre cannot keep a cluster apart), and a vertex with the first vertex of its group. A
-   cluster of near copies of any size falls into one component after work in proportion to its members.
+   so that one odd centre cannot keep a cluster apart), and a vertex with the first vertex of its group. On
+   tokens whose groups still lie in several components a second star takes the group as the centre that shares
+   most of its prefix: among many altered copies of one text that is the least altered. A cluster of near
+   copies of any size falls into few components after work in proportion to its members.
 3. Cross round: on every token whose groups still lie in several components, the groups outside its largest
    component are paired with those of other components; the pairs of groups are expanded to pairs of vertices.
    Pairs inside a component need no test: they can only confirm it.
-4. Pairs of groups are cut by their sizes and by the positions of the shared token; each pair that is left is
-   verified on the whole sets. Only documents in such pairs have their sets built.
+4. Pairs of groups are cut by their sizes and by the positions of the shared token, then by the number of
+   prefix tokens they share: of the two, the one whose prefix ends first has no shared token beyond those but
+   in the rest behind its prefix. Each pair that is left is verified on the whole sets. Only documents in such
+   pairs have their sets built.
 
 Defined results: a null or empty text, and a text without words, has ``n_shingles`` 0 and is linked with
 nothing. A null ``doc_id`` takes part like any other; ``component_id`` is the smallest non-null id of the
@@ -168,13 +172,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         overlap = F.ceil((n1 + n2) * num / (num + den) - 1e-9)
         return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= overlap)
 
+    def shared_enough(pairs: DataFrame, g1: str, g2: str) -> DataFrame:
+        """The pairs of groups that share enough tokens of their prefixes, counted on the postings."""
+        one, two = (post.select(F.col("grp").alias(g), "token", F.col("n").alias(n)) for g, n in ((g1, "n1"), (g2, "n2")))
+        count = (pairs.select(g1, g2).distinct().join(one, g1).join(two, [g2, "token"])
+                 .groupBy(g1, g2).agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2")))
+        overlap = F.ceil((F.col("n1") + F.col("n2")) * num / (num + den) - 1e-9)
+        rest = F.ceil(F.greatest("n1", "n2") * num / den - 1e-9) - 1  # behind the longer prefix
+        return count.where(F.col("shared") + rest >= overlap).select(g1, g2)
+
     # Star round.
     draw = post.withColumn("h", F.xxhash64("grp", F.pmod("token", F.lit(3))))
     centre = draw.groupBy("token").agg(F.min("h").alias("h"), F.max("h").alias("h1")).where("h <> h1").select("token", "h")
     centre = draw.join(centre, ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos")])
     lead = group.select("grp", "lead")
-    star = (post.join(centre, "token").where((F.col("grp") != F.col("grp0")) & may_link("n", "pos", "n0", "pos0"))
-            .select("grp", "grp0").distinct().join(lead, "grp")
+    star = post.join(centre, "token").where((F.col("grp") != F.col("grp0")) & may_link("n", "pos", "n0", "pos0"))
+    star = (shared_enough(star, "grp", "grp0").join(lead, "grp")
             .join(lead.select(F.col("grp").alias("grp0"), F.col("lead").alias("lead0")), "grp0")
             .select(F.least("lead", "lead0").alias("a"), F.greatest("lead", "lead0").alias("b")))
     crowd = store(group.where("lead <> last").select("grp", "lead", "n"))
@@ -183,18 +196,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     found = _verify(tried, docs, vertex, k, num, den)
     root = components(found)
 
-    # Cross round, on what the star round left in several components.
-    active = post.select("grp").union(crowd.select("grp")).distinct()
-    live = vertex.join(active, "grp").join(root.withColumnRenamed("v", "fp"), "fp", "left")
-    live = store(live.select("fp", "grp", F.coalesce("root", "fp").alias("root")))
-    part = live.select("grp", "root").distinct()
-    lists = (post.select("token", "grp", "n", "pos")
-             .unionByName(crowd.select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("pos"))))
-    lists = lists.join(part, "grp")
-    split = (lists.groupBy("token", "root").count().groupBy("token")
-             .agg(F.max_by("root", "count").alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .where("r0 <> r1").select("token", "main"))
-    lists = store(lists.join(split, "token"))
+    active = store(post.select("grp").union(crowd.select("grp")).distinct())
+
+    def unresolved(root: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Vertices with their components, and the postings of tokens whose groups lie in several of them
+        (``main``: the largest). A group of several vertices is a list of its own."""
+        live = vertex.join(active, "grp").join(root.withColumnRenamed("v", "fp"), "fp", "left")
+        live = store(live.select("fp", "grp", F.coalesce("root", "fp").alias("root")))
+        lists = (post.select("token", "grp", "n", "pos")
+                 .unionByName(crowd.select(F.col("grp").alias("token"), "grp", "n", F.lit(0).alias("pos"))))
+        lists = lists.join(live.select("grp", "root").distinct(), "grp")
+        split = (lists.groupBy("token", "root").count().groupBy("token")
+                 .agg(F.max_by("root", "count").alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+                 .where("r0 <> r1").select("token", "main"))
+        return live, store(lists.join(split, "token"))
+
+    # Second star: on each token the group with the smallest share of prefix tokens that no other group has.
+    live, lists = unresolved(root)
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
+    alone = (post.groupBy("grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+             .select("grp", F.floor((1 - F.col("shared") / prefix) * (1 << 20)).cast("long").alias("alone")))
+    best = live.groupBy("grp", "root").agg(F.min("fp").alias("fp")).join(alone, "grp", "left")
+    key = F.coalesce("alone", F.lit(1 << 20)) * (1 << 42) + F.pmod(F.xxhash64("grp", "root"), F.lit(1 << 42))
+    draw = store(lists.join(best.withColumn("h", key), ["grp", "root"]))
+    centre = draw.groupBy("token").agg(F.min("h").alias("h"))
+    centre = draw.join(centre, ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos", "root", "fp")])
+    star = (draw.join(centre, "token").where((F.col("root") != F.col("root0")) & may_link("n", "pos", "n0", "pos0"))
+            .select("grp", "grp0", "fp", "fp0").distinct())
+    star = star.where("grp = grp0").unionByName(
+        star.join(shared_enough(star.where("grp <> grp0"), "grp", "grp0"), ["grp", "grp0"]).select(star.columns))
+    star = star.select(F.least("fp", "fp0").alias("a"), F.greatest("fp", "fp0").alias("b"))
+    star = store(star.distinct().join(tried, ["a", "b"], "left_anti"))
+    found = found.unionByName(_verify(star, docs, vertex, k, num, den))
+    tried, root = tried.unionByName(star), components(found)
+
+    # Cross round, on what the stars left in several components.
+    live, lists = unresolved(root)
     x = lists.where("root <> main").select("token", *[F.col(c).alias(c + "x") for c in ("grp", "n", "pos", "root")])
     y = lists.select("token", *[F.col(c).alias(c + "y") for c in ("grp", "n", "pos", "root", "main")])
     cross = (x.join(y, "token")
@@ -203,6 +240,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
                        | ((F.col("grpx") == F.col("grpy")) & (F.col("rootx") < F.col("rooty"))))
                     & may_link("nx", "posx", "ny", "posy"))
              .select("grpx", "rootx", "grpy", "rooty").distinct())
+    same = F.col("grpx") == F.col("grpy")
+    cross = store(cross)
+    cross = cross.where(same).unionByName(
+        cross.join(shared_enough(cross.where(~same), "grpx", "grpy"), ["grpx", "grpy"]).select(cross.columns))
     m = live.select("fp", "grp", "root")
     pairs = (cross.join(m.toDF("x", "grpx", "rootx"), ["grpx", "rootx"])
              .join(m.toDF("y", "grpy", "rooty"), ["grpy", "rooty"])
