@@ -6,7 +6,7 @@ documents' ids and lengths and the number of ids that precede it in its part. Pa
 ``doc_id`` order. Spark's writer commits whole tasks, so a lost executor leaves no half file.
 
 The tokenizer's splitter always begins a piece at a space that stands between two other non-space characters,
-so texts are cut there and each distinct cut is encoded once (a memo of bounded size per task).
+so texts are cut there and each distinct cut is encoded once (a memo of bounded size per Python worker).
 
 Defined results: a null or empty text is the end id alone. Rows without ``doc_id`` come first. Rows of equal
 ``doc_id`` follow each other in order of their text. Strings that look like special tokens are ordinary text.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -129,6 +130,12 @@ class Encoder:
         return ids, np.add.reduceat(size, np.cumsum(n) - n)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker; its memo is bounded."""
+    return Encoder(path)
+
+
 def _spaced(text: str) -> list[str]:
     """Cuts at the spaces that stand between two other non-space characters."""
     first, *rest = _SAFE.split(text)
@@ -137,7 +144,7 @@ def _spaced(text: str) -> list[str]:
 
 def _write(path: str, end_id: int):
     def run(batches):
-        encoder, before, part, chunk = Encoder(path), 0, None, 0
+        encoder, before, part, chunk = _encoder(path), 0, None, 0
         docs, lens, ids = [], [], []
 
         def flush():
