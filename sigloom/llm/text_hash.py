@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20          # bytes hashed at once; longer texts are cut between words
-SLICE = 2 << 20          # bytes of texts handled together (a longer text alone)
+PIECE = 1 << 18          # bytes hashed at once; longer texts are cut between words
+SLICE = 1 << 20          # bytes of texts handled together (a longer text alone)
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2^64
 _Q = 0xD1342543DE82EF95
@@ -30,7 +30,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, PIECE)
+            self.n = max(2 * n, 1 << 16)
             self.up, self.down = _powers(self.base, self.n), _powers(self.inverse, self.n)
         return self.up, self.down
 

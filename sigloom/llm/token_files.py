@@ -33,15 +33,15 @@ from .common import shared_path
 
 CHUNK_IDS = 1 << 18
 MEMO_CUTS = 500_000
-SLICE = 4 << 20
+SLICE = 8 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_letters() -> list[str]:
+def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else 256 and up."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
 class Encoder:
@@ -56,30 +56,26 @@ class Encoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.cuts: dict[str, int] = {}     # a cut behind a space begins with it
-        self.words: dict[str, list[int]] = {}
         self.lens = self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.marks = {"": [], **{m: self._word(m) for m in (".", ",", "\n")}}
 
     def _word(self, word: str) -> list[int]:
-        got = self.words.get(word)
-        if got is None:
-            letters = self.letters
-            got = self.words[word] = [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]
-        return got
+        return [t.id for t in self.pieces(word.encode().decode("latin-1").translate(self.letters))]
 
     def _cut(self, cut: str) -> list[int]:
         ids: list[int] = []
-        for i, line in enumerate(cut.split("\n")):
-            word = line[:-1] if line[-1:] in (".", ",") else line
-            if not (word[1:] if i == 0 and word[:1] == " " else word).isalpha():
+        for i, line in enumerate(cut.split("\n") if "\n" in cut else (cut,)):
+            mark = line[-1] if line[-1:] in (".", ",") else ""
+            word = line[:-1] if mark else line
+            if not (word.isalpha() or i == 0 and word[:1] == " " and word[1:].isalpha()):
                 return self.tokenizer.encode(cut, add_special_tokens=False).ids
             if i:
-                ids += self._word("\n")
+                ids += self.marks["\n"]
             ids += self._word(word)
-            if len(word) < len(line):
-                ids += self._word(line[-1])
+            ids += self.marks[mark]
         return ids
 
     def _forget(self):
@@ -92,7 +88,7 @@ class Encoder:
         new[kept] = np.arange(len(kept))
         self.flat = np.concatenate([self.flat[:0], *(self.flat[ends[k] - self.lens[k]:ends[k]] for k in kept)])
         self.cuts = {c: int(new[i]) for c, i in self.cuts.items() if new[i] >= 0}
-        self.lens, self.uses, self.words = self.lens[kept], np.zeros(len(kept), np.int64), {}
+        self.lens, self.uses = self.lens[kept], np.zeros(len(kept), np.int64)
 
     def _places(self, cuts: list[str]) -> np.ndarray:
         """Memo places of cuts, learning those that are new."""
@@ -112,7 +108,10 @@ class Encoder:
         begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         cuts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        beside = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in cuts), bool, len(cuts))
+        plain = pc.match_substring_regex(coded.dictionary, r"(?s)^[!-~].*[!-~]$").to_numpy(zero_copy_only=False)
+        beside = ~plain
+        for i in np.flatnonzero(beside):
+            beside[i] = not cuts[i] or cuts[i][0].isspace() or cuts[i][-1].isspace()
         beside = np.add.reduceat(beside[which], begin[:-1]) > 0  # texts with other space next to a space
         head = which[begin[:-1]]
         which = self._places([" " + c for c in cuts])[which]
