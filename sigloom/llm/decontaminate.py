@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import text_hash as th
 from .common import small, store
 
-THRESHOLD, OVERLAP, PIECE, BLOCK, K1, B = 0.6, 0.5, 64, 8, 1.2, 0.75
-PART_WORDS, PART_PIECES, GRAM, CELLS = 200_000, 16_000, 5, 4_000_000
+THRESHOLD, OVERLAP, PIECE, BLOCK, K1, B = 0.6, 0.5, 64, 4, 1.2, 0.75
+PART_WORDS, PART_PIECES, GRAM, CELLS, PASSED = 200_000, 16_000, 5, 4_000_000, 20_000
 
 
 def _item_words(batches):
@@ -80,19 +80,18 @@ class Index:
         self.blocks = -(-len(pieces) // BLOCK)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.vocab >> np.uint64(44)] = True
-        self.block, heads = [], []
+        rows = []  # one for each block and term: the shares of the block's pieces
         for b in range(self.blocks):
             own = pieces[b * BLOCK:(b + 1) * BLOCK]
             terms = np.unique(np.concatenate([p[2] for p in own]).view(np.uint64))
-            table = np.zeros((len(terms), len(own)), np.float32)
+            table = np.zeros((len(terms), BLOCK), np.float32)
             for c, p in enumerate(own):
                 table[np.searchsorted(terms, p[2].view(np.uint64)), c] = p[3]
-            term = np.searchsorted(self.vocab, terms)
-            self.block.append((term, table))
-            heads.append((term, np.full(len(term), b), table.max(axis=1)))
-        term, block, top = (np.concatenate(x) for x in zip(*heads))
+            rows.append((np.searchsorted(self.vocab, terms) + b * len(self.vocab), table))
+        self.key, self.share = (np.concatenate(x) for x in zip(*rows))  # sorted by block and term
+        block, term = self.key // len(self.vocab), self.key % len(self.vocab)
         order = np.lexsort((block, term))
-        self.head_block, self.head_max = block[order], top[order]
+        self.head_block, self.head_max = block[order], self.share.max(axis=1)[order]
         self.head_at = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
 
     def terms(self, h: np.ndarray) -> np.ndarray:
@@ -121,16 +120,28 @@ class Index:
                                 (hi - lo) * self.blocks).reshape(-1, self.blocks)
             same = doc_of[lo:hi - 1] == doc_of[lo + 1:hi]
             bound[:-1] += np.where(same[:, None], bound[1:], 0)  # a passage: this chunk and the next of its text
-            for c, b in zip(*np.nonzero(bound >= threshold)):
-                last = c + 1 + (c < hi - lo - 1 and same[c])
-                s, e = np.searchsorted(own, (c, last))
-                place, table = self.block[b]
-                score = table[np.isin(place, t[s:e])].sum(axis=0)
-                for p in np.flatnonzero(score >= threshold - 1e-6):
-                    key = (int(doc_of[lo + c]), int(self.item[b * BLOCK + p]))
-                    best[key] = max(best.get(key, 0.0), float(score[p]))
+            c, b = np.nonzero(bound >= threshold)
+            for first in range(0, len(c), PASSED):
+                self._score(c[first:first + PASSED], b[first:first + PASSED], own, t, np.append(same, False), doc_of[lo:hi], threshold, best)
         return best
 
+    def _score(self, c, b, own, term, same, doc, threshold, best):
+        """Score the pieces of blocks ``b`` for the passages that begin with chunks ``c``."""
+        begin = np.searchsorted(own, c)
+        n = np.searchsorted(own, c + 1 + same[c]) - begin
+        which = np.repeat(np.arange(len(c)), n)
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = b[which] * len(self.vocab) + term[at]
+        row = np.searchsorted(self.key, key)
+        hit = np.flatnonzero(self.key[np.minimum(row, len(self.key) - 1)] == key)
+        pair = np.unique(which[hit] * len(self.key) + row[hit])  # a term counts once
+        which, row = pair // len(self.key), pair % len(self.key)
+        for lane in range(BLOCK):
+            score = np.bincount(which, self.share[row, lane], len(c))
+            for i in np.flatnonzero(score >= threshold - 1e-6):
+                found = int(doc[c[i]]), int(self.item[b[i] * BLOCK + lane])
+                best[found] = max(best.get(found, 0.0), float(score[i]))
+
     def overlaps(self, item: int, grams) -> list[float]:
         """Shares of the question's and the answer's n-grams found; ``grams(k)`` has the document's."""
         found = iter([float(np.isin(s, grams(k)).mean()) for s, k in zip(self.sides[item], self.width[item])])

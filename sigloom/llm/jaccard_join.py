@@ -161,7 +161,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
                                        F.first("n").alias("n")))
     # Postings of tokens that occur in several rows, and of these, by group.
     post = rows.where("n > 0").select("rid", F.posexplode("prefix").alias("pos", "token"))
-    often = post.groupBy("token").count().where("count > 1").select("token")
+    # Stored: a join of two plain shuffles lets Spark split the partition of a hot token.
+    often = store(post.groupBy("token").count().where("count > 1").select("token"))
     slim = small(store(rows.select("rid", "grp", "n")))
     post = store(post.join(often, "token").join(slim, "rid")
                  .groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))

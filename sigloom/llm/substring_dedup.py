@@ -138,13 +138,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[Da
     later = (full.where("doc_id > first").select("doc_id", "whole", "n_words").distinct()
              .select("doc_id", "whole", F.array(F.struct(F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))).alias("spans")))
     seeds = (full.where("doc_id = first").select("doc_id", "whole", F.explode("anchors").alias("anchor")))
-    common = (seeds.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-              .where("d0 <> d1").select("anchor"))
+    # Stored aggregates: a join of two plain shuffles lets Spark split the partition of a hot key.
+    common = store(seeds.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+                   .where("d0 <> d1").select("anchor"))
     held = store(seeds.join(common, "anchor").groupBy("doc_id", "whole").agg(F.collect_set("anchor").alias("anchors")))
     held = small(held, BROADCAST_VALUES, F.size("anchors"))
     found = store(docs.join(held, "doc_id").select("doc_id", "text", "anchors", "whole")
                   .mapInArrow(_windows(length, seed), "window long, doc_id long, whole long, place int"))
-    least = found.groupBy("window").agg(F.min("doc_id").alias("least"))
+    least = store(found.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                  .where("least < most").select("window", "least"))
     hit = (found.join(least, "window").where("least < doc_id")
            .groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("place")).alias("p")))
     # A span begins at a place that lies more than `length` words behind the one before it.
