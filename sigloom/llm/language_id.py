@@ -192,24 +192,30 @@ def _predict(model):
     return run
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``docs[keep]`` with ``lang_pred`` and ``score``. ``keep`` names columns without clashes with these."""
+def _judged(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """``docs[keep]`` as ``__0, __1, ...`` with ``lang_guess, score_guess``, whatever the columns are called."""
     fields = [docs.schema[c] for c in keep]
     src = docs.select(F.col("text").alias("__text"), *[F.col(f.name).alias(f"__{i}") for i, f in enumerate(fields)],
                       has_letter("text").alias("__letters"))
-    names = [*(f"__{i}" for i in range(len(fields))), "__letters"]
     schema = ", ".join([*(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "__letters boolean",
                         "lang_guess string", "score_guess double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = src.select("__text", *names).mapInArrow(_predict(shared), schema)
     live = F.col("__letters")
-    return out.select(*[F.col(f"__{i}").alias(f.name) for i, f in enumerate(fields)],
-                      F.when(live, F.col("lang_guess")).otherwise("und").alias("lang_pred"),
-                      F.when(live, F.col("score_guess")).otherwise(0.0).alias("score"))
+    return (src.mapInArrow(_predict(shared), schema)
+            .withColumn("lang_guess", F.when(live, F.col("lang_guess")).otherwise("und"))
+            .withColumn("score_guess", F.when(live, F.col("score_guess")).otherwise(0.0)))
+
+
+def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """``docs[keep]`` with ``lang_pred`` and ``score``; kept columns of these names give way."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    out = _judged(docs, model, keep)
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)],
+                      F.col("lang_guess").alias("lang_pred"), F.col("score_guess").alias("score"))
 
 
 def accepted(docs: DataFrame, model: dict | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are not rejected: a language was found, with a score of ``least`` or more."""
-    names = docs.columns
-    model = train(docs) if model is None else model
-    return predict(docs, model, names).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    out = _judged(docs, train(docs) if model is None else model, docs.columns)
+    return (out.where((F.col("lang_guess") != "und") & (F.col("score_guess") >= least))
+            .select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -83,8 +83,9 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
         block_tokens: int = 200_000, keep: list[str] | None = None, layout: bool = True) -> DataFrame:
     """One row for each use of a document: ``keep`` columns (default ``doc_id, source``) with ``tokens`` (of the
     document), ``weight`` (of its source), ``exponent``, ``epoch`` (0 for the first use), ``block`` and ``slot``
-    (place in the block, from 0). Without ``layout`` only the ``keep`` columns."""
-    keep = ["doc_id", "source"] if keep is None else keep
+    (place in the block, from 0); kept columns of these names give way. Without ``layout`` only the ``keep`` columns."""
+    given = ("tokens", "weight", "exponent", "epoch", "block", "slot") if layout else ()
+    keep = [c for c in keep or ["doc_id", "source"] if c not in given]
     rows = docs.select(*keep, token_counts().alias("__t"), source_key().alias("__s"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), "text"), F.lit(""))).alias("__h"))
     sources = store(rows.groupBy("__s").agg(F.sum("__t").alias("tokens"), F.count("*").alias("rows")))
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
     if budget is None:
         budget = weights.agg(F.max(F.ceil(F.col("tokens") / F.col("weight")))).first()[0] or 0
     ranges = F.ceil(F.col("rows") / RANGE_ROWS)
-    weights = weights.select("__s", "weight", F.col("tokens").alias("__all"), ranges.cast("long").alias("__ranges"),
+    weights = weights.select("__s", F.col("weight").alias("__w"), F.col("tokens").alias("__all"), ranges.cast("long").alias("__ranges"),
                              F.ceil(F.col("weight") * budget).cast("long").alias("__quota"),
                              (F.col("weight") * block_tokens).alias("__per_block"))
     rows = rows.join(weights, "__s")
@@ -111,11 +112,12 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
     rows = rows.join(sums, ["__s", "__r"]).withColumn(
         "__at", F.col("__base") + F.sum("__t").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t"))
     uses = F.ceil((F.col("__quota") - F.col("__at")) / F.col("__all"))  # epochs whose start is below the quota
-    rows = rows.where(F.col("__at") < F.col("__quota")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), uses - 1)))
-    block = F.floor((F.col("epoch") * F.col("__all") + F.col("__at")) / F.col("__per_block")).cast("long")
+    rows = rows.where(F.col("__at") < F.col("__quota")).withColumn("__e", F.explode(F.sequence(F.lit(0).cast("long"), uses - 1)))
+    block = F.floor((F.col("__e") * F.col("__all") + F.col("__at")) / F.col("__per_block")).cast("long")
     if not layout:
         return rows.select(*keep)
-    rows = rows.withColumn("block", block).withColumn("__o", F.md5(F.concat_ws(":", "__h", "epoch", "block")))
-    slot = F.row_number().over(Window.partitionBy("block").orderBy("__o", "__h", "__t")) - 1
-    return rows.select(*keep, F.col("__t").alias("tokens"), "weight", F.lit(x).alias("exponent"), "epoch", "block",
+    rows = rows.withColumn("__b", block).withColumn("__o", F.md5(F.concat_ws(":", "__h", "__e", "__b")))
+    slot = F.row_number().over(Window.partitionBy("__b").orderBy("__o", "__h", "__t")) - 1
+    return rows.select(*keep, F.col("__t").alias("tokens"), F.col("__w").alias("weight"), F.lit(x).alias("exponent"),
+                       F.col("__e").alias("epoch"), F.col("__b").alias("block"),
                        slot.cast("long").alias("slot"))

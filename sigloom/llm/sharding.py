@@ -73,8 +73,9 @@ def allot(arcs: list[int], counts: dict[int, int], shards: int, slack: float) ->
 
 
 def place(docs: DataFrame, shards: int, virtual: int = VIRTUAL, slack: float = 0.0, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (default ``doc_id``) with ``size``, ``text_crc32``, ``shard`` and ``slot``."""
-    keep = ["doc_id"] if keep is None else keep
+    """``keep`` columns of ``docs`` (default ``doc_id``) with ``size``, ``text_crc32``, ``shard`` and ``slot``;
+    kept columns of these names give way."""
+    keep = [c for c in keep or ["doc_id"] if c not in ("size", "text_crc32", "shard", "slot")]
     body = F.coalesce("text", F.lit(""))
     points = ring(shards, virtual)
     ends = np.array([p for p, _ in points], np.int64)

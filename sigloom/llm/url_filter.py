@@ -78,9 +78,11 @@ def host_and_path(url: str = "url"):
 
 def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url", default: str = "allow",
           trie_rules: int = TRIE_RULES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """``keep`` columns of ``pages`` with ``host, path, rule, verdict``; ``rules(host, path, verdict)``."""
+    """``keep`` columns of ``pages`` with ``host, path, rule, verdict``; ``rules(host, path, verdict)``.
+    Kept columns of these names give way."""
     rules = (rules.where("host is not null and path is not null and verdict is not null")
              .select(F.lower("host").alias("host"), "path", "verdict").distinct())
+    keep = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(url)
     urls = pages.select(*[F.col(c) for c in keep], host.alias("__host"), path.alias("__path"))
     n, size = rules.agg(F.count("*"), F.sum(F.octet_length("host") + F.octet_length("path"))).first()
