@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 
 _OPS = ("sum", "min", "max", "last")
-MAX_CHUNKS = 1024
 
 
 def _sample_bounds(df: DataFrame, cols: list[str], n: int, per_chunk: int = 20) -> list:
@@ -94,6 +93,13 @@ def _combine(op: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
             aggs: dict[str, tuple[str, Column]], *, exclusive: bool = False,
             chunks: int | None = None) -> DataFrame:
@@ -106,9 +112,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order = list(by), list(order)
     spark = df.sparkSession
-    # enough chunks to spread a hot key over many tasks; the bound keeps the
-    # binary-search expression small when shuffle partitions run into thousands
-    n = chunks or min(shuffle_partitions(spark), MAX_CHUNKS)
+    n = chunks or shuffle_partitions(spark)  # a hot key is spread over as many tasks
     tmp = {name: f"__run_in_{i}" for i, name in enumerate(aggs)}
     order_struct = F.struct(*[F.col(o) for o in order])
     base = df.select("*", *[expr.alias(tmp[name]) for name, (op, expr) in aggs.items()])
@@ -124,7 +128,9 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
               .agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi")))
     cand = (bounds.select(F.explode(F.array("lo", "hi")).alias("k"))
             .select(*[F.col("k")[b].alias(b) for b in by]).distinct())
-    totals = (rp.join(F.broadcast(cand), by, "left_semi")
+    cand = cand.toDF(*[f"__k{i}" for i in range(len(by))])
+    spans = _all([F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)])  # a null key is a group, too
+    totals = (rp.join(F.broadcast(cand), spans, "left_semi")
               .groupBy(*by, "__chunk")
               .agg(*[_agg(op, F.col(tmp[name]), order_struct).alias(f"__tot_{tmp[name]}")
                      for name, (op, _) in aggs.items()]))
@@ -134,7 +140,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
          else F.max(F.col(f"__tot_{tmp[name]}"))).over(wc).alias(f"__car_{tmp[name]}")
         for name, (op, _) in aggs.items()])
 
-    joined = local.join(F.broadcast(carry), by + ["__chunk"], "left")
+    carry = carry.withColumnsRenamed({b: f"__k{i}" for i, b in enumerate(by)}).withColumnRenamed("__chunk", "__c")
+    joined = local.join(F.broadcast(carry), spans & (F.col("__chunk") == F.col("__c")), "left")
     outs = []
     for name, (op, _) in aggs.items():
         v = _combine(op, F.col(f"__loc_{tmp[name]}"), F.col(f"__car_{tmp[name]}"))

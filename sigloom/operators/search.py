@@ -18,6 +18,8 @@ pairs; the branches are unioned and aggregated, never OR-joined.
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +111,14 @@ def key_frequencies(defs: DataFrame) -> DataFrame:
             .select(F.explode("leaf_keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("freq")))
 
 
+def _blocks(df: DataFrame, id_col: str, keys: str, top: str, freq: DataFrame) -> DataFrame:
+    """Keys to probe for a side whose parts must all be found: the rarest leaf part's, which is necessary; if
+    every part is a function, all leaf keys of the first part, any of which may be the one that fits."""
+    has_leaf = F.exists(top, lambda p: (F.get(p, 0)["kind"] == 0) & (F.get(p, 0)["n"] > 0))
+    one = _rarest(df.where(has_leaf), id_col, keys, freq)
+    return one.unionByName(df.where(~has_leaf).select(id_col, F.explode(keys).alias("block")))
+
+
 def _rarest(df: DataFrame, id_col: str, keys: str, freq: DataFrame) -> DataFrame:
     ex = df.select(id_col, F.explode(keys).alias("key")).join(freq, "key", "left")
     return ex.groupBy(id_col).agg(F.min_by("key", F.struct(F.coalesce("freq", F.lit(0)), "key")).alias("block"))
@@ -133,33 +143,30 @@ def _tree(enc, pos=0):
     return ("F", kids), p
 
 
-def _rel_ident(a: str, b: str) -> bool:
-    i, j = len(a) - 1, len(b) - 1
-    while i >= 0 or j >= 0:
-        if i < 0:
-            return b[j] == "."
-        if j < 0:
-            return a[i] == "."
-        if a[i] != b[j]:
-            return a[i + 1] == "." if i < len(a) - 1 else False
-        i, j = i - 1, j - 1
-    return True
-
-
-def _related(x, y) -> bool:
-    """``x.RelatedTo(y)`` on trees (x is the definition side, y the query side)."""
-    if x[0] == "E":
-        if y[0] == "F":
-            return any(_related(x, c) for c in y[1])
-        return all(p[0] == q[0] and _rel_ident(p[1], q[1]) for p, q in zip(x[1], y[1]))
-    if y[0] == "E":
-        return any(_related(c, y) for c in x[1])
-    f, big = (x, y) if len(y[1]) > len(x[1]) else (y, x)
-    k = 0
-    for part in f[1]:
-        while k < len(big[1]) and not _related(part, big[1][k]):
-            k += 1
-        if k == len(big[1]):
+def _same_name(a: str, b: str) -> bool:
+    """Equal, one the other behind a dotted qualifier, or a differing rest before a common ``.suffix``."""
+    if a == b or a.endswith("." + b) or b.endswith("." + a):
+        return True
+    shared = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    return 0 < shared < min(len(a), len(b)) and a[-shared] == "."
+
+
+def _fits(left, right) -> bool:
+    """J6 on two trees: leaves pointwise; a leaf fits a function if it fits any part of it; of two functions
+    the parts of the one with fewer (``right`` if equal) fit parts of the other in order, where one part may
+    serve several."""
+    leaf = [t[0] == "E" for t in (left, right)]
+    if all(leaf):
+        return all(t == u and _same_name(v, w) for (t, v), (u, w) in zip(left[1], right[1]))
+    if leaf[0]:
+        return any(_fits(left, part) for part in right[1])
+    if leaf[1]:
+        return any(_fits(part, right) for part in left[1])
+    few, many = sorted((right[1], left[1]), key=len)
+    place = 0
+    for part in few:
+        place = next((i for i in range(place, len(many)) if _fits(part, many[i])), None)
+        if place is None:
             return False
     return True
 
@@ -172,7 +179,7 @@ def related_tree_udf(d_enc: pd.Series, q_enc: pd.Series) -> pd.Series:
         if d is None or q is None:
             out.append(False)
             continue
-        out.append(_related(_tree(list(d))[0], _tree(list(q))[0]))
+        out.append(_fits(_tree(list(d))[0], _tree(list(q))[0]))
     return pd.Series(out, dtype=bool)
 
 
@@ -184,11 +191,11 @@ def related_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
                                                     "part_keys", "leaf_keys")
     freq = key_frequencies(defs)
     # A: query plays the shorter side (arity(q) <= arity(d)), query's rarest part key in d's leaves
-    qb = qs.join(_rarest(qs, "query_id", "q_part_keys", freq), "query_id")
+    qb = qs.join(_blocks(qs, "query_id", "q_part_keys", "q_top", freq), "query_id")
     dk = d.select("def_id", F.explode("leaf_keys").alias("block")).distinct()
     a = qb.join(dk, "block").join(d, "def_id").where(F.col("q_arity") <= F.col("arity"))
     # B: definition plays the shorter side, its rarest part key in the query's leaves
-    db = d.join(_rarest(d, "def_id", "part_keys", freq), "def_id")
+    db = d.join(_blocks(d, "def_id", "part_keys", "top", freq), "def_id")
     qk = qs.select("query_id", F.explode("q_leaf_keys").alias("block")).distinct()
     b = db.join(qk, "block").join(qs, "query_id").where(F.col("q_arity") > F.col("arity"))
     cand = a.select(*_cand_cols()).unionByName(b.select(*_cand_cols()))
@@ -201,7 +208,7 @@ def related_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     ok_flat = (cand.where(flat).withColumn("__s", short).withColumn("__l", long)
                .where(rel.flat_related(F.col("__s"), F.col("__l"))))
     ok_nested = cand.where(~flat).where(related_tree_udf(F.col("enc"), F.col("q_enc")))
-    return ok_flat.select("query_id", "def_id").unionByName(ok_nested.select("query_id", "def_id"))
+    return ok_flat.select("query_id", "def_id").unionByName(ok_nested.select("query_id", "def_id")).distinct()
 
 
 def _cand_cols():
@@ -242,6 +249,8 @@ def index_definitions(defs: DataFrame, id_col: str = "def_id", type_col: str = "
     text = F.regexp_replace(F.col(type_col), r"^\s*:\s*", "")
     if "type_normalised" in defs.columns:
         text = F.coalesce(F.col("type_normalised"), text)
+    if "type_error" in defs.columns:  # a failed check is an error, never a definition
+        defs = defs.where(F.col("type_error").isNull())
     defs = _ckpt(defs)
     src = defs.select(id_col, text.alias("__sig"))
     sig = signature.build_signatures(src, id_col, "__sig", strict_parity)

@@ -102,7 +102,7 @@ SELECT vec_id,
        len(list_filter(embedding, lambda x: x < 0)) AS n_neg,
        list_position(list_transform(embedding, lambda x: x < 0), true) - 1 AS first_neg_idx,
        coalesce(list_position(list_transform(embedding, lambda x: NOT (x >= 0)), true) - 1, len(embedding)) AS lead_nonneg,
-       len(list_concat(embedding[2:4], [embedding[-1]])) AS n_cut,
+       embedding[2] AS cut_0, embedding[3] AS cut_1, embedding[4] AS cut_2, embedding[-1] AS cut_3,
        embedding[-1] > embedding[1] AS last_gt_first,
        len(list_filter(embedding, lambda x: x > 0.9)) > 0 AS any_high,
        len(list_filter(embedding, lambda x: NOT (abs(x) < 1))) = 0 AS all_unit,
@@ -115,9 +115,7 @@ WITH w AS (
   SELECT doc_id, flatten(list_transform(string_split(text, chr(10)),
                                         lambda l: list_filter(string_split(l, ' '), lambda x: x <> ''))) AS w
   FROM documents)
-SELECT doc_id, len(w) AS n_words, w[1] AS first_word, w[-1] AS last_word,
-       array_to_string(w[1:3], ' ') AS head
-FROM w
+SELECT doc_id, i::INTEGER AS pos, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w)
 """
 
 _CUSTOMER_TREE = """

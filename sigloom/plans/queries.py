@@ -98,7 +98,7 @@ def array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter(e, lambda x: x < 0)).cast("bigint").alias("n_neg"),
         sequence.array_find_index(e, lambda x: x < 0).alias("first_neg_idx"),
         sequence.array_leading_run(e, lambda x: x >= 0).cast("bigint").alias("lead_nonneg"),
-        F.size(F.concat(F.slice(e, 2, 3), F.array(sequence.array_from_end(e, 1)))).cast("bigint").alias("n_cut"),
+        *[F.get(F.concat(F.slice(e, 2, 3), F.array(sequence.array_from_end(e, 1))), i).alias(f"cut_{i}") for i in range(4)],
         (sequence.array_from_end(e, 1) > F.get(e, 0)).alias("last_gt_first"),
         F.exists(e, lambda x: x > 0.9).alias("any_high"),
         F.forall(e, lambda x: F.abs(x) < 1).alias("all_unit"),
@@ -110,10 +110,7 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).documents
     words = F.flatten(F.transform(F.split(F.col("text"), "\n"),
                                   lambda l: F.filter(F.split(l, " "), lambda w: w != "")))
-    return (docs.select("doc_id", words.alias("w"))
-            .select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.get("w", 0).alias("first_word"),
-                    F.try_element_at("w", F.lit(-1)).alias("last_word"),
-                    F.array_join(F.slice("w", 1, 3), " ").alias("head")))
+    return docs.select("doc_id", F.posexplode(words).alias("pos", "word"))
 
 
 # ------------------------------------------------------------------ hierarchy

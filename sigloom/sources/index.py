@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_index(defs: DataFrame, path: str) -> None:
     """Partitioned by library, clustered by module inside files.
 
-    Dynamic partition overwrite replaces only the libraries being written, the
-    way the reference replaces the files of re-indexed modules; a module with
-    no definition writes nothing.
+    The replaced unit is the module: the other modules of the libraries being
+    written are read back, kept and rewritten with them; other libraries are not
+    touched. A module with no definition writes nothing.
     """
-    (defs.repartition("library", "module").sortWithinPartitions("module", "inner_path", "name")
+    spark, defs = defs.sparkSession, checkpoint(defs)
+    if _exists(spark, path):
+        new = defs.select("library", "module").distinct()
+        kept = (spark.read.parquet(path).join(new.select("library").distinct(), "library", "left_semi")
+                .join(new, ["library", "module"], "left_anti"))
+        defs = defs.unionByName(checkpoint(kept), allowMissingColumns=True)
+    (defs.repartitionByRange("library", "module").sortWithinPartitions("module", "inner_path", "name")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("library").parquet(path))
 

@@ -38,14 +38,17 @@ def modules_of(files: DataFrame, library: str, source_dir: str, extension: str)
 
 
 def index_batch(index_path: str):
-    """``foreachBatch`` function: extract one micro-batch and append it with its epoch."""
+    """``foreachBatch`` function: extract one micro-batch and write it as its epoch.
+
+    An epoch is a partition of its own and is overwritten when the batch is retried."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         # extraction runs several jobs; read the micro-batch from the source once
         mods = batch.select("library", "module", "text").persist()
         try:
             defs = extract.extract_definitions(mods).withColumn("epoch", F.lit(epoch).cast("bigint"))
-            defs.write.mode("append").partitionBy("library").parquet(index_path)
+            (defs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("library", "epoch").parquet(index_path))
         finally:
             mods.unpersist()
 

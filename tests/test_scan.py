@@ -45,3 +45,10 @@ def test_chunk_assignment_is_deterministic(spark):
     b = df.select("pos", chunk_of(df, ["k", "pos"], 6).alias("c")).collect()
     assert sorted(a) == sorted(b)
     assert len({r["c"] for r in a}) > 1
+
+
+def test_null_keys_are_one_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(40)] + [(1, 100 + i) for i in range(5)], "k int, o int")
+    got = row_number(df, ["k"], ["o"]).collect()
+    assert sorted(r["rn"] for r in got if r["k"] is None) == list(range(1, 41))
+    assert sorted(r["rn"] for r in got if r["k"] == 1) == list(range(1, 6))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.operators import extract, search
-from sigloom.operators.search import _related, _tree
+from sigloom.operators.search import _fits, _tree
 
 CORPUS = """module T where
 f : Nat -> Nat
@@ -88,6 +88,23 @@ def test_blocked_related_and_exact_equal_brute_force(spark):
         for did, dt in encs.items():
             if qid < 100 and same(dt, qt):
                 want.add((qid, did))
-            if qid >= 100 and _related(dt, qt):
+            if qid >= 100 and _fits(dt, qt):
                 want.add((qid, did))
     assert got == want
+
+
+def test_all_function_query_finds_a_leaf(spark):
+    text = "module U where\np : A -> C\nq : (A -> B) -> (C -> D)\nr : D -> B\n"
+    df = spark.createDataFrame([("lib", "U", text)], "library string, module string, text string")
+    idx = search.index_definitions(extract.extract_definitions(df)).checkpoint()
+    q = spark.createDataFrame([(1, "(A -> B) -> (C -> D)", False, False, True, False)],
+                              "query_id long, query string, search_names boolean, strict_names boolean, "
+                              "search_types boolean, strict_types boolean")
+    res = search.search(idx, search.prepare_queries(q)).join(idx.select("def_id", "name"), "def_id")
+    assert {r["name"] for r in res.collect()} >= {"p", "q"}
+
+
+def test_failed_checks_are_not_indexed(spark):
+    df = spark.createDataFrame([("lib", "V", "module V where\na : X\nb : Y\n")], "library string, module string, text string")
+    defs = extract.extract_definitions(df).withColumn("type_error", F.when(F.col("name") == "b", "boom"))
+    assert [r["name"] for r in search.index_definitions(defs).collect()] == ["a"]

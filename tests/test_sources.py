@@ -38,3 +38,13 @@ def test_registry_descriptors_tree_and_index(spark, tmp_path):
     assert r["h"][0].endswith("src/C.src") and r["h"][1] is None
     assert r["g"][0].endswith("src/A/B.src")       # J10: first include dir that holds the file
     assert r["q"] == (None, "unknown library")
+
+
+def test_reindexing_a_module_keeps_the_others(spark, tmp_path):
+    def defs(*mods):
+        rows = [("L", m, f"module {m} where\n{n} : X\n") for m, n in mods]
+        return extract.extract_definitions(spark.createDataFrame(rows, "library string, module string, text string"))
+    out = str(tmp_path / "index")
+    index.write_index(defs(("A", "a1"), ("B", "b1")), out)
+    index.write_index(defs(("A", "a2")), out)
+    assert sorted(r["name"] for r in index.read_index(spark, out).collect()) == ["a2", "b1"]
