@@ -13,6 +13,13 @@ from ..session import ensure_checkpoint_dir
 BROADCAST_ROWS = 1_000_000
 
 
+def text_batches(spark, rows: int = 2_000) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, so that batches of long texts stay small in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_path(spark, kind: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names (shared by all executors)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

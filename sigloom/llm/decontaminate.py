@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import small, store
+from .common import small, store, text_batches
 
 THRESHOLD, OVERLAP, PIECE, BLOCK, K1, B = 0.6, 0.5, 64, 4, 1.2, 0.75
 PART_WORDS, PART_PIECES, GRAM, CELLS, PASSED = 200_000, 16_000, 5, 4_000_000, 20_000
@@ -182,6 +182,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     ``items(item_id, question, answer)``; counts for BM25 are over all pieces of all items."""
     spark = docs.sparkSession
+    text_batches(spark)
     words = item_words(items)
     pieces = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PIECE)),
                                                 lambda i: F.slice("words", (i * PIECE + 1).cast("int"), PIECE))).alias("w"))

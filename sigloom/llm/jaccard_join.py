@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import components, small, store
+from .common import components, small, store, text_batches
 
 TOKEN_MASK = np.uint64((1 << 48) - 1)  # tokens of the join; equal low bits can only add candidates
 ORDER_BITS = 20  # 2^20 counters: 4 MB while counted, 1 MB when broadcast
@@ -151,6 +151,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     ``threshold`` is the similarity as a fraction of whole numbers, so ties are exact."""
     spark, (num, den) = docs.sparkSession, threshold
+    text_batches(spark)
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     rows = store(docs.mapInArrow(_prefixes(classes, ORDER_BITS, k, num, den),

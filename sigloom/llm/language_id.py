@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
+from .common import text_batches
 
 #: Which languages belong together; a language that is not listed is a family of its own.
 FAMILIES = {**dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "is", "af"), "germanic"),
@@ -117,6 +118,7 @@ def _contest(rows, names: list[str], of: list[str]):
 
 def train(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE) -> dict:
     """Learn from ``docs(doc_id, text, lang)``; the model has a fixed size for a given set of languages."""
+    text_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter("text"))
     total = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not total:
@@ -163,59 +165,46 @@ def _margins(contest: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out / np.maximum(n, 1)[:, None] + contest["b"]
 
 
-def _predict(model):
-    def run(batches):
-        m = model.value
-        for batch in batches:
-            buf, offs = th.utf8(batch.column(0))
-            rest = batch.columns[1:]
-            for i, j in th.slices(offs, 1 << 20):
-                b, o = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
-                lang, score = np.full(j - i, "und", object), np.zeros(j - i)
-                if m["family"]:
-                    kin, sure = _decide(m["family"], _margins(m["family"], b, o))
-                    for f, name in enumerate(m["family"]["names"]):
-                        at = np.flatnonzero(kin == f)
-                        if not len(at):
-                            continue
-                        own = m["within"][name]
-                        if own["duels"]:
-                            size = np.diff(o)[at]
-                            part = np.concatenate([b[o[d]:o[d + 1]] for d in at])
-                            best, p = _decide(own, _margins(own, part, np.concatenate([[0], np.cumsum(size)])))
-                        else:
-                            best, p = np.zeros(len(at), int), np.ones(len(at))
-                        lang[at], score[at] = np.array(own["names"], object)[best], np.minimum(sure[at], p)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c[i:j] for c in rest), pa.array(lang, pa.string()), pa.array(score)],
-                    [*batch.schema.names[1:], "lang_guess", "score_guess"])
-    return run
-
-
-def _judged(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``docs[keep]`` as ``__0, __1, ...`` with ``lang_guess, score_guess``, whatever the columns are called."""
-    fields = [docs.schema[c] for c in keep]
-    src = docs.select(F.col("text").alias("__text"), *[F.col(f.name).alias(f"__{i}") for i, f in enumerate(fields)],
-                      has_letter("text").alias("__letters"))
-    schema = ", ".join([*(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "__letters boolean",
-                        "lang_guess string", "score_guess double"])
+def _judge(m: dict, column: pa.Array) -> pa.StructArray:
+    """Language and score of every text of a batch, whatever letters it has."""
+    buf, offs = th.utf8(column)
+    langs, scores = np.full(len(column), "und", object), np.zeros(len(column))
+    for i, j in th.slices(offs, 1 << 19) if m["family"] else ():
+        b, o = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+        kin, sure = _decide(m["family"], _margins(m["family"], b, o))
+        for f, name in enumerate(m["family"]["names"]):
+            at, own = np.flatnonzero(kin == f), m["within"][name]
+            if not len(at):
+                continue
+            best, p = np.zeros(len(at), int), np.ones(len(at))
+            if own["duels"]:
+                part = np.concatenate([b[o[d]:o[d + 1]] for d in at])
+                best, p = _decide(own, _margins(own, part, np.concatenate([[0], np.cumsum(np.diff(o)[at])])))
+            langs[i + at], scores[i + at] = np.array(own["names"], object)[best], np.minimum(sure[at], p)
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
+
+
+def judged(model: dict, docs: DataFrame) -> Column:
+    """``struct<lang, score>`` of the column ``text``; only the text goes to Python."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    live = F.col("__letters")
-    return (src.mapInArrow(_predict(shared), schema)
-            .withColumn("lang_guess", F.when(live, F.col("lang_guess")).otherwise("und"))
-            .withColumn("score_guess", F.when(live, F.col("score_guess")).otherwise(0.0)))
+
+    @F.arrow_udf("lang string, score double")
+    def judge(text: pa.Array) -> pa.Array:
+        return _judge(shared.value, text)
+
+    und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+    return F.when(has_letter("text"), judge("text")).otherwise(und)
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """``docs[keep]`` with ``lang_pred`` and ``score``; kept columns of these names give way."""
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    out = _judged(docs, model, keep)
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)],
-                      F.col("lang_guess").alias("lang_pred"), F.col("score_guess").alias("score"))
+    out = docs.select(*keep, judged(model, docs).alias("__j"))
+    return out.select(*keep, F.col("__j.lang").alias("lang_pred"), F.col("__j.score").alias("score"))
 
 
 def accepted(docs: DataFrame, model: dict | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are not rejected: a language was found, with a score of ``least`` or more."""
-    out = _judged(docs, train(docs) if model is None else model, docs.columns)
-    return (out.where((F.col("lang_guess") != "und") & (F.col("score_guess") >= least))
-            .select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    out = docs.withColumn("__j", judged(train(docs) if model is None else model, docs))
+    return out.where((F.col("__j.lang") != "und") & (F.col("__j.score") >= least)).select(*docs.columns)

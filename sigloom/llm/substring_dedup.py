@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import small, store
+from .common import small, store, text_batches
 
 LENGTH, SEED = 50, 20
 # Lists of anchors are broadcast up to so many values (32 MB), else joined by a shuffle.
@@ -130,6 +130,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[Da
 
     ``whole`` (hash of the word sequence) tells rows of equal ``doc_id`` apart. A document equal to an
     earlier one is one span at once and takes no part in the search; the earlier one has all its windows."""
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = store(docs.mapInArrow(_scan(length, seed), "doc_id long, n_words long, sha string, whole long, anchors array<long>"))
     known = rows.where("doc_id is not null")

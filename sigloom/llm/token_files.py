@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from . import text_hash as th
-from .common import shared_path
+from .common import shared_path, text_batches
 
 CHUNK_IDS = 1 << 18
 MEMO_CUTS = 500_000
@@ -186,6 +186,7 @@ def _read(batches):
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> str:
     """Write the ids of all ``docs(doc_id, text)`` in ``doc_id`` order; returns the folder."""
+    text_batches(docs.sparkSession)
     path = path or shared_path(docs.sparkSession, "token-ids")
     dealt = (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
              .select("doc_id", "text", F.spark_partition_id().alias("part")))
