@@ -20,7 +20,7 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +80,9 @@ def place(docs: DataFrame, shards: int, virtual: int = VIRTUAL, slack: float = 0
     points = ring(shards, virtual)
     ends = np.array([p for p, _ in points], np.int64)
 
-    @F.pandas_udf("int")
-    def arc_of(spots: pd.Series) -> pd.Series:  # the next point clockwise; past the last one, the first
-        return pd.Series((np.searchsorted(ends, spots.to_numpy()) % len(ends)).astype(np.int32))
+    @F.arrow_udf("int")
+    def arc_of(spots: pa.Array) -> pa.Array:  # the next point clockwise; past the last one, the first
+        return pa.array((np.searchsorted(ends, spots.to_numpy(zero_copy_only=False)) % len(ends)).astype(np.int32))
 
     spot = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "text")).otherwise(F.xxhash64(F.lit(0), "doc_id"))
     counts = docs.select(spot.alias("spot")).groupBy(arc_of("spot").alias("arc")).count().collect()

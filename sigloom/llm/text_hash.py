@@ -8,11 +8,13 @@ Equal 64-bit hashes are taken as equal words or windows.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18          # bytes hashed at once; longer texts are cut between words
-SLICE = 1 << 20          # bytes of texts handled together (a longer text alone)
+SLICE = 1 << 19          # bytes of texts handled together (a longer text alone)
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15  # any odd number has an inverse modulo 2^64
 _Q = 0xD1342543DE82EF95
@@ -56,8 +58,22 @@ NO_WORD = np.ones(256, bool)  # everything but ASCII letters, digits and the byt
 NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker lives on and would keep its largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows (null: empty)."""
+    give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
