@@ -266,8 +266,8 @@ WITH l AS (
                    || '(' || event_type || ' "' || props || '" ' || user_id || ')' END AS line
   FROM events),
 w AS (SELECT event_id, line,
-             list_transform(regexp_extract_all(regexp_extract(line, {_LOG_BODY}, 1), {_lit('"[^"]*"|[^ "]+')}),
-                            lambda x: regexp_replace(x, '^"|"$', '', 'g')) AS w
+             list_transform(regexp_extract_all(regexp_extract(line, {_LOG_BODY}, 1), {_lit('([^ "]*"[^"]*"|[^ "]+).?')}, 1),
+                            lambda x: replace(x, '"', '')) AS w
       FROM l)
 SELECT event_id,
        CASE WHEN len(w) > 0 THEN w[1] END AS tag,

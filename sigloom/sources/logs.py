@@ -11,7 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ARG = r'(?:"[^"]*"|[^ "])+'  # a quoted run may stand inside a word
+# A word ends at a space or behind its first quoted run; one character behind it is the separator.
+ARG = r'([^ "]*"[^"]*"|[^ "]+).?'
 
 
 def body_pattern(prompt: str | None = None) -> str:
@@ -22,7 +23,7 @@ def body_pattern(prompt: str | None = None) -> str:
 def parse_line(line: Column, prompt: str | None = None) -> Column:
     """``struct<tag string, args array<string>>`` or NULL when the line has no tag."""
     body = F.regexp_extract(line, body_pattern(prompt), 1)
-    words = F.regexp_extract_all(body, F.lit(ARG), 0)
+    words = F.regexp_extract_all(body, F.lit(ARG), 1)
     words = F.transform(words, lambda w: F.replace(w, F.lit('"'), F.lit("")))
     return F.when(F.size(words) > 0,
                   F.struct(F.get(words, 0).alias("tag"), F.slice(words, 2, F.size(words)).alias("args")))

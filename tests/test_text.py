@@ -27,3 +27,10 @@ def test_expand_longest_sequence(spark):
     df = spark.createDataFrame([("\\all x \\a \\al \\to\\q \\",)], "t string")
     r = df.select(abbrev.expand(F.col("t"), pairs).alias("e")).first()["e"]
     assert r == "∀ x α αl →\\q \\"
+
+
+def test_quote_inside_a_word(spark):
+    from sigloom.sources import logs
+    df = spark.createDataFrame([('(tag ab"c d" e)',), ('(tag "" x)',), ("junk",)], "line string")
+    got = [(r["tag"], r["args"]) for r in logs.parse_log(df).collect()]
+    assert got == [("tag", ["abc d", "e"]), ("tag", ["", "x"]), (None, None)]
