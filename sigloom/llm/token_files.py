@@ -6,7 +6,8 @@ documents' ids and lengths and the number of ids that precede it in its part. Pa
 ``doc_id`` order. Spark's writer commits whole tasks, so a lost executor leaves no half file.
 
 The tokenizer's splitter always begins a piece at a space that stands between two other non-space characters,
-so texts are cut there and each distinct cut is encoded once (a memo of bounded size per Python worker).
+so texts are cut there and each distinct piece of a cut is encoded once (a memo of bounded size per Python
+worker).
 
 Defined results: a null or empty text is the end id alone. Rows without ``doc_id`` come first. Rows of equal
 ``doc_id`` follow each other in order of their text. Strings that look like special tokens are ordinary text.
@@ -32,9 +33,11 @@ from . import text_hash as th
 from .common import shared_path, text_batches
 
 CHUNK_IDS = 1 << 18
-MEMO_CUTS = 500_000
+MEMO_PIECES = 500_000
 SLICE = 8 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ["\n", ".", ","]
+_LINES = r"^ ?\pL+[.,]?(\n\pL+[.,]?)*$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,90 +48,133 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts, remembering the ids of cuts.
+    """Ids of texts, remembering the ids of pieces.
 
-    A cut of lines that are each a word of letters with or without ``.`` or ``,`` is put together from its
-    words, which go through the tokenizer's BPE model alone; every other cut goes through the whole tokenizer."""
+    A cut of lines that are each a word of letters with or without ``.`` or ``,`` is put together from the pieces
+    word, mark and line end, and its words go through the tokenizer's BPE model alone; every other cut is one
+    piece, which goes through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = MEMO_CUTS):
+    def __init__(self, path: str, limit: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.letters = self.tokenizer.model.tokenize, byte_letters()
-        self.cuts: dict[str, int] = {}     # a cut behind a space begins with it
+        letters = byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u4")
+        self.known: dict[str, int] = {}
         self.lens = self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.marks = {"": [], **{m: self._word(m) for m in (".", ",", "\n")}}
-
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.pieces(word.encode().decode("latin-1").translate(self.letters))]
-
-    def _cut(self, cut: str) -> list[int]:
-        ids: list[int] = []
-        for i, line in enumerate(cut.split("\n") if "\n" in cut else (cut,)):
-            mark = line[-1] if line[-1:] in (".", ",") else ""
-            word = line[:-1] if mark else line
-            if not (word.isalpha() or i == 0 and word[:1] == " " and word[1:].isalpha()):
-                return self.tokenizer.encode(cut, add_special_tokens=False).ids
-            if i:
-                ids += self.marks["\n"]
-            ids += self._word(word)
-            ids += self.marks[mark]
-        return ids
+        self._places(_MARKS, self._words)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words by the BPE model; all their bytes are written as letters at once."""
+        data = np.frombuffer("\0".join(words).encode(), np.uint8)
+        spelt = self.letters[data].tobytes().decode("utf-32-le").split(chr(self.letters[0]))
+        code = self.tokenizer.model.tokenize
+        return [[t.id for t in code(w)] for w in spelt]
+
+    def _whole(self, cuts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
 
     def _forget(self):
-        """Keep what was used twice or more, if that is at most half of the limit."""
+        """Keep the marks and what was used twice or more, if that is at most half of the limit."""
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > self.limit // 2:
             kept = kept[:0]
-        ends = np.cumsum(self.lens)
+        kept = np.union1d(np.arange(len(_MARKS)), kept)
         new = np.full(len(self.lens), -1)
         new[kept] = np.arange(len(kept))
-        self.flat = np.concatenate([self.flat[:0], *(self.flat[ends[k] - self.lens[k]:ends[k]] for k in kept)])
-        self.cuts = {c: int(new[i]) for c, i in self.cuts.items() if new[i] >= 0}
+        self.flat, _ = _gather(self.flat, self.lens, kept)
+        self.known = {c: int(new[i]) for c, i in self.known.items() if new[i] >= 0}
         self.lens, self.uses = self.lens[kept], np.zeros(len(kept), np.int64)
 
-    def _places(self, cuts: list[str]) -> np.ndarray:
-        """Memo places of cuts, learning those that are new."""
-        known = self.cuts
-        new = list(dict.fromkeys(c for c in cuts if c not in known))
-        got = [self._cut(c) for c in new]
-        known.update(zip(new, range(len(known), len(known) + len(new))))
-        self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got))])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-        return np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts))
+    def _places(self, pieces: list[str], code) -> np.ndarray:
+        """Memo places of pieces, learning those that are new with ``code``."""
+        known = self.known
+        new = [c for c in dict.fromkeys(pieces) if c not in known]
+        if new:
+            got = code(new)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+            self.uses = np.pad(self.uses, (0, len(new)))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cuts(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct cuts in a row, and the number of ids of each."""
+        plain = pc.match_substring_regex(cuts, _LINES).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~plain)
+        rows = pc.split_pattern(cuts.filter(pa.array(plain)), "\n")
+        first = rows.offsets.to_numpy()[:-1] - rows.offsets[0].as_py()
+        lines = rows.flatten()
+        words = pc.utf8_rtrim(lines, characters=".,").dictionary_encode()
+        parts = np.full((len(lines) + len(other), 3), -1)  # line end before, word, mark behind
+        parts[:len(lines), 0] = 0
+        parts[first, 0] = -1
+        if len(lines):
+            parts[:len(lines), 1] = self._places(_strings(words.dictionary), self._words)[words.indices.to_numpy()]
+        for mark in (1, 2):
+            parts[np.flatnonzero(pc.ends_with(lines, _MARKS[mark]).to_numpy(zero_copy_only=False)), 2] = mark
+        if len(other):
+            parts[len(lines):, 1] = self._places(_strings(cuts.take(pa.array(other))), self._whole)
+        start = np.concatenate([first, len(lines) + np.arange(len(other))])
+        held = parts >= 0
+        used = parts[held]
+        self.uses += np.bincount(used, minlength=len(self.uses))
+        ids, size = _gather(self.flat, self.lens, used)
+        each = np.zeros(parts.shape, np.int64)
+        each[held] = size
+        lens = np.add.reduceat(each.sum(axis=1), start)
+        order = np.empty(len(cuts), np.int64)  # back to the order of ``cuts``
+        order[np.concatenate([np.flatnonzero(plain), other])] = np.arange(len(cuts))
+        return _gather(ids, lens, order)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column without nulls in a row, and the number of ids of each text."""
-        if len(self.cuts) > self.limit:
+        if len(self.known) > self.limit:
             self._forget()
         lists = pc.split_pattern(texts, " ")
         begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        cuts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        plain = pc.match_substring_regex(coded.dictionary, r"(?s)^[!-~].*[!-~]$").to_numpy(zero_copy_only=False)
-        beside = ~plain
-        for i in np.flatnonzero(beside):
-            beside[i] = not cuts[i] or cuts[i][0].isspace() or cuts[i][-1].isspace()
-        beside = np.add.reduceat(beside[which], begin[:-1]) > 0  # texts with other space next to a space
-        head = which[begin[:-1]]
-        which = self._places([" " + c for c in cuts])[which]
-        which[begin[:-1]] = self._places([cuts[i] for i in head])
+        cuts, which = coded.dictionary, coded.indices.to_numpy()
+        beside = ~pc.match_substring_regex(cuts, r"(?s)^[!-~].*[!-~]$").to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(beside)
+        beside[odd] = [not c or c[0].isspace() or c[-1].isspace() for c in _strings(cuts.take(pa.array(odd)))]
+        beside = np.flatnonzero(np.add.reduceat(beside[which], begin[:-1]))  # texts with other space next to a space
+        spaced = [_spaced(t) for t in _strings(texts.take(pa.array(beside)))]
+        extra = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(spaced)))}
+        head, at = np.unique(which[begin[:-1]], return_inverse=True)
+        which = which.astype(np.int32)
+        which[begin[:-1]] = len(cuts) + at
+        flat, lens = self._cuts(pa.concat_arrays([
+            pc.binary_join_element_wise(pa.scalar(" ", cuts.type), cuts, pa.scalar("", cuts.type)),
+            cuts.take(pa.array(head)), pa.array(list(extra), cuts.type)]))
         n = np.diff(begin)
-        if beside.any():
-            parts = np.split(which, begin[1:-1])
-            for i in np.flatnonzero(beside):
-                parts[i] = self._places(_spaced(texts[int(i)].as_py()))
-            which, n = np.concatenate(parts), np.array([len(x) for x in parts])
-        self.uses = np.pad(self.uses, (0, len(self.lens) - len(self.uses))) + np.bincount(which, minlength=len(self.lens))
-        size, starts = self.lens[which], (np.cumsum(self.lens) - self.lens)[which]
-        total = np.cumsum(size)
-        ids = self.flat[np.repeat(starts - (total - size), size) + np.arange(int(total[-1]))]
+        if len(beside):
+            split = np.split(which, begin[1:-1])
+            for i, parts in zip(beside, spaced):
+                split[i] = np.fromiter(map(extra.__getitem__, parts), np.int32, len(parts)) + np.int32(len(cuts) + len(head))
+            which, n = np.concatenate(split), np.array([len(x) for x in split])
+        ids, size = _gather(flat, lens, which)
         return ids, np.add.reduceat(size, np.cumsum(n) - n)
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat`` (cut into runs of ``lens``) in a row, and the length of each."""
+    size, ends = lens[which], np.cumsum(lens)
+    total = np.cumsum(size)
+    n = int(total[-1]) if len(total) else 0
+    kind = np.int32 if n + len(flat) < 1 << 31 else np.int64
+    place = np.repeat(((ends - lens)[which] - (total - size)).astype(kind), size)
+    place += np.arange(n, dtype=kind)
+    return flat[place], size
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker; its memo is bounded."""

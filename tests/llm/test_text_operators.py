@@ -204,7 +204,20 @@ def test_encoder_memo_stays_bounded():
         ids, n = enc.encode(pa.array([text, "common words here", "x  y"]))
         assert ids[:n[0]].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
         assert ids[n[0] + n[1]:].tolist() == enc.tokenizer.encode("x  y", add_special_tokens=False).ids
-    assert len(enc.cuts) <= 50 + 70
+    assert len(enc.known) <= 50 + 70
+
+
+def test_encoder_equals_the_tokenizer():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rnd = random.Random(5)
+    signs = [*"abZ  é..,,\n\n\t1'- \u3000ßñ漢\u0301\0\r", "the", "ing", "'s", " word", "<|endoftext|>"]
+    for limit in (50, 500_000):
+        enc = token_files.Encoder(path, limit)
+        for _ in range(60):
+            texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(rnd.randint(1, 30))]
+            ids, n = enc.encode(pa.array(texts))
+            got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_across_pieces(monkeypatch):
