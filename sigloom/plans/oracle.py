@@ -387,3 +387,26 @@ SELECT t.term, w.p_partkey, bool_or(w.w[-1] = t.term) AS exact
 FROM terms t JOIN w ON list_contains(w.w, t.term) OR w.p_brand = t.term
 GROUP BY t.term, w.p_partkey
 """
+
+ORACLE["search_parts"] = """
+WITH p AS (
+  SELECT p_partkey, string_split_regex(trim(p_name), ' +') AS w, replace(p_brand, '#', '') AS brand, p_type AS type
+  FROM part
+), e AS (
+  SELECT DISTINCT '(' || type || ' -> ' || brand || ') -> ' || array_to_string(list_reverse(w), ' -> ') AS query,
+         list_sort(w) AS ws, brand, type FROM p
+), r AS (
+  SELECT DISTINCT w[1] || ' -> (' || type || ' -> ' || brand || ')' AS query, w[1] AS word, brand, type FROM p
+)
+SELECT 'E:' || query AS query_id, p_partkey, false AS by_name, true AS by_type
+FROM e JOIN p ON e.brand = p.brand AND e.type = p.type AND e.ws = list_sort(p.w)
+UNION ALL
+SELECT 'R:' || query, p_partkey, false, true
+FROM r JOIN p ON r.brand = p.brand AND r.type = p.type AND list_contains(p.w, r.word)
+UNION ALL
+SELECT 'N:' || n.word, p_partkey, true, false
+FROM (SELECT DISTINCT w[-1] AS word FROM p) n JOIN p ON p.w[-1] = n.word
+UNION ALL
+SELECT 'L:' || l.word, p_partkey, true, false
+FROM (SELECT DISTINCT w[1] AS word FROM p) l JOIN p ON list_contains(p.w, l.word)
+"""

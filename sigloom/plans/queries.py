@@ -13,7 +13,7 @@ from ..functions import abbrev, tokens
 from ..operators import correlate, extract, graph, hierarchy, multiset, search, sequence, signature
 from ..operators.scan import running
 from ..sources import logs
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 from .tables import Tables
 
 
@@ -407,6 +407,38 @@ def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (hits.groupBy("query_id", "def_id").agg(F.bool_or("exact").alias("exact"))
             .select(F.col("query_id").alias("term"), F.col("def_id").alias("p_partkey"), "exact"))
 
+def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search path over parts as definitions.
+
+    A part named ``small ring`` is the definition ``ring : small -> ring -> (Brand17 -> ECONOMY)``. Queries, by their
+    first letter: E asks for every such type with all parts in another order (exact), R for the first word and the
+    bracket alone (related), N for a part's last word by name, L for a first word by loose name, X has names and
+    types off and finds nothing.
+    """
+    w = F.split(F.trim(F.col("p_name")), " +")
+    p = Tables(spark, sf_dir).part.select("p_partkey", w.alias("w"), F.translate("p_brand", "#", "").alias("brand"),
+                                          F.col("p_type").alias("type"))
+    inner = F.format_string("(%s -> %s)", "brand", "type")
+    turned = F.format_string("(%s -> %s)", "type", "brand")
+    defs = checkpoint(search.index_definitions(p.select(
+        F.col("p_partkey").alias("def_id"), F.element_at("w", -1).alias("name"),
+        F.concat_ws(" -> ", F.col("w"), inner).alias("type_raw"))))
+
+    def asked(kind, query, names, strict_names, types, strict_types):
+        return (p.select(query.alias("query")).distinct()
+                .select(F.concat(F.lit(kind + ":"), "query").alias("query_id"), "query",
+                        *[F.lit(v).alias(c) for c, v in zip(search.QUERY_DEFAULTS,
+                                                            (names, strict_names, types, strict_types))]))
+
+    q = (asked("E", F.concat_ws(" -> ", turned, F.reverse("w")), False, True, True, True)
+         .unionByName(asked("R", F.concat_ws(" -> ", F.get("w", 0), turned), False, True, True, False))
+         .unionByName(asked("N", F.element_at("w", -1), True, True, False, True))
+         .unionByName(asked("L", F.get("w", 0), True, False, False, True))
+         .unionByName(asked("X", F.get("w", 0), False, True, False, True)))
+    return (search.search(defs, search.prepare_queries(q))
+            .select("query_id", F.col("def_id").alias("p_partkey"), "by_name", "by_type"))
+
+
 REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
               "array_ops", "flatten",
@@ -414,4 +446,4 @@ REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
               "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict",
               "fifo_match", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
-              "name_lookup"]
+              "name_lookup", "search_parts"]
