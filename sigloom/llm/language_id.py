@@ -6,12 +6,20 @@ separates the language families; within a family a machine separates each pair o
 has the most votes, then the largest sum of margins. ``score`` is the smaller of the family's and the
 language's weakest winning probability (logistic of the margin); 0 for ``und``.
 
+A contest always has a winner, so what no learned language covers is found apart from it: a text's cover is the
+mean log-probability of its ``_COVER``-grams, each taken from the learned language where it is most frequent (a
+mix of learned languages is covered). A text is ``und`` if its cover lies more than ``limit`` deviations below the
+usual cover of the language that won; the deviation shrinks with the text's length, so a text of a few letters is
+rarely rejected. Usual cover, deviation and limit are calibrated on the learned texts, each half scored with the
+tables of the other half. A language with less than two different texts has no limit.
+
 Training is bounded: at most about ``PER_LANGUAGE`` labelled texts of each language, chosen by a hash of
 ``doc_id``, and of each of them its whole text, turned into at most ``SIZE`` counts for each order inside the
 tasks. Prediction reads every whole text, and nothing but the text.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, and every text if no labelled
-row can be learned from. With one language learned, every text with letters gets it, with score 1. A null
+row can be learned from; also for a text that no learned language covers. With one language learned, every text
+that it covers gets it, with score 1. A null
 ``doc_id`` is not held out. Repeated rows are all returned. Other columns are ignored.
 """
 
@@ -32,6 +40,7 @@ FAMILIES = {**dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "is", "af"), "g
             **dict.fromkeys(("fr", "es", "it", "pt", "ro", "ca", "gl"), "romance"),
             **dict.fromkeys(("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"), "slavic")}
 ORDERS, SIZE, PER_LANGUAGE = (2, 3, 4), 1 << 13, 300
+_COVER, _LEAST, _SLACK = 3, 8.0, 1.5  # order of the cover's n-grams; least limit; limit over the calibrated 99 % point
 _SCALE = 16.0  # brings the length of a typical vector of shares near 1
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -49,12 +58,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _grams(buf: np.ndarray, offs: np.ndarray):
+def _grams(buf: np.ndarray, offs: np.ndarray, orders: tuple[int, ...] = ORDERS):
     """Slots of all n-grams of a slice of texts, order by order, and the text each belongs to."""
     chars = _CHAR[buf].astype(np.uint32)
     blank = chars == 0x20
     text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    for k, order in enumerate(ORDERS):
+    for order in orders:
         n = len(chars) - order + 1
         if n <= 0:
             continue
@@ -63,7 +72,7 @@ def _grams(buf: np.ndarray, offs: np.ndarray):
             code += chars[i:n + i] * _MIX[i]
         code ^= code >> np.uint32(15)
         code *= np.uint32(0x2C1B3C6D)
-        slot = (code >> np.uint32(32 - 13)).astype(np.int64) + k * SIZE
+        slot = (code >> np.uint32(32 - 13)).astype(np.int64) + ORDERS.index(order) * SIZE
         whole = (text[:n] == text[order - 1:]) & ~(blank[:n] & blank[1:n + 1])
         yield slot[whole], text[:n][whole]
 
@@ -116,28 +125,85 @@ def _contest(rows, names: list[str], of: list[str]):
     return {"names": names, "duels": duels, "w": np.array(weights, np.float32).T.reshape(shape), "b": np.array(biases)}
 
 
+def _log_shares(texts: list[tuple[np.ndarray, np.ndarray]], lang: np.ndarray) -> np.ndarray:
+    """Of each slot the largest smoothed log-probability in any language."""
+    out = np.full(SIZE, -np.log(SIZE))
+    for one in sorted(set(lang)):
+        own = [texts[i] for i in np.flatnonzero(lang == one)]
+        n = np.bincount(np.concatenate([t[0] for t in own]), np.concatenate([t[1] for t in own]), SIZE)
+        share = np.log((n + 0.5) / (n.sum() + 0.5 * SIZE))
+        out = np.maximum(out, share) if one != min(lang) else share
+    return out
+
+
+def _cover(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> dict:
+    """What ``_uncovered`` needs: the table of all texts, and of each language the usual cover, the variances
+    between texts and of one n-gram, and the limit."""
+    low = ORDERS.index(_COVER) * SIZE
+    texts = {}
+    for (slot, n), one in zip(rows, lang):  # equal texts once, or they would be in both halves
+        at = (slot >= low) & (slot < low + SIZE)
+        if at.any():
+            texts[one, slot[at].tobytes(), n[at].tobytes()] = slot[at] - low, n[at]
+    lang, texts = np.array([k[0] for k in texts], object), list(texts.values())
+    half = np.zeros(len(texts), int)
+    for one in set(lang):
+        half[lang == one] = np.arange((lang == one).sum()) % 2
+    whole = _log_shares(texts, lang)
+    tables = [_log_shares([t for t, h in zip(texts, half) if h != k], lang[half != k]) for k in (0, 1)]
+    cover = np.array([n @ tables[h][slot] / n.sum() for (slot, n), h in zip(texts, half)])
+    size = np.array([n.sum() for _, n in texts])
+    known = {}
+    for one in sorted(set(lang)):
+        own = np.flatnonzero(lang == one)
+        if len(own) < 2:
+            continue
+        long = own[size[own] >= np.median(size[own])]
+        usual = np.median(cover[long])
+        between = max(0.05, 1.48 * np.median(abs(cover[long] - usual))) ** 2
+        n, value = sum(size[own]), [(texts[i][1], whole[texts[i][0]]) for i in own]
+        mean = sum(c @ v for c, v in value) / n
+        within = max(1.0, sum(c @ (v - mean) ** 2 for c, v in value) / n)
+        below = (usual - cover[own]) / np.sqrt(between + _COVER * within / size[own])
+        known[one] = usual, between, within, max(_LEAST, _SLACK * np.quantile(below, 0.99))
+    return {"table": whole, "known": known}
+
+
+def _uncovered(cover: dict, langs: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which texts lie below the limit of the language that they were given."""
+    texts, out = len(langs), np.zeros(len(langs), bool)
+    total, n = np.zeros(texts), np.zeros(texts)
+    for slot, text in _grams(buf, offs, (_COVER,)):
+        n += np.bincount(text, minlength=texts)
+        total += np.bincount(text, cover["table"][slot - ORDERS.index(_COVER) * SIZE], texts)
+    for one, (usual, between, within, limit) in cover["known"].items():
+        at = np.flatnonzero((langs == one) & (n > 0))
+        out[at] = usual - total[at] / n[at] > limit * np.sqrt(between + _COVER * within / n[at])
+    return out
+
+
 def train(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE) -> dict:
     """Learn from ``docs(doc_id, text, lang)``; the model has a fixed size for a given set of languages."""
     text_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter("text"))
     total = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not total:
-        return {"family": None, "within": {}}
+        return {"family": None, "within": {}, "cover": None}
     share = F.create_map(*[F.lit(x) for kv in total.items() for x in (kv[0], min(1.0, per_language / kv[1]))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     got = usable.where(draw).select("lang", "text").mapInArrow(_counts, "lang string, slots binary, counts binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["counts"])))
-    rows = []
-    for r in got:
-        n = np.frombuffer(bytes(r["counts"]), "<i4").astype(float)
-        rows.append((np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64), n * (_SCALE / max(1.0, n.sum()))))
+    counts = [(np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["counts"]), "<i4").astype(float))
+              for r in got]
+    rows = [(slot, n * (_SCALE / max(1.0, n.sum()))) for slot, n in counts]
     lang = [r["lang"] for r in got]
     family = [families.get(x, x) for x in lang]
     within = {}
     for f in sorted(set(family)):
         own = [i for i, x in enumerate(family) if x == f]
         within[f] = _contest([rows[i] for i in own], sorted({lang[i] for i in own}), [lang[i] for i in own])
-    return {"family": _contest(rows, sorted(set(family)), family), "within": within}
+    return {"family": _contest(rows, sorted(set(family)), family), "within": within,
+            "cover": _cover(counts, lang)}
 
 
 def _decide(contest: dict, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +247,8 @@ def _judge(m: dict, column: pa.Array) -> pa.StructArray:
                 part = np.concatenate([b[o[d]:o[d + 1]] for d in at])
                 best, p = _decide(own, _margins(own, part, np.concatenate([[0], np.cumsum(np.diff(o)[at])])))
             langs[i + at], scores[i + at] = np.array(own["names"], object)[best], np.minimum(sure[at], p)
+        strange = i + np.flatnonzero(_uncovered(m["cover"], langs[i:j], b, o))
+        langs[strange], scores[strange] = "und", 0.0
     return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
 

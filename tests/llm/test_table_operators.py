@@ -213,6 +213,29 @@ def test_language_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in single} == {("de", 1.0), ("und", 0.0)}
 
 
+@pytest.mark.parametrize("strange", ["en", "de", "fr", "es"])
+def test_language_that_was_not_learned(spark, strange):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = docs.where(F.col("lang") != strange)
+    model = language_id.train(learned)
+    kept = language_id.accepted(docs, model)
+    share = lambda rows: kept.where(rows).count() / docs.where(rows).count()
+    assert share((F.col("lang") == strange) & (F.length("text") > 300)) <= 0.03
+    assert share(F.col("lang") != strange) >= 0.99
+    assert share((F.col("lang") != strange) & language_id.held_out(F.col("doc_id"))) >= 0.99
+    assert language_id.predict(docs.join(kept, "doc_id", "left_anti"), model, ["doc_id"]).where("lang_pred <> 'und' or score <> 0").isEmpty()
+
+
+def test_letter_junk_is_no_language(spark):
+    rnd = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10**6 + i, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz    ", k=300)), None) for i in range(20)]
+    junk += [(10**7, "Русский язык является одним из восточнославянских языков и национальным языком русского народа", None)]
+    both = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    left = [r.doc_id for r in language_id.accepted(both).select("doc_id").collect()]
+    assert max(left) < 10**6 and len(left) >= 0.998 * docs.count()
+
+
 # ------------------------------------------------------------------ mixing
 def test_exponent_meets_its_targets(spark):
     src = spark.createDataFrame([(10,), (200,), (3000,), (70,)], "tokens long")
