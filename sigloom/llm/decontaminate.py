@@ -9,7 +9,10 @@ Pieces lie in blocks; of each term and block the index knows the largest share a
 (the sum of these maxima over the passage's terms must reach the threshold) is done for all passages of a
 batch and all blocks with a few numpy calls, and only blocks that pass have their postings scored. It skips
 no piece at or above the threshold. Found pairs of document and item are then verified: of the question's and
-of the answer's word 5-grams (all words if fewer) at least ``OVERLAP`` must occur in the document.
+of the answer's word 5-grams (all words if fewer) at least ``OVERLAP`` must occur in the document. A side of at
+most 5 words is a single n-gram, which one changed word would void; with ``whole`` (the registered query and the
+pipeline set it to ``WHOLE``) an item with such a side is also found if at least that share of the 5-grams of
+question and answer together occurs.
 
 The index is broadcast in parts of at most ``PART_WORDS`` words and ``PART_PIECES`` pieces; a larger benchmark
 takes several scans. Documents are read whole and never shuffled, so copies and hot sources cost no more.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from . import text_hash as th
 from .common import small, store, text_batches
 
-THRESHOLD, OVERLAP, PIECE, BLOCK, K1, B = 0.6, 0.5, 64, 4, 1.2, 0.75
+THRESHOLD, OVERLAP, WHOLE, PIECE, BLOCK, K1, B = 0.6, 0.5, 0.5, 64, 4, 1.2, 0.75
 PART_WORDS, PART_PIECES, GRAM, CELLS, PASSED = 200_000, 16_000, 5, 4_000_000, 20_000
 
 
@@ -64,6 +67,8 @@ class Index:
         sides = [(np.array(r["question"], np.int64), np.array(r["answer"], np.int64)) for r in items]
         self.sides = [[_grams(s) for s in pair if len(s)] for pair in sides]
         self.width = [[min(GRAM, len(s)) for s in pair if len(s)] for pair in sides]
+        whole = [np.concatenate(pair) if 0 < min(map(len, pair)) <= GRAM else np.zeros(0, np.int64) for pair in sides]
+        self.whole = [(_grams(s), min(GRAM, len(s))) for s in whole]  # of items with a short side
         self.both = [[bool(len(s)) for s in pair] for pair in sides]
         pieces = []
         for i, pair in enumerate(sides):
@@ -147,8 +152,15 @@ class Index:
         found = iter([float(np.isin(s, grams(k)).mean()) for s, k in zip(self.sides[item], self.width[item])])
         return [next(found) if there else None for there in self.both[item]]
 
+    def holds(self, item: int, grams, shares: list[float], overlap: float, least: float | None) -> bool:
+        """Both sides reach ``overlap``, or with a short side the whole item reaches ``least``."""
+        if all(x is None or x >= overlap for x in shares):
+            return True
+        whole, k = self.whole[item]
+        return least is not None and len(whole) > 0 and float(np.isin(whole, grams(k)).mean()) >= least
 
-def _scan(index, threshold: float, overlap: float):
+
+def _scan(index, threshold: float, overlap: float, whole: float | None):
     def run(batches):
         ix: Index = index.value
         for batch in batches:
@@ -168,7 +180,7 @@ def _scan(index, threshold: float, overlap: float):
                             cache[d, k] = np.unique(th.windows(h[at[d]:at[d + 1]], k))
                         return cache[d, k]
                     q, a = ix.overlaps(item, grams)
-                    if (q is None or q >= overlap) and (a is None or a >= overlap):
+                    if ix.holds(item, grams, [q, a], overlap, whole):
                         rows.append((ids[i + d].as_py(), ix.ids[item], score, q, a))
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +189,8 @@ def _scan(index, threshold: float, overlap: float):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
+               whole: float | None = None) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of documents that hold test items.
 
     ``items(item_id, question, answer)``; counts for BM25 are over all pieces of all items."""
@@ -199,7 +212,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         rows = sorted(own.select("item_id", "question", "answer").collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["question"], r["answer"]))
         if rows:
             index = spark.sparkContext.broadcast(Index(rows, {r["term"]: r["df"] for r in terms.collect()}, n, total / n))
-            found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(index, threshold, overlap), empty.schema)
+            found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(index, threshold, overlap, whole), empty.schema)
             out = found if out is empty else out.unionByName(found)
     return out.distinct()
 

@@ -40,7 +40,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), items, whole=decontaminate.WHOLE)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,19 @@ def test_find_leaks(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want if d is not None}
 
 
+def test_leaks_with_an_edited_or_missing_short_answer(spark):
+    words = lambda p, k: " ".join(f"{p}{i}" for i in range(k))
+    items = [(1, words("q", 30), "x y z"), (2, words("r", 12), words("b", 4)), (3, "u v", words("s", 25)), (4, words("t", 30), words("c", 20))]
+    docs = [(1, words("q", 30) + " x other z"), (2, words("q", 30)), (3, words("r", 12) + " b0 b1 no b3"), (4, words("r", 12)),
+            (5, "u other " + words("s", 25)), (6, words("t", 30)), (7, "x y z " + words("f", 40)), (8, words("q", 8) + " far x y z"),
+            (9, words("q", 30) + " x y z")]
+    docs = [(d, f"{words('f', 20)} {t} {words('g', 20)}") for d, t in docs]
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame(spark, docs), table, whole=decontaminate.WHOLE).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (9, 1)}
+    assert got[2, 1].question_overlap == 1 and got[2, 1].answer_overlap == 0
+
+
 def test_index_parts_agree(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20)), "") for i in range(30)],
                                   "item_id long, question string, answer string")
