@@ -14,8 +14,10 @@ most 5 words is a single n-gram, which one changed word would void; with ``whole
 pipeline set it to ``WHOLE``) an item with such a side is also found if at least that share of the 5-grams of
 question and answer together occurs.
 
-The index is broadcast in parts of at most ``PART_WORDS`` words and ``PART_PIECES`` pieces; a larger benchmark
-takes several scans. Documents are read whole and never shuffled, so copies and hot sources cost no more.
+Items with the same words are indexed once, as one list, and get their ids when it is found (equal 64-bit hashes
+are taken as equal lists). The index is built on the driver and broadcast in parts, cut by the running size of the
+lists: a part has at most ``PART_WORDS`` words and ``PART_PIECES`` pieces and one list more, so copies of an item
+add nothing to it; a larger benchmark takes several scans. Documents are read whole and never shuffled, so copies and hot sources cost no more.
 
 Words are runs of letters and digits (any non-ASCII character counts as a letter), A-Z lower-cased. Defined
 results: null or empty texts and items without words match nothing; an item with only a question or only an
@@ -27,14 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash as th
 from .common import small, store, text_batches
 
 THRESHOLD, OVERLAP, WHOLE, PIECE, BLOCK, K1, B = 0.6, 0.5, 0.5, 64, 4, 1.2, 0.75
-PART_WORDS, PART_PIECES, GRAM, CELLS, PASSED = 200_000, 16_000, 5, 4_000_000, 20_000
+PART_WORDS, PART_PIECES, RANGES, GRAM, CELLS, PASSED = 200_000, 16_000, 1024, 5, 4_000_000, 20_000
 
 
 def _item_words(batches):
@@ -52,7 +54,23 @@ def item_words(items: DataFrame) -> DataFrame:
     words = (items.select("item_id", "question", "answer")
              .mapInArrow(_item_words, "item_id long, question array<long>, answer array<long>"))
     return store(words.where("size(question) + size(answer) > 0").distinct()
-                 .select("*", F.concat("question", "answer").alias("words")))
+                 .select("*", F.xxhash64("question", F.size("question"), "answer").alias("list"),
+                         F.concat("question", "answer").alias("words")))
+
+
+def _parts(words: DataFrame) -> DataFrame:
+    """``(list, question, answer, words, part)``: every list of words once; stored.
+
+    A list weighs its share of a part's words and of its pieces. Running sums are taken in two levels, over
+    hash ranges and within a range."""
+    lists = store(words.dropDuplicates(["list"]).select("list", "question", "answer", "words")
+                  .withColumn("r", F.pmod("list", F.lit(RANGES)))
+                  .withColumn("weight", F.size("words").cast("long") * PART_PIECES + F.ceil(F.size("words") / PIECE) * PART_WORDS))
+    sums = lists.groupBy("r").agg(F.sum("weight").alias("n"))  # at most RANGES rows
+    base = store(sums.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("base")))
+    before = F.sum("weight").over(Window.partitionBy("r").orderBy("list")) - F.col("weight")
+    part = F.floor((F.col("base") + before) / (PART_WORDS * PART_PIECES))
+    return store(lists.join(F.broadcast(base), "r").select("list", "question", "answer", "words", part.alias("part")))
 
 
 def _grams(h: np.ndarray) -> np.ndarray:
@@ -63,7 +81,7 @@ class Index:
     """Pieces of some items with normalised BM25 shares, by blocks."""
 
     def __init__(self, items: list, df: dict[int, int], n: int, mean: float):
-        self.ids = [r["item_id"] for r in items]
+        self.ids = [r["list"] for r in items]
         sides = [(np.array(r["question"], np.int64), np.array(r["answer"], np.int64)) for r in items]
         self.sides = [[_grams(s) for s in pair if len(s)] for pair in sides]
         self.width = [[min(GRAM, len(s)) for s in pair if len(s)] for pair in sides]
@@ -185,7 +203,7 @@ def _scan(index, threshold: float, overlap: float, whole: float | None):
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), *[pa.float64()] * 3])],
-                    ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    ["doc_id", "list", "score", "question_overlap", "answer_overlap"])
     return run
 
 
@@ -203,18 +221,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     empty = spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
     if not n:
         return empty
+    lists = _parts(words)
+    names = small(store(words.select("list", "item_id")))
     df = store(pieces.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    parts = max(-(-total // PART_WORDS), -(-n // PART_PIECES))
-    out = empty
-    for p in range(parts):
-        own = words.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == p)
+    out = None
+    for p in range(lists.agg(F.max("part")).first()[0] + 1):
+        own = lists.where(F.col("part") == p)
         terms = own.select(F.explode("words").alias("term")).distinct().join(df, "term")
-        rows = sorted(own.select("item_id", "question", "answer").collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["question"], r["answer"]))
+        rows = sorted(own.select("list", "question", "answer").collect(), key=lambda r: r["list"])
         if rows:
             index = spark.sparkContext.broadcast(Index(rows, {r["term"]: r["df"] for r in terms.collect()}, n, total / n))
-            found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(index, threshold, overlap, whole), empty.schema)
-            out = found if out is empty else out.unionByName(found)
-    return out.distinct()
+            found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+                _scan(index, threshold, overlap, whole), "doc_id long, list long, score double, question_overlap double, answer_overlap double")
+            out = found if out is None else out.unionByName(found)
+    return out.join(names, "list").select(empty.columns).distinct()
 
 
 def question_and_answer(items: DataFrame) -> DataFrame:

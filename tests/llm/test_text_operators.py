@@ -173,6 +173,19 @@ def test_index_parts_agree(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(0, 30, 2)}
 
 
+def test_copies_of_an_item_are_indexed_once(spark, monkeypatch):
+    words = lambda i: " ".join(f"q{i}x{j}" for j in range(20))
+    items = [(i, words(0), "yes it is") for i in range(60)] + [(None, words(0), "yes it is")] + [(100 + i, words(i), "") for i in range(1, 30)]
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    monkeypatch.setattr(decontaminate, "PART_PIECES", 10)
+    built, build = [], decontaminate.Index.__init__
+    monkeypatch.setattr(decontaminate.Index, "__init__", lambda self, rows, *a: built.append(len(rows)) or build(self, rows, *a))
+    docs = frame(spark, [(1, words(0) + " yes it is"), (2, words(5)), (3, words(77))])
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, table).collect()]
+    assert sorted(got, key=str) == sorted([(1, i) for i in [*range(60), None]] + [(2, 105)], key=str)
+    assert sum(built) == 30 and max(built) <= 11
+
+
 def test_question_and_answer(spark):
     df = spark.createDataFrame([(1, "What is it? A thing."), (2, "no end"), (3, None)], "item_id long, text string")
     got = {r.item_id: (r.question, r.answer) for r in decontaminate.question_and_answer(df).collect()}
