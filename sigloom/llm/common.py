@@ -43,6 +43,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight=None) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def row_key():
+    """Tells rows apart by ``doc_id`` (null is an id of its own) and text; equal 64-bit hashes are taken as equal rows."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(v, root)`` for every endpoint of ``edges``; root is the smallest vertex reachable.
 

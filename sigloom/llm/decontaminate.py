@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import small, store, text_batches
+from .common import row_key, small, store, text_batches
 
 THRESHOLD, OVERLAP, WHOLE, PIECE, BLOCK, K1, B = 0.6, 0.5, 0.5, 64, 4, 1.2, 0.75
 PART_WORDS, PART_PIECES, RANGES, GRAM, CELLS, PASSED = 200_000, 16_000, 1024, 5, 4_000_000, 20_000
@@ -251,3 +251,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     gone = store(find_leaks(docs, items, **options).select(F.col("doc_id").alias("gone")).distinct())
     gone = small(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def rows_without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Like ``without_leaks``, but decided row by row, also for null and repeated ids."""
+    found = find_leaks(docs.select(row_key().alias("doc_id"), "text"), items, **options)
+    gone = small(store(found.select(F.col("doc_id").alias("gone")).distinct()))
+    return docs.join(gone, row_key() == gone["gone"], "left_anti")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import components, small, store, text_batches
+from .common import components, row_key, small, store, text_batches
 
 TOKEN_MASK = np.uint64((1 << 48) - 1)  # tokens of the join; equal low bits can only add candidates
 ORDER_BITS = 20  # 2^20 counters: 4 MB while counted, 1 MB when broadcast
@@ -281,3 +281,21 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     twice = small(twice)
     again = left["doc_id"] == twice["twice"]
     return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def keep_first_rows(docs: DataFrame, **options) -> DataFrame:
+    """Like ``keep_first``, but decided row by row, also for null and repeated ids: of each component the row with
+    the smallest ``doc_id`` stays (any id before a null one; of rows with that id the smallest hash), once if it is
+    repeated, and every row without words, once if it is repeated. Columns are those of ``docs``."""
+    keyed = docs.select("text", row_key().alias("doc_id"))
+    got = store(jaccard_components(keyed, **options).where("n_shingles > 0")
+                .select(F.col("doc_id").alias("key"), "component_id").distinct())
+    ids = store(docs.select(row_key().alias("key"), "doc_id").distinct())
+    ranked = store(got.join(ids, "key").select("key", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "key").alias("rank")))
+    first = store(ranked.groupBy("component_id").agg(F.min("rank")["key"].alias("stays")))
+    gone = small(store(ranked.join(first, "component_id").where("key <> stays").select(F.col("key").alias("gone"))))
+    twice = small(store(docs.groupBy(row_key().alias("twice")).count().where("count > 1").select("twice")))
+    left = docs.withColumn("__key", row_key()).join(gone, F.col("__key") == F.col("gone"), "left_anti")
+    again = F.col("__key") == F.col("twice")
+    once = left.join(twice, again, "left_semi").dropDuplicates(["__key"])
+    return left.join(twice, again, "left_anti").unionByName(once).select(docs.columns)

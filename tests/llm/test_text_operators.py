@@ -164,6 +164,22 @@ def test_leaks_with_an_edited_or_missing_short_answer(spark):
     assert got[2, 1].question_overlap == 1 and got[2, 1].answer_overlap == 0
 
 
+def test_removal_by_row_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+    words = lambda p, k=40: " ".join(f"{p}{i}" for i in range(k))
+    a, b = words("a"), words("b")
+    rows = [(None, a), (None, a + " z"), (4, a + " y"), (4, b), (None, b), (7, b), (9, words("c")), (9, words("c")),
+            (None, words("d")), (None, words("d")), (None, None), (5, ""), (6, words("e")), (6, words("f"))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns
+    want = [(4, a + " y"), (4, b), (9, words("c")), (None, words("d")), (None, None), (5, ""), (6, words("e")), (6, words("f"))]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(want, key=str)
+    items = spark.createDataFrame([(1, words("d"), ""), (2, words("e"), "")], "item_id long, question string, answer string")
+    clean = decontaminate.rows_without_leaks(kept, items)
+    want = [w for w in want if w not in [(None, words("d")), (6, words("e"))]]
+    assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=str) == sorted(want, key=str)
+
+
 def test_index_parts_agree(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20)), "") for i in range(30)],
                                   "item_id long, question string, answer string")
