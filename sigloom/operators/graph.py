@@ -20,7 +20,7 @@ def reverse(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst",
-                       checkpoint_every: int = 2, max_rounds: int | None = None) -> DataFrame:
+                       checkpoint_every: int = 2) -> DataFrame:
     """``(node, level)`` by repeated peeling of nodes without a live in-edge.
 
     ``level`` is the round a node was peeled in (its longest distance from a
@@ -34,7 +34,7 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst",
     remaining = nodes(edges, src, dst)
     done: list[DataFrame] = []
     level = 0
-    while max_rounds is None or level < max_rounds:
+    while True:
         frontier = remaining.join(e.select(F.col("d").alias("node")), "node", "left_anti")
         frontier = _ckpt(frontier) if level % checkpoint_every == 0 else frontier.cache()
         if frontier.isEmpty():

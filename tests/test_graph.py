@@ -1,3 +1,5 @@
+import inspect
+
 from sigloom.operators import graph
 
 
@@ -32,3 +34,9 @@ def test_expand_dictionary(spark):
     assert got["s"] == ("x(?:[ae])", None)
     assert got["w"] == ("(?:x(?:[ae]))(?:x(?:[ae]))", None)
     assert got["bad"] == (None, "unresolved reference")   # V13
+
+
+def test_peeling_has_no_cap(spark):
+    assert "max_rounds" not in inspect.signature(graph.topological_levels).parameters
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(8)]
+    assert _levels(spark, edges) == {f"n{i}": i for i in range(9)}

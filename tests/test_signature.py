@@ -1,3 +1,5 @@
+import inspect
+
 from pyspark.sql import functions as F
 
 from sigloom.operators import signature
@@ -58,3 +60,12 @@ def test_signature_columns(spark):
     assert sorted(r["mentions"]) == ["A", "M.List", "Nat"]
     assert sorted(r["leaf_keys"]) == ["name:List", "name:Nat"]
     assert r["exact_key"] is not None
+
+
+def test_parsing_has_no_cap(spark):
+    assert "max_depth" not in inspect.signature(signature.parse_canonical).parameters
+    deep = "A"
+    for _ in range(6):
+        deep = f"({deep} -> B) -> C"
+    (got,) = _sig(spark, [deep])
+    assert got[2] is None and sorted(got[1]) == ["A"] + ["B"] * 6 + ["C"] * 6
