@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from .common import store
 from . import (chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, sharding,
-               substring_dedup, token_files, url_filter)
+               substring_dedup, token_files, url_filter, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -72,8 +73,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolve(store(warc.read_archives(spark, path).drop("payload")))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_sharding, op4_decontaminate, op5_embedding_dedup,
-                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup)}
+                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup, op13_warc)}
 
 ORACLE = {
     "op1_chat_format": r"""
@@ -126,4 +132,11 @@ u AS (SELECT *, unnest(range(0, ceil((quota - place) / tokens)::BIGINT)) AS epoc
 k AS (SELECT *, floor((epoch * tokens + place) / (weight * 200000))::BIGINT AS block FROM u)
 SELECT doc_id, source, t AS tokens, weight, x AS exponent, epoch, block,
   (row_number() OVER (PARTITION BY block ORDER BY md5(h || ':' || epoch || ':' || block), h, t) - 1)::BIGINT AS slot FROM k""",
+    "op13_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to, NULL::VARCHAR AS problem
+FROM m""",
 }
