@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import table
 from .common import store
 from . import (chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, sharding,
-               substring_dedup, token_files, url_filter, warc)
+               substring_dedup, token_files, url_filter, warc, whitening)
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -73,13 +73,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.resolve(store(warc.read_archives(spark, path).drop("payload")))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_sharding, op4_decontaminate, op5_embedding_dedup,
-                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup, op13_warc)}
+                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup, op12_whitening, op13_warc)}
 
 ORACLE = {
     "op1_chat_format": r"""
