@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from .common import store
-from . import (chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, sharding,
+from . import (chat_format, chat_repair, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, sharding,
                substring_dedup, token_files, url_filter, warc, whitening)
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,6 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_repair.report(chat_repair.damage(rows), rows)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -83,7 +88,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_sharding, op4_decontaminate, op5_embedding_dedup,
-                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup, op12_whitening, op13_warc)}
+                                   op6_token_files, op7_language_id, op8_mixing, op9_jaccard_join, op10_substring_dedup, op11_chat_repair, op12_whitening, op13_warc)}
 
 ORACLE = {
     "op1_chat_format": r"""
@@ -136,6 +141,52 @@ u AS (SELECT *, unnest(range(0, ceil((quota - place) / tokens)::BIGINT)) AS epoc
 k AS (SELECT *, floor((epoch * tokens + place) / (weight * 200000))::BIGINT AS block FROM u)
 SELECT doc_id, source, t AS tokens, weight, x AS exponent, epoch, block,
   (row_number() OVER (PARTITION BY block ORDER BY md5(h || ':' || epoch || ':' || block), h, t) - 1)::BIGINT AS slot FROM k""",
+    "op11_chat_repair": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || range(8), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS v
+    FROM range(256) r(b))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
+cased AS (SELECT conv_id, turn, role, text,
+    xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS k FROM keyed, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM cased WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+faults AS (SELECT *, left(role, 1) AS i,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+         WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, (count(*) FILTER (f = 'b'))::BIGINT AS blank,
+    (count(*) FILTER (f = 'd'))::BIGINT AS duplicate, (count(*) FILTER (f = 't'))::BIGINT AS truncated,
+    (count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal, max(pos) AS n FROM faults GROUP BY conv_id),
+-- The cheapest (cost, audit, lines) from each state of the roles so far to the end, a turn earlier in every step.
+fold(conv_id, place, o, s, u, a) AS (
+  SELECT conv_id, n, {'c': 0, 'a': '', 't': []::VARCHAR[]}, {'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}, {'c': 5, 'a': 'I', 't': ['assistant:']},
+    {'c': 0, 'a': '', 't': []::VARCHAR[]} FROM facts
+  UNION ALL
+  SELECT conv_id, place - 1,
+    least(p.o, {'c': p.u.c + 5, 'a': 'I' || p.u.a, 't': ['user:'] || p.u.t}, {'c': p.a.c + 10, 'a': 'II' || p.a.a, 't': ['user:', 'assistant:'] || p.a.t}),
+    least(p.s, {'c': p.u.c + 5, 'a': 'I' || p.u.a, 't': ['user:'] || p.u.t}, {'c': p.a.c + 10, 'a': 'II' || p.a.a, 't': ['user:', 'assistant:'] || p.a.t}),
+    least(p.u, {'c': p.a.c + 5, 'a': 'I' || p.a.a, 't': ['assistant:'] || p.a.t}),
+    least(p.a, {'c': p.u.c + 5, 'a': 'I' || p.u.a, 't': ['user:'] || p.u.t})
+  FROM (SELECT conv_id, place,
+      least({'c': o.c + 2, 'a': 'D' || o.a, 't': o.t}, {'c': s.c + x + ks, 'a': 'K' || s.a, 't': [l] || s.t}, {'c': u.c + x + ku, 'a': 'K' || u.a, 't': [l] || u.t},
+            {'c': u.c + x + 1, 'a': 'R' || u.a, 't': ['user:' || m] || u.t}) AS o,
+      least({'c': s.c + 2, 'a': 'D' || s.a, 't': s.t}, {'c': u.c + x + ku, 'a': 'K' || u.a, 't': [l] || u.t}, {'c': u.c + x + 1, 'a': 'R' || u.a, 't': ['user:' || m] || u.t}) AS s,
+      least({'c': u.c + 2, 'a': 'D' || u.a, 't': u.t}, {'c': a.c + x + ka, 'a': 'K' || a.a, 't': [l] || a.t}, {'c': a.c + x + 1, 'a': 'R' || a.a, 't': ['assistant:' || m] || a.t}) AS u,
+      least({'c': a.c + 2, 'a': 'D' || a.a, 't': a.t}, {'c': u.c + x + ku, 'a': 'K' || u.a, 't': [l] || u.t}, {'c': u.c + x + 1, 'a': 'R' || u.a, 't': ['user:' || m] || u.t}) AS a
+    FROM (SELECT fold.*, role || ':' || text AS l, text AS m, CASE f WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000000 END AS x,
+        CASE WHEN i = 's' THEN 0 ELSE 1000000000 END AS ks, CASE WHEN i = 'u' THEN 0 ELSE 1000000000 END AS ku, CASE WHEN i = 'a' THEN 0 ELSE 1000000000 END AS ka
+      FROM fold JOIN faults ON fold.conv_id IS NOT DISTINCT FROM faults.conv_id AND fold.place = faults.pos)) p)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(fold.o.c, 0)::BIGINT AS cost, coalesce(fold.o.a, '') AS audit,
+  sha256(coalesce(array_to_string(fold.o.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN facts ON ids.conv_id IS NOT DISTINCT FROM facts.conv_id
+LEFT JOIN fold ON ids.conv_id IS NOT DISTINCT FROM fold.conv_id AND place = 0""",
     "op13_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
