@@ -82,8 +82,8 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, segment: int = SEGMENT, revisit: int = REVISIT, date: str = "2024-01-01T00:00:00Z",
-                   file_records: int = FILE_RECORDS) -> str:
-    """Write ``pages(page_id, url, html)`` as WARC files and return their folder."""
+                   file_records: int = FILE_RECORDS, compression: str = "gzip") -> str:
+    """Write ``pages(page_id, url, html)`` as WARC files and return their folder; ``compression`` may be ``none``."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT, revisit: int = REVI
     records = F.when(F.col("first_seen").isNotNull(), F.array(again_record)).otherwise(F.transform(_pieces(F.col("block"), segment), record))
     path = shared_path(pages.sparkSession, "warc")
     (rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n")
-     .option("maxRecordsPerFile", file_records).text(path))
+     .option("maxRecordsPerFile", file_records).option("compression", compression).text(path))
     return path
 
 
@@ -238,9 +238,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_parse, RECORDS)
 
 
+#: Records that are segments to be joined.
+SEGMENTED = "number IS NOT NULL AND record_id IS NOT NULL AND problem IS NULL"
+
+
 def reassemble(records: DataFrame) -> DataFrame:
     """Join the segments of ``records`` by origin; a row for each whole record, with its block."""
-    parts = records.where("number is not null and record_id is not null and problem is null")
+    parts = records.where(SEGMENTED)
     # Copies of one record have equal segments; count them, so that a group holds each segment once.
     same = parts.withColumn("hash", F.sha2("block", 256)).groupBy("origin", "number", "hash").agg(
         F.count("*").alias("copies"), F.max("total").alias("total"), F.any_value("block").alias("block"),
@@ -255,7 +259,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
     whole = whole.select("head.*", "origin", got.alias("stated"), "total", F.lit(1).alias("number"),
                          F.when(problem.isNull(), joined).alias("block"), problem.alias("problem"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    rest = records.where("number is null or record_id is null or problem is not null")
+    rest = records.where(f"NOT ({SEGMENTED})")
     return rest.unionByName(whole.select(*records.columns))
 
 
@@ -291,7 +295,10 @@ OPENED = ("file string, offset long, type string, record_id string, uri string,
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Whole records of the archives in ``path`` with their payloads (see ``OPENED``); revisits have none."""
-    rows = reassemble(store(read_records(spark, path))).select(*[f.name for f in _KEPT], "block")
+    records = read_records(spark, path)
+    # Only segments are stored; whole records are parsed again and opened on the spot.
+    pieces = reassemble(store(records.where(SEGMENTED)))
+    rows = records.where(f"NOT ({SEGMENTED})").unionByName(pieces).select(*[f.name for f in _KEPT], "block")
     return rows.mapInArrow(_open, OPENED)
 
 
