@@ -18,8 +18,8 @@ Training is bounded: at most about ``PER_LANGUAGE`` labelled texts of each langu
 tasks. Prediction reads every whole text, and nothing but the text.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, and every text if no labelled
-row can be learned from; also for a text that no learned language covers. With one language learned, every text
-that it covers gets it, with score 1. A null
+row can be learned from; ``covered`` is false there, and where no learned language covers a text's
+n-grams (it still gets the language that is nearest). With one language learned, every text gets it, with score 1. A null
 ``doc_id`` is not held out. Repeated rows are all returned. Other columns are ignored.
 """
 
@@ -152,7 +152,8 @@ def _cover(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> dict:
     whole = _log_shares(texts, lang)
     tables = [_log_shares([t for t, h in zip(texts, half) if h != k], lang[half != k]) for k in (0, 1)]
     cover = np.array([n @ tables[h][slot] / n.sum() for (slot, n), h in zip(texts, half)])
-    size = np.array([n.sum() for _, n in texts])
+    # Evidence is counted in distinct n-grams, so that a phrase weighs no more for being repeated.
+    size = np.array([len(slot) for slot, _ in texts])
     known = {}
     for one in sorted(set(lang)):
         own = np.flatnonzero(lang == one)
@@ -161,7 +162,7 @@ def _cover(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> dict:
         long = own[size[own] >= np.median(size[own])]
         usual = np.median(cover[long])
         between = max(0.05, 1.48 * np.median(abs(cover[long] - usual))) ** 2
-        n, value = sum(size[own]), [(texts[i][1], whole[texts[i][0]]) for i in own]
+        n, value = sum(texts[i][1].sum() for i in own), [(texts[i][1], whole[texts[i][0]]) for i in own]
         mean = sum(c @ v for c, v in value) / n
         within = max(1.0, sum(c @ (v - mean) ** 2 for c, v in value) / n)
         below = (usual - cover[own]) / np.sqrt(between + _COVER * within / size[own])
@@ -172,13 +173,16 @@ def _cover(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> dict:
 def _uncovered(cover: dict, langs: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Which texts lie below the limit of the language that they were given."""
     texts, out = len(langs), np.zeros(len(langs), bool)
-    total, n = np.zeros(texts), np.zeros(texts)
+    total, n, seen = np.zeros(texts), np.zeros(texts), [np.zeros(0, np.int64)]
     for slot, text in _grams(buf, offs, (_COVER,)):
+        slot = slot - ORDERS.index(_COVER) * SIZE
         n += np.bincount(text, minlength=texts)
-        total += np.bincount(text, cover["table"][slot - ORDERS.index(_COVER) * SIZE], texts)
+        total += np.bincount(text, cover["table"][slot], texts)
+        seen.append(np.unique(text.astype(np.int64) * SIZE + slot))
+    distinct = np.bincount(np.unique(np.concatenate(seen)) // SIZE, minlength=texts)
     for one, (usual, between, within, limit) in cover["known"].items():
         at = np.flatnonzero((langs == one) & (n > 0))
-        out[at] = usual - total[at] / n[at] > limit * np.sqrt(between + _COVER * within / n[at])
+        out[at] = usual - total[at] / n[at] > limit * np.sqrt(between + _COVER * within / distinct[at])
     return out
 
 
@@ -192,6 +196,7 @@ def train(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: in
     share = F.create_map(*[F.lit(x) for kv in total.items() for x in (kv[0], min(1.0, per_language / kv[1]))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     got = usable.where(draw).select("lang", "text").mapInArrow(_counts, "lang string, slots binary, counts binary").collect()
+    th.give_back()
     got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["counts"])))
     counts = [(np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["counts"]), "<i4").astype(float))
               for r in got]
@@ -232,9 +237,9 @@ def _margins(contest: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _judge(m: dict, column: pa.Array) -> pa.StructArray:
-    """Language and score of every text of a batch, whatever letters it has."""
+    """Language, score and whether that language covers it, of every text of a batch, whatever letters it has."""
     buf, offs = th.utf8(column)
-    langs, scores = np.full(len(column), "und", object), np.zeros(len(column))
+    langs, scores, covered = np.full(len(column), "und", object), np.zeros(len(column)), np.full(len(column), m["family"] is not None)
     for i, j in th.slices(offs, 1 << 19) if m["family"] else ():
         b, o = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         kin, sure = _decide(m["family"], _margins(m["family"], b, o))
@@ -247,32 +252,31 @@ def _judge(m: dict, column: pa.Array) -> pa.StructArray:
                 part = np.concatenate([b[o[d]:o[d + 1]] for d in at])
                 best, p = _decide(own, _margins(own, part, np.concatenate([[0], np.cumsum(np.diff(o)[at])])))
             langs[i + at], scores[i + at] = np.array(own["names"], object)[best], np.minimum(sure[at], p)
-        strange = i + np.flatnonzero(_uncovered(m["cover"], langs[i:j], b, o))
-        langs[strange], scores[strange] = "und", 0.0
-    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
+        covered[i:j] = ~_uncovered(m["cover"], langs[i:j], b, o)
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(covered)], ["lang", "score", "covered"])
 
 
 def judged(model: dict, docs: DataFrame) -> Column:
-    """``struct<lang, score>`` of the column ``text``; only the text goes to Python."""
+    """``struct<lang, score, covered>`` of the column ``text``; only the text goes to Python."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, covered boolean")
     def judge(text: pa.Array) -> pa.Array:
         return _judge(shared.value, text)
 
-    und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+    und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("covered"))
     return F.when(has_letter("text"), judge("text")).otherwise(und)
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``docs[keep]`` with ``lang_pred`` and ``score``; kept columns of these names give way."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    """``docs[keep]`` with ``lang_pred``, ``score`` and ``covered``; kept columns of these names give way."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "covered")]
     out = docs.select(*keep, judged(model, docs).alias("__j"))
-    return out.select(*keep, F.col("__j.lang").alias("lang_pred"), F.col("__j.score").alias("score"))
+    return out.select(*keep, F.col("__j.lang").alias("lang_pred"), F.col("__j.score").alias("score"), F.col("__j.covered").alias("covered"))
 
 
 def accepted(docs: DataFrame, model: dict | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are not rejected: a language was found, with a score of ``least`` or more."""
+    """The rows of ``docs`` that are not rejected: a language was found and covers the text, with a score of ``least`` or more."""
     out = docs.withColumn("__j", judged(train(docs) if model is None else model, docs))
-    return out.where((F.col("__j.lang") != "und") & (F.col("__j.score") >= least)).select(*docs.columns)
+    return out.where(F.col("__j.covered") & (F.col("__j.score") >= least)).select(*docs.columns)

@@ -223,7 +223,19 @@ def test_language_that_was_not_learned(spark, strange):
     assert share((F.col("lang") == strange) & (F.length("text") > 300)) <= 0.03
     assert share(F.col("lang") != strange) >= 0.99
     assert share((F.col("lang") != strange) & language_id.held_out(F.col("doc_id"))) >= 0.99
-    assert language_id.predict(docs.join(kept, "doc_id", "left_anti"), model, ["doc_id"]).where("lang_pred <> 'und' or score <> 0").isEmpty()
+    assert language_id.predict(docs.join(kept, "doc_id", "left_anti"), model, ["doc_id"]).where("covered or lang_pred = 'und'").isEmpty()
+
+
+def test_every_text_with_a_letter_gets_a_language(spark):
+    """Repeated phrases are in their language and stay; junk gets the nearest language, uncovered."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    some = [" ".join(r.text.split()[:4]) for r in docs.where("lang = 'de'").orderBy("doc_id").limit(20).collect()]
+    extra = [(10**6 + i, (t + " ") * 200, None) for i, t in enumerate(some)] + [(2 * 10**6, "zzzz qqqq xxxx", None), (2 * 10**6 + 1, "1 2 3", None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs), ["doc_id", "text"]).collect()}
+    assert {d for d, r in got.items() if r.lang_pred == "und"} == {d for d, r in got.items() if not any(c.isalpha() for c in r.text or "")}
+    assert 2 * 10**6 + 1 in got and not got[2 * 10**6 + 1].covered
+    assert all(got[10**6 + i].covered for i in range(20))
 
 
 def test_letter_junk_is_no_language(spark):
