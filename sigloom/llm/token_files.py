@@ -16,6 +16,7 @@ Other columns are ignored. An empty table gives no chunks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -47,19 +48,31 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
+def _splits_at_words(stated: dict) -> bool:
+    """Whether a tokenizer's own definition lets texts be cut at single spaces and words go to its model alone:
+    byte-level BPE without options, and added tokens that hold no white space and are no words."""
+    model, pre = stated["model"], stated["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    apart = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip")) and not any(c.isspace() for c in t["content"])
+                and any(not c.isalpha() and c not in ".," for c in t["content"]) for t in stated["added_tokens"])
+    return bool(plain and level and apart and stated["normalizer"] is None and not stated.get("truncation"))
+
+
 class Encoder:
     """Ids of texts, remembering the ids of pieces.
 
     A cut of lines that are each a word of letters with or without ``.`` or ``,`` is put together from the pieces
     word, mark and line end, and its words go through the tokenizer's BPE model alone; every other cut is one
-    piece, which goes through the whole tokenizer."""
+    piece, which goes through the whole tokenizer, added tokens included. A tokenizer of another kind gets whole
+    texts."""
 
     def __init__(self, path: str, limit: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
+        self.by_words = _splits_at_words(json.loads(self.tokenizer.to_str()))
         letters = byte_letters()
         self.letters = np.array([ord(letters[b]) for b in range(256)], "<u4")
         self.known: dict[str, int] = {}
@@ -132,6 +145,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column without nulls in a row, and the number of ids of each text."""
+        if not self.by_words:  # another kind of tokenizer: whole texts
+            got = self._whole(texts.to_pylist())
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
         if len(self.known) > self.limit:
             self._forget()
         lists = pc.split_pattern(texts, " ")

@@ -224,7 +224,6 @@ def test_token_files(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [(i * 3 % 17, t) for i, t in enumerate(TEXTS)] + [(4, "same id"), (None, "no id")]
     got = token_files.read_ids(spark, token_files.write_ids(frame(spark, rows), path)).collect()
     start, want = 0, []
@@ -262,6 +261,33 @@ def test_encoder_equals_the_tokenizer():
             assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    stated = json.loads(open(path).read())
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**stated["pre_tokenizer"], "add_prefix_space": True}},
+               {"added_tokens": stated["added_tokens"] + [{**stated["added_tokens"][0], "id": 50257, "content": "one two"}]}]
+    texts = ["One two three", "", " a <|endoftext|>  b", "one two"]
+    assert token_files.Encoder(path).by_words
+    for i, change in enumerate(changes):
+        other = tmp_path / f"{i}.json"
+        other.write_text(json.dumps(stated | change))
+        enc = token_files.Encoder(str(other))
+        ids, n = enc.encode(pa.array(texts))
+        assert not enc.by_words
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_joins_beyond_the_broadcast_limits(spark, monkeypatch):
+    from sigloom.llm import common
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_VALUES", -1)
+    rows = corpus(4)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows)).collect()), key=str) == jaccard(rows)
+    got = substring_dedup.removal_report(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == removal(rows, 50)
+
+
 def test_words_across_pieces(monkeypatch):
     monkeypatch.setattr(th, "PIECE", 16)
     texts = ["alpha beta  gamma", "", "x" * 100 + " y", "tail", " lead", "a b c d e f g h i j k l m n"]
