@@ -34,13 +34,13 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight=None) -> DataFrame:
-    """Broadcast hint for a *stored* table when its counted size is within ``limit`` rows.
+def small(df: DataFrame, limit: int | None = None, weight=None) -> DataFrame:
+    """Broadcast hint for a *stored* table when its counted size is within ``limit`` rows (``BROADCAST_ROWS``).
 
     ``weight`` is a column with the number of values of a row, for rows with arrays. Beyond the limit the
     table is returned as it is and the join shuffles."""
     n = df.agg(F.count("*") if weight is None else F.sum(weight + 1)).first()[0] or 0
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def row_key():

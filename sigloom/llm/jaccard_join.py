@@ -156,10 +156,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     rows = store(docs.mapInArrow(_prefixes(classes, ORDER_BITS, k, num, den),
                                  "doc_id long, rid long, n int, fp long, grp long, prefix array<long>"))
+    classes.destroy()  # the rows are stored
     vertex = store(rows.where("n > 0").groupBy("fp")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n")))
     group = (vertex.groupBy("grp").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"),
                                        F.first("n").alias("n")))
+    # Joins on two columns are merges: their broadcast tables would start at 64 MB of the driver's memory each.
     # Postings of tokens that occur in several rows, and of these, by group.
     post = rows.where("n > 0").select("rid", F.posexplode("prefix").alias("pos", "token"))
     # Stored: a join of two plain shuffles lets Spark split the partition of a hot token.
@@ -177,7 +179,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     def shared_enough(pairs: DataFrame, g1: str, g2: str) -> DataFrame:
         """The pairs of groups that share enough tokens of their prefixes, counted on the postings."""
         one, two = (post.select(F.col("grp").alias(g), "token", F.col("n").alias(n)) for g, n in ((g1, "n1"), (g2, "n2")))
-        count = (pairs.select(g1, g2).distinct().join(one, g1).join(two, [g2, "token"])
+        count = (pairs.select(g1, g2).distinct().join(one, g1).join(two.hint("merge"), [g2, "token"])
                  .groupBy(g1, g2).agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2")))
         overlap = F.ceil((F.col("n1") + F.col("n2")) * num / (num + den) - 1e-9)
         rest = F.ceil(F.greatest("n1", "n2") * num / den - 1e-9) - 1  # behind the longer prefix
@@ -186,7 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     # Star round.
     draw = post.withColumn("h", F.xxhash64("grp", F.pmod("token", F.lit(3))))
     centre = draw.groupBy("token").agg(F.min("h").alias("h"), F.max("h").alias("h1")).where("h <> h1").select("token", "h")
-    centre = draw.join(centre, ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos")])
+    centre = draw.join(centre.hint("merge"), ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos")])
     lead = group.select("grp", "lead")
     star = post.join(centre, "token").where((F.col("grp") != F.col("grp0")) & may_link("n", "pos", "n0", "pos0"))
     star = (shared_enough(star, "grp", "grp0").join(lead, "grp")
@@ -220,15 +222,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
              .select("grp", F.floor((1 - F.col("shared") / prefix) * (1 << 20)).cast("long").alias("alone")))
     best = live.groupBy("grp", "root").agg(F.min("fp").alias("fp")).join(alone, "grp", "left")
     key = F.coalesce("alone", F.lit(1 << 20)) * (1 << 42) + F.pmod(F.xxhash64("grp", "root"), F.lit(1 << 42))
-    draw = store(lists.join(best.withColumn("h", key), ["grp", "root"]))
+    draw = store(lists.join(best.withColumn("h", key).hint("merge"), ["grp", "root"]))
     centre = draw.groupBy("token").agg(F.min("h").alias("h"))
-    centre = draw.join(centre, ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos", "root", "fp")])
+    centre = draw.join(centre.hint("merge"), ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos", "root", "fp")])
     star = (draw.join(centre, "token").where((F.col("root") != F.col("root0")) & may_link("n", "pos", "n0", "pos0"))
             .select("grp", "grp0", "fp", "fp0").distinct())
     star = star.where("grp = grp0").unionByName(
-        star.join(shared_enough(star.where("grp <> grp0"), "grp", "grp0"), ["grp", "grp0"]).select(star.columns))
+        star.join(shared_enough(star.where("grp <> grp0"), "grp", "grp0").hint("merge"), ["grp", "grp0"]).select(star.columns))
     star = star.select(F.least("fp", "fp0").alias("a"), F.greatest("fp", "fp0").alias("b"))
-    star = store(star.distinct().join(tried, ["a", "b"], "left_anti"))
+    star = store(star.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
     found = found.unionByName(_verify(star, docs, vertex, k, num, den))
     tried, root = tried.unionByName(star), components(found)
 
@@ -245,12 +247,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     same = F.col("grpx") == F.col("grpy")
     cross = store(cross)
     cross = cross.where(same).unionByName(
-        cross.join(shared_enough(cross.where(~same), "grpx", "grpy"), ["grpx", "grpy"]).select(cross.columns))
+        cross.join(shared_enough(cross.where(~same), "grpx", "grpy").hint("merge"), ["grpx", "grpy"]).select(cross.columns))
     m = live.select("fp", "grp", "root")
-    pairs = (cross.join(m.toDF("x", "grpx", "rootx"), ["grpx", "rootx"])
-             .join(m.toDF("y", "grpy", "rooty"), ["grpy", "rooty"])
+    pairs = (cross.join(m.toDF("x", "grpx", "rootx").hint("merge"), ["grpx", "rootx"])
+             .join(m.toDF("y", "grpy", "rooty").hint("merge"), ["grpy", "rooty"])
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    more = _verify(pairs.join(tried, ["a", "b"], "left_anti"), docs, vertex, k, num, den)
+    more = _verify(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), docs, vertex, k, num, den)
     if not more.isEmpty():
         top = root.toDF("v", "r")
         over = (more.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
