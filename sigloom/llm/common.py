@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,14 @@ def small(df: DataFrame, limit: int | None = None, weight=None) -> DataFrame:
     return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
+def settle(spark) -> None:
+    """Let the driver give back what finished plans left behind: a long chain of jobs otherwise fills its heap with
+    plans and broadcast copies that are no longer used, and Spark only drops shuffles and broadcasts of collected
+    objects."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def row_key():
     """Tells rows apart by ``doc_id`` (null is an id of its own) and text; equal 64-bit hashes are taken as equal rows."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")

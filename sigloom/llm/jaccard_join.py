@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import components, row_key, small, store, text_batches
+from .common import components, row_key, settle, small, store, text_batches
 
 TOKEN_MASK = np.uint64((1 << 48) - 1)  # tokens of the join; equal low bits can only add candidates
 ORDER_BITS = 20  # 2^20 counters: 4 MB while counted, 1 MB when broadcast
@@ -143,7 +143,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, vertex: DataFrame, k: int, num: i
                  .mapInArrow(_sets(k), "fp long, s binary").dropDuplicates(["fp"]))
     both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
-    return store(both.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "a long, b long"))
+    found = store(both.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "a long, b long"))
+    settle(docs.sparkSession)
+    return found
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -157,6 +159,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     rows = store(docs.mapInArrow(_prefixes(classes, ORDER_BITS, k, num, den),
                                  "doc_id long, rid long, n int, fp long, grp long, prefix array<long>"))
     classes.destroy()  # the rows are stored
+    settle(spark)
     vertex = store(rows.where("n > 0").groupBy("fp")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n")))
     group = (vertex.groupBy("grp").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"),
@@ -199,6 +202,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tried = store(star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     found = _verify(tried, docs, vertex, k, num, den)
     root = components(found)
+    settle(spark)
 
     active = store(post.select("grp").union(crowd.select("grp")).distinct())
 
@@ -233,6 +237,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     star = store(star.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
     found = found.unionByName(_verify(star, docs, vertex, k, num, den))
     tried, root = tried.unionByName(star), components(found)
+    settle(spark)
 
     # Cross round, on what the stars left in several components.
     live, lists = unresolved(root)
@@ -264,6 +269,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     of = vertex.join(root.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = store(of.select("fp", "root", "doc_id"))
+    settle(spark)
     name = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (rows.join(of.select("fp", "root").join(name, "root").select("fp", "component_id"), "fp", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash as th
-from .common import text_batches
+from .common import settle, text_batches
 
 #: Which languages belong together; a language that is not listed is a family of its own.
 FAMILIES = {**dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "is", "af"), "germanic"),
@@ -197,6 +197,7 @@ def train(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: in
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     got = usable.where(draw).select("lang", "text").mapInArrow(_counts, "lang string, slots binary, counts binary").collect()
     th.give_back()
+    settle(docs.sparkSession)
     got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["counts"])))
     counts = [(np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["counts"]), "<i4").astype(float))
               for r in got]
