@@ -47,14 +47,14 @@ def leaves_same(qa: Column, da: Column) -> Column:
     return (F.size(qa) == F.size(da)) & F.forall(F.zip_with(qa, da, leaf_same), lambda z: F.coalesce(z, F.lit(False)))
 
 
-def flat_related(short: Column, long: Column) -> Column:
-    """J6 on flat signatures: the parts of ``short`` are found in order in ``long``,
+def flat_related(short: Column, long: Column, fits=leaf_related) -> Column:
+    """The parts of ``short`` are found in order in ``long`` (``fits(part, other)``),
     the pointer not advancing after a hit."""
     n = F.size(long)
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
     def step(i, p):
-        hit = F.get(F.filter(idx, lambda j: (j >= i) & leaf_related(p, F.element_at(long, j))), 0)
+        hit = F.get(F.filter(idx, lambda j: (j >= i) & fits(p, F.element_at(long, j))), 0)
         return F.when(i.isNull(), F.lit(None).cast("int")).otherwise(hit)
 
     return F.aggregate(short, F.lit(1), step).isNotNull()

@@ -10,10 +10,12 @@ pairs; the branches are unioned and aggregated, never OR-joined.
   token of every leaf -- necessary for prefix-equal leaves), residual check of
   shape and leaves.  Signatures with an empty leaf match any leaf at that
   position, so they meet on ``shape`` alone.
-* J6 related signature: the shorter side's rarest part key (by index
-  frequency) must be among the longer side's leaf keys; candidates are
-  verified natively for flat signatures and by a vectorised UDF for nested
-  ones (candidate pairs only).
+* J6 related signature: equal signatures are one class on either side. All
+  keys of the shorter side's part with the least summed frequency are looked
+  up in the postings of the other side; candidates must share a key in every
+  part and are then matched natively (signatures with functions inside
+  functions inside a part by a recursive check). Empty leaves, which fit
+  anything, have a branch of their own.
 """
 
 from __future__ import annotations
@@ -105,23 +107,53 @@ def exact_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
             .unionByName(by_shape_d.select("query_id", "def_id")).distinct())
 
 
-def key_frequencies(defs: DataFrame) -> DataFrame:
-    """Number of definitions holding each leaf key (map-side combined)."""
-    return (defs.where(F.col("leaf_keys").isNotNull())
-            .select(F.explode("leaf_keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("freq")))
+def signature_classes(df: DataFrame, id_col: str, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """Equal signatures as one class: ``(id, cls)`` of the members, and a row for each class with what the search
+    for related signatures needs.
 
+    ``sets`` holds the distinct leaf keys of every part; of these ``need`` are the parts that only a signature with
+    one of their keys can fit: parts with keys and without an empty leaf or function inside (which fit anything).
+    ``deep`` tells functions inside functions inside a part. A class is named by a SHA-256 of its whole encoding."""
+    c = lambda name: F.col(prefix + name)
+    rows = df.where(c("enc").isNotNull()).select(id_col, F.sha2(F.to_json(c("enc")), 256).alias("cls"), *[c(n).alias(n) for n in ("enc", "top", "arity", "leaf_keys")])
+    sets = F.transform("top", lambda p: F.array_distinct(F.transform(F.filter(p, lambda e: (e["kind"] == 0) & (e["n"] > 0)), signature.leaf_key)))
+    hollow = lambda p: F.exists(p, lambda e: e["n"] == 0)
+    need = F.filter(F.transform("top", lambda p, i: F.when(hollow(p), F.array().cast("array<string>")).otherwise(sets[i])), lambda k: F.size(k) > 0)
+    deep = F.exists("top", lambda p: F.exists(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda e: e["kind"] != 0))
+    one = rows.groupBy("cls").agg(*[F.first(n).alias(n) for n in ("enc", "top", "arity", "leaf_keys")])
+    return rows.select(id_col, "cls"), _ckpt(one.select("*", need.alias("need"), F.exists("top", hollow).alias("hollow"), deep.alias("deep")))
 
-def _blocks(df: DataFrame, id_col: str, keys: str, top: str, freq: DataFrame) -> DataFrame:
-    """Keys to probe for a side whose parts must all be found: the rarest leaf part's, which is necessary; if
-    every part is a function, all leaf keys of the first part, any of which may be the one that fits."""
-    has_leaf = F.exists(top, lambda p: (F.get(p, 0)["kind"] == 0) & (F.get(p, 0)["n"] > 0))
-    one = _rarest(df.where(has_leaf), id_col, keys, freq)
-    return one.unionByName(df.where(~has_leaf).select(id_col, F.explode(keys).alias("block")))
 
+def postings(classes: DataFrame) -> DataFrame:
+    """``(key, cls, arity)`` for every leaf key of a table of ``signature_classes``; a stored table."""
+    return _ckpt(classes.select("cls", "arity", F.explode("leaf_keys").alias("key")))
 
-def _rarest(df: DataFrame, id_col: str, keys: str, freq: DataFrame) -> DataFrame:
-    ex = df.select(id_col, F.explode(keys).alias("key")).join(freq, "key", "left")
-    return ex.groupBy(id_col).agg(F.min_by("key", F.struct(F.coalesce("freq", F.lit(0)), "key")).alias("block"))
+
+def probe_keys(classes: DataFrame, post: DataFrame) -> DataFrame:
+    """``(cls, arity, key)``: all keys of the part that the fewest postings hold, by their summed frequency."""
+    often = post.groupBy("key").agg(F.count("*").alias("freq"))
+    parts = classes.select("cls", "arity", F.posexplode("need").alias("part", "keys"))
+    cost = (parts.select("cls", "part", F.explode("keys").alias("key")).join(often, "key", "left")
+            .groupBy("cls", "part").agg(F.sum(F.coalesce("freq", F.lit(0))).alias("cost")))
+    best = cost.groupBy("cls").agg(F.min(F.struct("cost", "part"))["part"].alias("part"))
+    return parts.join(best, ["cls", "part"]).select("cls", "arity", F.explode("keys").alias("key"))
+
+
+def related_candidates(short: DataFrame, long: DataFrame, post: DataFrame, equal_arity: bool) -> DataFrame:
+    """Pairs of classes ``(s, l)`` in which the parts of ``s`` may all fit parts of ``l``.
+
+    A part with keys fits only a signature that holds one of them, so the rarest such part of ``s`` is looked up in
+    ``post``, the postings of ``long``. An empty leaf or function fits anything: a long side that has one, and a
+    short side in which every part has one, meet on their arities, where nearly every pair is a hit. ``equal_arity``
+    tells whether a short side may have as many parts as the long one."""
+    fewer = (lambda a, b: a <= b) if equal_arity else (lambda a, b: a < b)
+    s = short.select(F.col("cls").alias("s"), F.col("arity").alias("n"), F.size("need").alias("probes"))
+    by_key = (probe_keys(short, post).select(F.col("cls").alias("s"), F.col("arity").alias("n"), "key")
+              .join(post.select("key", F.col("cls").alias("l"), F.col("arity").alias("m")), "key").where(fewer(F.col("n"), F.col("m"))))
+    most = F.col("arity") if equal_arity else F.col("arity") - 1
+    sizes = long.where(most >= 1).select(F.col("cls").alias("l"), "hollow", F.explode(F.sequence(F.lit(1), most)).alias("n"))
+    by_size = s.join(sizes, "n").where(F.col("hollow") | (F.col("probes") == 0))
+    return by_key.select("s", "l").unionByName(by_size.select("s", "l")).distinct()
 
 
 _TREE_T = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()),
@@ -183,36 +215,48 @@ def related_tree_udf(d_enc: pd.Series, q_enc: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def _shallow_parts(top: Column) -> Column:
+    """Parts as ``(leaf, kids)``: a leaf is its own only kid; for signatures that are not ``deep``."""
+    return F.transform(top, lambda p: F.struct(
+        (F.get(p, 0)["kind"] == 0).alias("leaf"),
+        F.transform(F.filter(p, lambda e: e["kind"] == 0), _leaf_tokens).alias("kids")))
+
+
+def _part_fits(p: Column, other: Column) -> Column:
+    """J6 on two shallow parts; of two functions with as many kids, ``other`` plays the shorter."""
+    some = F.exists(p["kids"], lambda x: F.exists(other["kids"], lambda y: rel.leaf_related(x, y)))
+    fewer = F.size(p["kids"]) < F.size(other["kids"])
+    both = F.when(fewer, rel.flat_related(p["kids"], other["kids"])).otherwise(rel.flat_related(other["kids"], p["kids"]))
+    return F.when(p["leaf"] | other["leaf"], some).otherwise(both)
+
+
+def related_pairs(pairs: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
+    """The candidate pairs of classes ``(s, l)`` that are related: first every part must share a key, then the
+    parts are matched in order, natively up to functions inside the signature; only pairs with deeper functions
+    go to the recursive check."""
+    side = lambda df, name: df.select(F.col("cls").alias(name), *[F.col(c).alias(name + c) for c in ("enc", "top", "need", "leaf_keys", "hollow", "deep")])
+    both = pairs.join(side(short, "s"), "s").join(side(long, "l"), "l")
+    both = both.where(F.col("lhollow") | F.forall("sneed", lambda keys: F.arrays_overlap(keys, F.col("lleaf_keys"))))
+    deep = F.col("sdeep") | F.col("ldeep")
+    flat = (both.where(~deep).select("s", "l", _shallow_parts(F.col("stop")).alias("sp"), _shallow_parts(F.col("ltop")).alias("lp"))
+            .where(rel.flat_related(F.col("sp"), F.col("lp"), _part_fits)))
+    rest = both.where(deep).where(related_tree_udf(F.col("lenc"), F.col("senc")))
+    return flat.select("s", "l").unionByName(rest.select("s", "l"))
+
+
 def related_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
-    """Related signatures (shorter side's parts found in order in the longer)."""
-    qs = q.where(F.col("search_types") & ~F.col("strict_types") & F.col("q_enc").isNotNull()) \
-        .select("query_id", "q_enc", "q_top", "q_arity", "q_has_nested", "q_part_keys", "q_leaf_keys")
-    d = defs.where(F.col("enc").isNotNull()).select("def_id", "enc", "top", "arity", "has_nested",
-                                                    "part_keys", "leaf_keys")
-    freq = key_frequencies(defs)
-    # A: query plays the shorter side (arity(q) <= arity(d)), query's rarest part key in d's leaves
-    qb = qs.join(_blocks(qs, "query_id", "q_part_keys", "q_top", freq), "query_id")
-    dk = d.select("def_id", F.explode("leaf_keys").alias("block")).distinct()
-    a = qb.join(dk, "block").join(d, "def_id").where(F.col("q_arity") <= F.col("arity"))
-    # B: definition plays the shorter side, its rarest part key in the query's leaves
-    db = d.join(_blocks(d, "def_id", "part_keys", "top", freq), "def_id")
-    qk = qs.select("query_id", F.explode("q_leaf_keys").alias("block")).distinct()
-    b = db.join(qk, "block").join(qs, "query_id").where(F.col("q_arity") > F.col("arity"))
-    cand = a.select(*_cand_cols()).unionByName(b.select(*_cand_cols()))
-    flat = ~F.col("has_nested") & ~F.col("q_has_nested")
-    leafs_d = F.transform(F.col("top"), lambda p: _leaf_tokens(F.get(p, 0)))
-    leafs_q = F.transform(F.col("q_top"), lambda p: _leaf_tokens(F.get(p, 0)))
-    short = F.when(F.col("q_arity") <= F.col("arity"), leafs_q).otherwise(leafs_d)
-    long = F.when(F.col("q_arity") <= F.col("arity"), leafs_d).otherwise(leafs_q)
-    # bind both sides as columns: the fold refers to them inside lambdas
-    ok_flat = (cand.where(flat).withColumn("__s", short).withColumn("__l", long)
-               .where(rel.flat_related(F.col("__s"), F.col("__l"))))
-    ok_nested = cand.where(~flat).where(related_tree_udf(F.col("enc"), F.col("q_enc")))
-    return ok_flat.select("query_id", "def_id").unionByName(ok_nested.select("query_id", "def_id")).distinct()
-
-
-def _cand_cols():
-    return ["query_id", "def_id", "enc", "top", "arity", "has_nested", "q_enc", "q_top", "q_arity", "q_has_nested"]
+    """Related signatures (shorter side's parts found in order in the longer).
+
+    Equal signatures are one class on either side; classes meet in both directions (the query plays the shorter side
+    where both have as many parts) and members are joined back at the end."""
+    asked = q.where(F.col("search_types") & ~F.col("strict_types"))
+    q_of, qs = signature_classes(asked, "query_id", "q_")
+    d_of, ds = signature_classes(defs, "def_id")
+    q_short = related_pairs(related_candidates(qs, ds, postings(ds), True), qs, ds).select(F.col("s").alias("qc"), F.col("l").alias("dc"))
+    d_short = related_pairs(related_candidates(ds, qs, postings(qs), False), ds, qs).select(F.col("l").alias("qc"), F.col("s").alias("dc"))
+    found = _ckpt(q_short.unionByName(d_short))
+    return (found.join(q_of.withColumnRenamed("cls", "qc"), "qc").join(d_of.withColumnRenamed("cls", "dc"), "dc")
+            .select("query_id", "def_id").distinct())
 
 
 def _leaf_tokens(e: Column) -> Column:

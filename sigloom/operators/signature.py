@@ -263,7 +263,7 @@ def build_signatures(defs: DataFrame, id_col: str, text: str, strict_parity: boo
                       part_keys(F.col("top")).alias("part_keys"), "error")
 
 
-def _leaf_key(e: Column) -> Column:
+def leaf_key(e: Column) -> Column:
     return F.concat(F.coalesce(F.get(e["tags"], 0), F.lit("")), F.lit(":"),
                     F.regexp_extract(F.coalesce(F.get(e["vals"], 0), F.lit("")), r"([^.]*)$", 1))
 
@@ -274,5 +274,5 @@ def part_keys(top: Column) -> Column:
     # an empty leaf relates to anything, so it never serves as a (necessary) blocking key
     leaf_parts = F.filter(top, lambda p: (F.get(p, 0)["kind"] == 0) & (F.get(p, 0)["n"] > 0))
     first = F.filter(F.coalesce(F.get(top, 0), F.array()), lambda e: (e["kind"] == 0) & (e["n"] > 0))
-    return F.array_distinct(F.when(F.size(leaf_parts) > 0, F.transform(leaf_parts, lambda p: _leaf_key(F.get(p, 0))))
-                            .otherwise(F.transform(first, _leaf_key)))
+    return F.array_distinct(F.when(F.size(leaf_parts) > 0, F.transform(leaf_parts, lambda p: leaf_key(F.get(p, 0))))
+                            .otherwise(F.transform(first, leaf_key)))

@@ -108,3 +108,47 @@ def test_failed_checks_are_not_indexed(spark):
     df = spark.createDataFrame([("lib", "V", "module V where\na : X\nb : Y\n")], "library string, module string, text string")
     defs = extract.extract_definitions(df).withColumn("type_error", F.when(F.col("name") == "b", "boom"))
     assert [r["name"] for r in search.index_definitions(defs).collect()] == ["a"]
+
+
+def _related(spark, defs_t, qs_t):
+    d = spark.createDataFrame([(i, f"d{i}", t) for i, t in enumerate(defs_t)], "def_id long, name string, type_raw string")
+    idx = search.index_definitions(d).checkpoint()
+    q = spark.createDataFrame([(i, t, False, True, True, False) for i, t in enumerate(qs_t)],
+                              "query_id long, query string, search_names boolean, strict_names boolean, search_types boolean, strict_types boolean")
+    prepared = search.prepare_queries(q)
+    got = {(r.query_id, r.def_id) for r in search.related_hits(idx, prepared).collect()}
+    trees = {r.def_id: _tree(r.enc)[0] for r in idx.where("enc is not null").collect()}
+    asked = {r.query_id: _tree(r.q_enc)[0] for r in prepared.where("q_enc is not null").collect()}
+
+    def parts(t):
+        return t if t[0] == "F" else ("F", [t])
+    return got, {(i, j) for i, t in asked.items() for j, u in trees.items() if _fits(parts(u), parts(t))}
+
+
+def test_related_with_empty_leaves_and_deep_functions(spark):
+    rnd = random.Random(5)
+    names = ["A", "B", "M.A", "C", "N.B"]
+
+    def sig(depth):
+        return " → ".join("(" + sig(depth - 1) + ")" if depth and rnd.random() < 0.4 else " ".join(rnd.choices(names, k=rnd.randint(1, 2)))
+                          for _ in range(rnd.randint(1, 3)))
+    texts = [sig(3) for _ in range(70)] + ["→", "A →", "→ A → B", "(→ A) → B", "A", "A", "A"]
+    got, want = _related(spark, texts, [sig(2) for _ in range(25)] + ["→", "A → C", "→ B", "A", "(A → B) → C"])
+    assert got == want
+    assert any(d == texts.index("→") for q, d in got if q == 26)  # the lone arrow fits A → C
+
+
+def test_candidates_stay_near_the_hits(spark):
+    """A common part must not be probed where a rare one is there."""
+    defs_t = [f"Common -> Rare{i % 50} -> (Common -> X{i % 40})" for i in range(2000)]
+    d = spark.createDataFrame([(i, "n", t) for i, t in enumerate(defs_t)], "def_id long, name string, type_raw string")
+    idx = search.index_definitions(d).checkpoint()
+    q = spark.createDataFrame([(i, f"Common -> (X{i} -> Common)", False, True, True, False) for i in range(40)],
+                              "query_id long, query string, search_names boolean, strict_names boolean, search_types boolean, strict_types boolean")
+    prepared = search.prepare_queries(q)
+    _, qs = search.signature_classes(prepared, "query_id", "q_")
+    _, ds = search.signature_classes(idx, "def_id")
+    assert ds.count() == 200  # 2,000 definitions of 200 different signatures
+    pairs = search.related_candidates(qs, ds, search.postings(ds), True)
+    hits = search.related_pairs(pairs, qs, ds)
+    assert hits.count() > 0 and pairs.count() <= 10 * hits.count()
