@@ -107,26 +107,50 @@ def exact_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
             .unionByName(by_shape_d.select("query_id", "def_id")).distinct())
 
 
+def _prefixes(e: Column) -> Column:
+    """Hashes of a leaf's first 1, 2, ... names (tag and last component of each), in this order."""
+    names = F.transform(F.arrays_zip(e["tags"], e["vals"]),
+                        lambda z: F.concat(F.coalesce(z["tags"], F.lit("")), F.lit(":"), F.regexp_extract(F.coalesce(z["vals"], F.lit("")), r"([^.]*)$", 1)))
+    return F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.xxhash64(F.array_join(F.slice(names, 1, i), "\u0001")))
+
+
+def _open_keys(e: Column) -> Column:
+    """Keys under which a leaf is found: each of its beginnings, and the whole."""
+    own = _prefixes(e)
+    return F.concat(F.transform(own, lambda h: F.xxhash64(F.lit("begins"), h)), F.array(F.xxhash64(F.lit("is"), F.element_at(own, -1))))
+
+
+def _asked_keys(e: Column) -> Column:
+    """Keys of the leaves that a leaf fits: those that begin with it, and those that are a shorter beginning of it."""
+    own = _prefixes(e)
+    shorter = F.filter(own, lambda h, i: i < F.size(own) - 1)
+    return F.concat(F.array(F.xxhash64(F.lit("begins"), F.element_at(own, -1))), F.transform(shorter, lambda h: F.xxhash64(F.lit("is"), h)))
+
+
 def signature_classes(df: DataFrame, id_col: str, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """Equal signatures as one class: ``(id, cls)`` of the members, and a row for each class with what the search
-    for related signatures needs.
+    for related signatures needs; both from a stored table.
 
-    ``sets`` holds the distinct leaf keys of every part; of these ``need`` are the parts that only a signature with
-    one of their keys can fit: parts with keys and without an empty leaf or function inside (which fit anything).
-    ``deep`` tells functions inside functions inside a part. A class is named by a SHA-256 of its whole encoding."""
+    ``open`` holds the keys under which a class is found. ``need`` are the parts that only a signature with one of
+    their keys can fit: parts with keys and without an empty leaf or function inside (which fit anything). ``deep``
+    tells functions inside functions inside a part. Equality is taken on a SHA-256 of the whole encoding; keys are
+    64-bit hashes and only ever admit pairs, which are then checked."""
     c = lambda name: F.col(prefix + name)
-    rows = df.where(c("enc").isNotNull()).select(id_col, F.sha2(F.to_json(c("enc")), 256).alias("cls"), *[c(n).alias(n) for n in ("enc", "top", "arity", "leaf_keys")])
-    sets = F.transform("top", lambda p: F.array_distinct(F.transform(F.filter(p, lambda e: (e["kind"] == 0) & (e["n"] > 0)), signature.leaf_key)))
+    rows = df.where(c("enc").isNotNull()).select(id_col, F.sha2(F.to_json(c("enc")), 256).alias("named"), *[c(n).alias(n) for n in ("enc", "top", "arity")])
+    leaves = lambda p: F.filter(p, lambda e: (e["kind"] == 0) & (e["n"] > 0))
     hollow = lambda p: F.exists(p, lambda e: e["n"] == 0)
-    need = F.filter(F.transform("top", lambda p, i: F.when(hollow(p), F.array().cast("array<string>")).otherwise(sets[i])), lambda k: F.size(k) > 0)
+    keys = lambda p, of: F.array_distinct(F.flatten(F.transform(leaves(p), of)))
+    need = F.filter(F.transform(F.filter("top", lambda p: ~hollow(p)), lambda p: keys(p, _asked_keys)), lambda k: F.size(k) > 0)
     deep = F.exists("top", lambda p: F.exists(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda e: e["kind"] != 0))
-    one = rows.groupBy("cls").agg(*[F.first(n).alias(n) for n in ("enc", "top", "arity", "leaf_keys")])
-    return rows.select(id_col, "cls"), _ckpt(one.select("*", need.alias("need"), F.exists("top", hollow).alias("hollow"), deep.alias("deep")))
+    one = rows.groupBy("named").agg(*[F.first(n).alias(n) for n in ("enc", "top", "arity")])
+    one = _ckpt(one.select(F.monotonically_increasing_id().alias("cls"), "*", need.alias("need"), keys(F.flatten("top"), _open_keys).alias("open"),
+                           F.exists("top", hollow).alias("hollow"), deep.alias("deep"), _shallow_parts(F.col("top")).alias("parts")))
+    return rows.select(id_col, "named").join(one.select("named", "cls"), "named").drop("named"), one.drop("named")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``(key, cls, arity)`` for every leaf key of a table of ``signature_classes``; a stored table."""
-    return _ckpt(classes.select("cls", "arity", F.explode("leaf_keys").alias("key")))
+    """``(key, cls, arity)`` for every open key of a table of ``signature_classes``; a stored table."""
+    return _ckpt(classes.select("cls", "arity", F.explode("open").alias("key")))
 
 
 def probe_keys(classes: DataFrame, post: DataFrame) -> DataFrame:
@@ -143,7 +167,7 @@ def related_candidates(short: DataFrame, long: DataFrame, post: DataFrame, equal
     """Pairs of classes ``(s, l)`` in which the parts of ``s`` may all fit parts of ``l``.
 
     A part with keys fits only a signature that holds one of them, so the rarest such part of ``s`` is looked up in
-    ``post``, the postings of ``long``. An empty leaf or function fits anything: a long side that has one, and a
+    ``post``, the postings of ``long``, and the other parts must share a key as well. An empty leaf or function fits anything: a long side that has one, and a
     short side in which every part has one, meet on their arities, where nearly every pair is a hit. ``equal_arity``
     tells whether a short side may have as many parts as the long one."""
     fewer = (lambda a, b: a <= b) if equal_arity else (lambda a, b: a < b)
@@ -153,7 +177,12 @@ def related_candidates(short: DataFrame, long: DataFrame, post: DataFrame, equal
     most = F.col("arity") if equal_arity else F.col("arity") - 1
     sizes = long.where(most >= 1).select(F.col("cls").alias("l"), "hollow", F.explode(F.sequence(F.lit(1), most)).alias("n"))
     by_size = s.join(sizes, "n").where(F.col("hollow") | (F.col("probes") == 0))
-    return by_key.select("s", "l").unionByName(by_size.select("s", "l")).distinct()
+    pairs = by_key.select("s", "l").unionByName(by_size.select("s", "l")).distinct()
+    # Every part that needs a key must find one, not only the rarest.
+    pairs = (pairs.join(short.select(F.col("cls").alias("s"), "need"), "s")
+             .join(long.select(F.col("cls").alias("l"), "hollow", "open"), "l"))
+    shared = F.forall("need", lambda keys: F.arrays_overlap(keys, F.col("open")))
+    return _ckpt(pairs.where(F.col("hollow") | shared).select("s", "l"))
 
 
 _TREE_T = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()),
@@ -231,15 +260,12 @@ def _part_fits(p: Column, other: Column) -> Column:
 
 
 def related_pairs(pairs: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
-    """The candidate pairs of classes ``(s, l)`` that are related: first every part must share a key, then the
-    parts are matched in order, natively up to functions inside the signature; only pairs with deeper functions
-    go to the recursive check."""
-    side = lambda df, name: df.select(F.col("cls").alias(name), *[F.col(c).alias(name + c) for c in ("enc", "top", "need", "leaf_keys", "hollow", "deep")])
+    """The candidate pairs of classes ``(s, l)`` that are related: parts are matched in order, natively up to
+    functions inside the signature; only pairs with deeper functions go to the recursive check."""
+    side = lambda df, name: df.select(F.col("cls").alias(name), *[F.col(c).alias(name + c) for c in ("enc", "parts", "deep")])
     both = pairs.join(side(short, "s"), "s").join(side(long, "l"), "l")
-    both = both.where(F.col("lhollow") | F.forall("sneed", lambda keys: F.arrays_overlap(keys, F.col("lleaf_keys"))))
     deep = F.col("sdeep") | F.col("ldeep")
-    flat = (both.where(~deep).select("s", "l", _shallow_parts(F.col("stop")).alias("sp"), _shallow_parts(F.col("ltop")).alias("lp"))
-            .where(rel.flat_related(F.col("sp"), F.col("lp"), _part_fits)))
+    flat = both.where(~deep).where(rel.flat_related(F.col("sparts"), F.col("lparts"), _part_fits))
     rest = both.where(deep).where(related_tree_udf(F.col("lenc"), F.col("senc")))
     return flat.select("s", "l").unionByName(rest.select("s", "l"))
 
