@@ -60,12 +60,24 @@ def references(entries: DataFrame, name: str = "name", body: str = "body") -> Da
     return refs.distinct()
 
 
+def dependants(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """``names(name)`` and every name that reaches one of them through ``refs(src, dst)`` (``dst`` refers to
+    ``src``). Each round follows only the names found in the round before."""
+    found = fresh = _ckpt(names.select("name").distinct())
+    while not fresh.isEmpty():
+        fresh = _ckpt(refs.join(fresh.withColumnRenamed("name", "src"), "src").select(F.col("dst").alias("name")).distinct()
+                      .join(found, "name", "left_anti"))
+        found = found.unionByName(fresh)
+    return found
+
+
 def expand_dictionary(entries: DataFrame, name: str = "name", body: str = "body",
                       wrap: tuple[str, str] = ("(?:", ")")) -> DataFrame:
     """Expand ``(name)`` references dependents-first.
 
     Returns ``(name, expanded, error)``; an entry that references an unknown
-    name or sits on a reference cycle keeps ``expanded`` NULL and gets an error.
+    name, that sits on a reference cycle, or that reaches such an entry through
+    its references keeps ``expanded`` NULL and gets an error.
     Rounds follow the topological levels of the reference graph; each round is
     a join of the entries of that level with the already expanded ones.
     """
@@ -85,18 +97,18 @@ def expand_dictionary(entries: DataFrame, name: str = "name", body: str = "body"
     for L in levels:
         cur = e.join(lv.where(F.col("level") == L).select("name"), "name")
         if expanded is None:
-            nxt = cur.select("name", F.col("body").alias("expanded"))
+            nxt = _ckpt(cur.select("name", F.col("body").alias("expanded")))
         else:
             r = refs.join(cur.select(F.col("name").alias("dst")), "dst").join(
                 expanded.select(F.col("name").alias("src"), F.col("expanded").alias("x")), "src")
             pairs = r.groupBy("dst").agg(F.collect_list(F.struct("src", "x")).alias("subs"))
-            nxt = (cur.join(pairs.withColumnRenamed("dst", "name"), "name", "left")
-                   .select("name", F.aggregate(F.coalesce("subs", empty_subs), F.col("body"), _sub(wrap))
-                           .alias("expanded")))
+            nxt = _ckpt(cur.join(pairs.withColumnRenamed("dst", "name"), "name", "left")
+                        .select("name", F.aggregate(F.coalesce("subs", empty_subs), F.col("body"), _sub(wrap))
+                                .alias("expanded")))
         expanded = nxt if expanded is None else expanded.unionByName(nxt)
     if expanded is None:
         expanded = e.select("name", F.lit(None).cast("string").alias("expanded")).limit(0)
-    bad = unknown.unionByName(cyc).distinct().withColumn("error", F.lit("unresolved reference"))
+    bad = dependants(unknown.unionByName(cyc).distinct(), refs).withColumn("error", F.lit("unresolved reference"))
     return (e.select("name").join(expanded, "name", "left").join(bad, "name", "left")
             .select("name", F.when(F.col("error").isNull(), F.col("expanded")).alias("expanded"), "error"))
 

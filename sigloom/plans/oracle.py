@@ -309,6 +309,14 @@ def _dict_sql() -> str:
 
 ORACLE["expand_dict"] = _dict_sql()
 
+ORACLE["dict_errors"] = """
+WITH RECURSIVE e AS (SELECT p_partkey AS k, p_brand AS b, CASE WHEN p_size % 2 <> 0 THEN greatest(p_partkey - p_size, 0) END AS ref FROM part),
+x(k, expanded) AS (
+  SELECT k, b FROM e WHERE ref IS NULL
+  UNION ALL SELECT e.k, e.b || '(?:' || x.expanded || ')' FROM e JOIN x ON e.ref = x.k)
+SELECT 'p' || e.k AS name, expanded, CASE WHEN expanded IS NULL THEN 'unresolved reference' END AS error FROM e LEFT JOIN x ON e.k = x.k
+"""
+
 ORACLE["fifo_match"] = """
 WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'R' ELSE 'S' END AS k
            FROM events WHERE event_type IN ('view', 'purchase')),

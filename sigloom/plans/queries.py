@@ -310,6 +310,16 @@ def expand_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    .cast("bigint").alias(f"n_{n}") for n, _ in PATTERNS])
 
 
+def dict_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 over a table: every part as a dictionary entry. Parts of even size are plain, the others refer to the part
+    ``p_size`` keys before; where that is before the first part, the reference is unknown and so is all that refers
+    to it."""
+    p = Tables(spark, sf_dir).part
+    body = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(
+        F.concat("p_brand", F.lit("(p"), F.greatest(F.col("p_partkey") - F.col("p_size"), F.lit(0)).cast("string"), F.lit(")")))
+    return graph.expand_dictionary(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), body.alias("body")))
+
+
 def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's purchases matched to the earliest pending view."""
     ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
@@ -444,6 +454,6 @@ REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "array_ops", "flatten",
               "tri_state", "propagate_down", "string_agg", "progress", "enrich", "worklist",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
-              "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict",
+              "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict", "dict_errors",
               "fifo_match", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
               "name_lookup", "search_parts"]

@@ -36,6 +36,14 @@ def test_expand_dictionary(spark):
     assert got["bad"] == (None, "unresolved reference")   # V13
 
 
+def test_errors_reach_all_that_refer_to_them(spark):
+    d = spark.createDataFrame([("a", "x(b)"), ("b", "y(zzz)"), ("c", "(a)(ok)"), ("ok", "1"), ("d", "(ok)"), ("e", "(f)"), ("f", "(e)"), ("g", "(e)"), ("h", "(g)(ok)")],
+                              "name string, body string")
+    got = {r["name"]: (r["expanded"], r["error"]) for r in graph.expand_dictionary(d).collect()}
+    assert {n for n, (_, e) in got.items() if e} == {"a", "b", "c", "e", "f", "g", "h"}
+    assert got["ok"] == ("1", None) and got["d"] == ("(?:1)", None) and all(x is None for x, e in got.values() if e)
+
+
 def test_peeling_has_no_cap(spark):
     assert "max_rounds" not in inspect.signature(graph.topological_levels).parameters
     edges = [(f"n{i}", f"n{i + 1}") for i in range(8)]
