@@ -53,12 +53,16 @@ def rename_binders(k: DataFrame, id_col: str = "id") -> DataFrame:
     Input/output ``(id, pos, tag, value)``; output ``pos`` is dense from 0.
     ``{A B : T}`` becomes ``{@0 : T}{@1 : T}``; every binder of a group is
     emitted once (V7); names bound after ``λ`` and before an arrow are renamed
-    too (no expansion).
+    too (no expansion), if nothing but names stands there. What a pattern lambda
+    ``λ { ... }`` holds, up to its matching brace (or the end), binds nothing.
     """
     i = id_col
     k = k.withColumn("cls", _cls(F.col("tag")))
     fwd = Window.partitionBy(i).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    w = k.select("*",
+    curly = F.when(F.col("tag") == "curlyL", 1).when(F.col("tag") == "curlyR", -1).otherwise(0)
+    upto = Window.partitionBy(i).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = k.select("*", F.sum(curly).over(upto).alias("cd"), F.lead("tag").over(Window.partitionBy(i).orderBy("pos")).alias("after"),
+                 F.min(F.when(F.col("cls") != "name", F.struct(F.col("pos").alias("p"), F.col("cls").alias("g")))).over(fwd).alias("nn"),
                  F.min(F.when(~F.col("cls").isin("name", "discard"),
                               F.struct(F.col("pos").alias("p"), F.col("cls").alias("g")))).over(fwd).alias("nb"),
                  F.min(F.when(F.col("cls") == "close", F.col("pos"))).over(fwd).alias("cl"))
@@ -68,8 +72,15 @@ def rename_binders(k: DataFrame, id_col: str = "id") -> DataFrame:
     g = (g.withColumn("__r", F.row_number().over(Window.partitionBy(i, F.coalesce("ge", F.lit(-1))).orderBy("gp")))
          .where(F.col("__r") == 1).drop("__r"))
     # lambda groups: λ, >= 1 name/discard, arrow (renamed, not expanded)
-    lam = (w.where((F.col("cls") == "lambda") & (F.col("nb.g") == "arrow") & (F.col("nb.p") > F.col("pos") + 1))
-           .select(i, F.col("pos").alias("gp"), F.col("nb.p").alias("gc"), F.lit(None).cast("int").alias("ge")))
+    lam = (w.where((F.col("cls") == "lambda") & (F.col("nn.g") == "arrow") & (F.col("nn.p") > F.col("pos") + 1))
+           .select(i, F.col("pos").alias("gp"), F.col("nn.p").alias("gc"), F.lit(None).cast("int").alias("ge")))
+    # pattern lambdas: groups that open inside their braces are none
+    start = w.where((F.col("cls") == "lambda") & (F.col("after") == "curlyL")).select(i, F.col("pos").alias("lp"), F.col("cd").alias("ld"))
+    end = (start.join(w.where("tag = 'curlyR'").select(i, F.col("pos").alias("q"), "cd"), i, "left")
+           .groupBy(i, "lp").agg(F.min(F.when((F.col("q") > F.col("lp")) & (F.col("cd") <= F.col("ld")), F.col("q"))).alias("le"))
+           .select(F.col(i).alias("li"), "lp", F.coalesce("le", F.lit(_BIG)).alias("le")))
+    inside = (F.col(i) == F.col("li")) & (F.col("gp") > F.col("lp")) & (F.col("gp") < F.col("le"))
+    g, lam = g.join(end, inside, "left_anti"), lam.join(end, inside, "left_anti")
     closed = g.where(F.col("ge").isNotNull())
     kg = k.join(closed, (k[i] == closed[i]) & (k["pos"] >= closed["gp"]) & (k["pos"] <= closed["ge"]), "left") \
         .select(k["*"], closed["gp"], closed["gc"], closed["ge"])

@@ -53,6 +53,17 @@ def test_renaming_and_expansion(spark):
     assert arr[7] == "y → ( @0 : T ) → @0"                       # names before their binding stay
 
 
+def test_pattern_lambdas_bind_nothing(spark):
+    texts = ["λ { (x : A) → x }", "λ _ x → x", "λ x _ → x", "λ x y → y x", "λ { (a : A) → λ b → b } → (c : A) → c", "λ { { (d : A) } (e : B) → e", "(f : A) → λ { (g : B) → f }",
+             "λ { x } (y : A) → y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rows = signature.rename_binders(signature.token_rows(df, "id", "t"), "id")
+    got = {r["id"]: r["s"] for r in rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        "λ { ( x : A ) → x }", "λ _ x → x", "λ x _ → x", "λ @0 @1 → @1 @0", "λ { ( a : A ) → λ b → b } → ( @0 : A ) → @0", "λ { { ( d : A ) } ( e : B ) → e",
+        "( @0 : A ) → λ { ( g : B ) → @0 }", "λ { x } ( @0 : A ) → @0"]
+
+
 def test_signature_columns(spark):
     df = spark.createDataFrame([(1, "M.List A → Nat")], "id long, t string")
     r = signature.build_signatures(df, "id", "t").first()
