@@ -73,7 +73,12 @@ def host_and_path(url: str = "url"):
     rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return _lower(host), path
+
+
+def _lower(host):
+    """A-Z lower-cased and nothing else, for the hosts of urls and rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url", default: str = "allow",
@@ -81,7 +86,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     """``keep`` columns of ``pages`` with ``host, path, rule, verdict``; ``rules(host, path, verdict)``.
     Kept columns of these names give way."""
     rules = (rules.where("host is not null and path is not null and verdict is not null")
-             .select(F.lower("host").alias("host"), "path", "verdict").distinct())
+             .select(_lower(F.col("host")).alias("host"), "path", "verdict").distinct())
     keep = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(url)
     urls = pages.select(*[F.col(c) for c in keep], host.alias("__host"), path.alias("__path"))

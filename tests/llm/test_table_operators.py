@@ -56,6 +56,14 @@ def url_brute(url, rules, default="allow"):
     return host, path, best and best[0] + best[1], best[2] if best else default
 
 
+def test_rule_hosts_fold_like_url_hosts(spark):
+    rules = spark.createDataFrame([("Äb.COM", "/", "block")], url_filter.RULES_SCHEMA)
+    pages = spark.createDataFrame([(1, "http://ÄB.com/x"), (2, "http://äb.com/x")], "page_id long, url string")
+    for limit in (url_filter.TRIE_RULES, 0):
+        got = url_filter.judge(pages, rules, ["page_id"], trie_rules=limit).collect()
+        assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow"}
+
+
 def test_url_filter(spark):
     rnd = random.Random(2)
     labels, parts = ["com", "net", "example", "www", "a", "b"], ["en", "fr", "e", "x", ""]
