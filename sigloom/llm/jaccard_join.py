@@ -32,7 +32,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +79,7 @@ def _set_id(s: np.ndarray) -> np.uint64:
 
 def _prefixes(classes, bits: int, k: int, num: int, den: int):
     def run(batches):
-        cls, rid = classes.value, TaskContext.get().partitionId() << 40
+        cls = classes.value
         for batch in batches:
             ids = batch.column(0)
             buf, offs = th.utf8(batch.column(1))
@@ -99,11 +98,10 @@ def _prefixes(classes, bits: int, k: int, num: int, den: int):
                     pre.append((first & TOKEN_MASK).view(np.int64))
                 lens = np.cumsum([0, *map(len, pre)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(np.arange(rid, rid + j - i)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(grp, pa.int64()),
+                    [ids[i:j], pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(grp, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(lens, pa.int32()),
                                               pa.array(np.concatenate(pre) if pre else [], pa.int64()))],
-                    ["doc_id", "rid", "n", "fp", "grp", "prefix"])
-                rid += j - i
+                    ["doc_id", "n", "fp", "grp", "prefix"])
     return run
 
 
@@ -138,8 +136,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, vertex: DataFrame, k: int, num: i
     """The pairs of vertices ``(a, b)`` whose whole sets are similar enough."""
     pairs = store(pairs.distinct())
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    need = small(store(vertex.join(ends, "fp").select(F.col("doc_id").alias("id"))))
-    sets = store(docs.join(need, docs["doc_id"].eqNullSafe(need["id"]), "left_semi").select("text")
+    # One long as the key (null ids hash alike): equal hashes can only add sets that no pair asks for. A null-safe
+    # join has two keys, whose broadcast table would start at 64 MB of the driver's memory.
+    need = small(store(vertex.join(ends, "fp").select(F.xxhash64("doc_id").alias("id")).distinct()))
+    sets = store(docs.join(need, F.xxhash64(docs["doc_id"]) == need["id"], "left_semi").select("text")
                  .mapInArrow(_sets(k), "fp long, s binary").dropDuplicates(["fp"]))
     both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
@@ -157,7 +157,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     rows = store(docs.mapInArrow(_prefixes(classes, ORDER_BITS, k, num, den),
-                                 "doc_id long, rid long, n int, fp long, grp long, prefix array<long>"))
+                                 "doc_id long, n int, fp long, grp long, prefix array<long>"))
     classes.destroy()  # the rows are stored
     settle(spark)
     vertex = store(rows.where("n > 0").groupBy("fp")
@@ -166,12 +166,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
                                        F.first("n").alias("n")))
     # Joins on two columns are merges: their broadcast tables would start at 64 MB of the driver's memory each.
     # Postings of tokens that occur in several rows, and of these, by group.
-    post = rows.where("n > 0").select("rid", F.posexplode("prefix").alias("pos", "token"))
+    post = rows.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # Stored: a join of two plain shuffles lets Spark split the partition of a hot token.
     often = store(post.groupBy("token").count().where("count > 1").select("token"))
-    slim = small(store(rows.select("rid", "grp", "n")))
-    post = store(post.join(often, "token").join(slim, "rid")
-                 .groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    post = store(post.join(often, "token").groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
 
     def may_link(n1, pos1, n2, pos2):
         """Sizes are near enough, and what is left from the shared token on can hold the overlap."""
