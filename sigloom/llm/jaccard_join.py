@@ -148,6 +148,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, vertex: DataFrame, k: int, num: i
     return found
 
 
+def _fold(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root(v, root)`` with the further ``links(a, b)``: only the components that these join are worked on."""
+    if links.isEmpty():
+        return root
+    top = root.toDF("v", "r")
+    over = (links.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    joined = components(over).toDF("r", "r2")
+    return store(root.join(joined, root["root"] == joined["r"], "left")
+                 .select("v", F.coalesce("r2", "root").alias("root"))
+                 .unionByName(joined.join(root, joined["r"] == root["v"], "left_anti").toDF("v", "root")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -198,8 +211,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     crowd = store(group.where("lead <> last").select("grp", "lead", "n"))
     inner = vertex.join(crowd.select("grp", "lead"), "grp").where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
     tried = store(star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    found = _verify(tried, docs, vertex, k, num, den)
-    root = components(found)
+    root = components(_verify(tried, docs, vertex, k, num, den))
     settle(spark)
 
     active = store(post.select("grp").union(crowd.select("grp")).distinct())
@@ -217,53 +229,47 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
                  .where("r0 <> r1").select("token", "main"))
         return live, store(lists.join(split, "token"))
 
-    # Second star: on each token the group with the smallest share of prefix tokens that no other group has.
     live, lists = unresolved(root)
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
-    alone = (post.groupBy("grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-             .select("grp", F.floor((1 - F.col("shared") / prefix) * (1 << 20)).cast("long").alias("alone")))
-    best = live.groupBy("grp", "root").agg(F.min("fp").alias("fp")).join(alone, "grp", "left")
-    key = F.coalesce("alone", F.lit(1 << 20)) * (1 << 42) + F.pmod(F.xxhash64("grp", "root"), F.lit(1 << 42))
-    draw = store(lists.join(best.withColumn("h", key).hint("merge"), ["grp", "root"]))
-    centre = draw.groupBy("token").agg(F.min("h").alias("h"))
-    centre = draw.join(centre.hint("merge"), ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos", "root", "fp")])
-    star = (draw.join(centre, "token").where((F.col("root") != F.col("root0")) & may_link("n", "pos", "n0", "pos0"))
-            .select("grp", "grp0", "fp", "fp0").distinct())
-    star = star.where("grp = grp0").unionByName(
-        star.join(shared_enough(star.where("grp <> grp0"), "grp", "grp0").hint("merge"), ["grp", "grp0"]).select(star.columns))
-    star = star.select(F.least("fp", "fp0").alias("a"), F.greatest("fp", "fp0").alias("b"))
-    star = store(star.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
-    found = found.unionByName(_verify(star, docs, vertex, k, num, den))
-    tried, root = tried.unionByName(star), components(found)
-    settle(spark)
+
+    # Second star: on each token the group with the smallest share of prefix tokens that no other group has.
+    if not lists.isEmpty():
+        prefix = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
+        alone = (post.groupBy("grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+                 .select("grp", F.floor((1 - F.col("shared") / prefix) * (1 << 20)).cast("long").alias("alone")))
+        best = live.groupBy("grp", "root").agg(F.min("fp").alias("fp")).join(alone, "grp", "left")
+        key = F.coalesce("alone", F.lit(1 << 20)) * (1 << 42) + F.pmod(F.xxhash64("grp", "root"), F.lit(1 << 42))
+        draw = store(lists.join(best.withColumn("h", key).hint("merge"), ["grp", "root"]))
+        centre = draw.groupBy("token").agg(F.min("h").alias("h"))
+        centre = draw.join(centre.hint("merge"), ["token", "h"]).select("token", *[F.col(c).alias(c + "0") for c in ("grp", "n", "pos", "root", "fp")])
+        star = (draw.join(centre, "token").where((F.col("root") != F.col("root0")) & may_link("n", "pos", "n0", "pos0"))
+                .select("grp", "grp0", "fp", "fp0").distinct())
+        star = star.where("grp = grp0").unionByName(
+            star.join(shared_enough(star.where("grp <> grp0"), "grp", "grp0").hint("merge"), ["grp", "grp0"]).select(star.columns))
+        star = star.select(F.least("fp", "fp0").alias("a"), F.greatest("fp", "fp0").alias("b"))
+        star = store(star.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        tried, root = tried.unionByName(star), _fold(root, _verify(star, docs, vertex, k, num, den))
+        settle(spark)
+        live, lists = unresolved(root)
 
     # Cross round, on what the stars left in several components.
-    live, lists = unresolved(root)
-    x = lists.where("root <> main").select("token", *[F.col(c).alias(c + "x") for c in ("grp", "n", "pos", "root")])
-    y = lists.select("token", *[F.col(c).alias(c + "y") for c in ("grp", "n", "pos", "root", "main")])
-    cross = (x.join(y, "token")
-             .where((F.col("rootx") != F.col("rooty"))
-                    & ((F.col("rooty") == F.col("mainy")) | (F.col("grpx") < F.col("grpy"))
-                       | ((F.col("grpx") == F.col("grpy")) & (F.col("rootx") < F.col("rooty"))))
-                    & may_link("nx", "posx", "ny", "posy"))
-             .select("grpx", "rootx", "grpy", "rooty").distinct())
-    same = F.col("grpx") == F.col("grpy")
-    cross = store(cross)
-    cross = cross.where(same).unionByName(
-        cross.join(shared_enough(cross.where(~same), "grpx", "grpy").hint("merge"), ["grpx", "grpy"]).select(cross.columns))
-    m = live.select("fp", "grp", "root")
-    pairs = (cross.join(m.toDF("x", "grpx", "rootx").hint("merge"), ["grpx", "rootx"])
-             .join(m.toDF("y", "grpy", "rooty").hint("merge"), ["grpy", "rooty"])
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    more = _verify(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), docs, vertex, k, num, den)
-    if not more.isEmpty():
-        top = root.toDF("v", "r")
-        over = (more.join(top.toDF("a", "ra"), "a", "left").join(top.toDF("b", "rb"), "b", "left")
-                .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        joined = components(over).toDF("r", "r2")
-        root = (root.join(joined, root["root"] == joined["r"], "left")
-                .select("v", F.coalesce("r2", "root").alias("root"))
-                .unionByName(joined.join(root, joined["r"] == root["v"], "left_anti").toDF("v", "root")))
+    if not lists.isEmpty():
+        x = lists.where("root <> main").select("token", *[F.col(c).alias(c + "x") for c in ("grp", "n", "pos", "root")])
+        y = lists.select("token", *[F.col(c).alias(c + "y") for c in ("grp", "n", "pos", "root", "main")])
+        cross = (x.join(y, "token")
+                 .where((F.col("rootx") != F.col("rooty"))
+                        & ((F.col("rooty") == F.col("mainy")) | (F.col("grpx") < F.col("grpy"))
+                           | ((F.col("grpx") == F.col("grpy")) & (F.col("rootx") < F.col("rooty"))))
+                        & may_link("nx", "posx", "ny", "posy"))
+                 .select("grpx", "rootx", "grpy", "rooty").distinct())
+        same = F.col("grpx") == F.col("grpy")
+        cross = store(cross)
+        cross = cross.where(same).unionByName(
+            cross.join(shared_enough(cross.where(~same), "grpx", "grpy").hint("merge"), ["grpx", "grpy"]).select(cross.columns))
+        m = live.select("fp", "grp", "root")
+        pairs = (cross.join(m.toDF("x", "grpx", "rootx").hint("merge"), ["grpx", "rootx"])
+                 .join(m.toDF("y", "grpy", "rooty").hint("merge"), ["grpy", "rooty"])
+                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        root = _fold(root, _verify(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), docs, vertex, k, num, den))
 
     of = vertex.join(root.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = store(of.select("fp", "root", "doc_id"))
