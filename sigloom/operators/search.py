@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..functions import relations as rel
 from . import signature
+from .extract import DEF_KEY
 
 QUERY_DEFAULTS = {"search_names": True, "strict_names": True, "search_types": True, "strict_types": True}
 
@@ -315,17 +316,38 @@ def index_definitions(defs: DataFrame, id_col: str = "def_id", type_col: str = "
     """Definitions with their canonical signature columns (T1, T4-T9) and a
     ``sig_error`` for signatures that fail (V8).  The signature text of a plain
     signature is its raw type without the leading colon (or a checker's
-    normalised type when one is joined in as ``type_normalised``)."""
+    normalised type when one is joined in as ``type_normalised``).
+
+    Every distinct signature text is parsed once and joined back to its rows, so repeated or null ids stay rows of
+    their own. Rows with a failed check (``type_error``) are not indexed; ``index_errors`` reports them."""
     text = F.regexp_replace(F.col(type_col), r"^\s*:\s*", "")
     if "type_normalised" in defs.columns:
         text = F.coalesce(F.col("type_normalised"), text)
     if "type_error" in defs.columns:  # a failed check is an error, never a definition
         defs = defs.where(F.col("type_error").isNull())
-    defs = _ckpt(defs)
-    src = defs.select(id_col, text.alias("__sig"))
-    sig = signature.build_signatures(src, id_col, "__sig", strict_parity)
-    sig = sig.withColumnRenamed("error", "sig_error").drop("toks")
-    return defs.join(sig, id_col, "left")
+    columns = [id_col, *[c for c in defs.columns if c != id_col]]
+    defs = _ckpt(defs.withColumn("__sig", text))
+    # the checkpoint freezes the numbers
+    texts = _ckpt(defs.select("__sig").where("__sig is not null").distinct()
+                  .withColumn("__text_id", F.monotonically_increasing_id()))
+    sig = signature.build_signatures(texts, "__text_id", "__sig", strict_parity)
+    sig = sig.withColumnRenamed("error", "sig_error").drop("toks").join(texts, "__text_id").drop("__text_id")
+    return defs.join(sig, "__sig", "left").select(*columns, *[c for c in sig.columns if c != "__sig"])
+
+
+def index_errors(defs: DataFrame, index: DataFrame, id_col: str = "def_id") -> DataFrame:
+    """``(id, library, module, inner_path, name, stage, error)``, one row for every row that failed.
+
+    ``defs`` is the input of ``index_definitions`` (stage ``check``: its ``type_error``) and ``index`` its result
+    (stage ``signature``: ``sig_error``). Rows of ``defs`` are thus either in the index or here with stage
+    ``check``; a signature that fails is here and stays in the index by name. Key columns that ``defs`` lacks are
+    left out, empty tables give no rows."""
+    keys = [c for c in (id_col, *DEF_KEY) if c in defs.columns]
+    failed = index.where(F.col("sig_error").isNotNull()).select(*keys, F.lit("signature").alias("stage"), F.col("sig_error").alias("error"))
+    if "type_error" not in defs.columns:
+        return failed
+    return (defs.where(F.col("type_error").isNotNull())
+            .select(*keys, F.lit("check").alias("stage"), F.col("type_error").alias("error")).unionByName(failed))
 
 
 def query_scope(queries: DataFrame) -> DataFrame:

@@ -152,3 +152,29 @@ def test_candidates_stay_near_the_hits(spark):
     pairs = search.related_candidates(qs, ds, search.postings(ds), True)
     hits = search.related_pairs(pairs, qs, ds)
     assert hits.count() > 0 and pairs.count() <= 10 * hits.count()
+
+
+def test_index_keeps_rows_of_one_id(spark):
+    rows = [(1, "a", ": A -> B", None), (1, "b", ": B -> C", None), (1, "c", ": A -> B", "no such name"),
+            (None, "d", ": A -> B", None), (None, "d", ": A -> B", None), (2, "e", None, None), (3, "f", ": ->", None)]
+    defs = spark.createDataFrame(rows, "def_id long, name string, type_raw string, type_error string")
+    built = search.index_definitions(defs).checkpoint()
+    got = sorted(((r["def_id"], r["name"], [[t["value"] for t in leaf] for leaf in r["leaves"] or []])
+                  for r in built.where("sig_error is null").collect()), key=str)
+    assert got == sorted([(1, "a", [["A"], ["B"]]), (1, "b", [["B"], ["C"]]), (2, "e", []),
+                          (None, "d", [["A"], ["B"]]), (None, "d", [["A"], ["B"]])]
+                         + [(3, "f", [[]])], key=str)
+    errors = {(r["def_id"], r["name"], r["stage"], r["error"]) for r in search.index_errors(defs, built).collect()}
+    assert (1, "c", "check", "no such name") in errors and built.where("name = 'c'").isEmpty()
+    assert built.count() + sum(e[2] == "check" for e in errors) == len(rows)
+
+
+def test_index_errors_by_stage(spark):
+    defs = spark.createDataFrame([(1, "f", ": A -> -> B", None), (2, "g", ": A", "timeout"), (3, "h", ": A", None)],
+                                 "def_id long, name string, type_raw string, type_error string")
+    built = search.index_definitions(defs).checkpoint()
+    errors = sorted(tuple(r) for r in search.index_errors(defs, built).collect())
+    assert errors == [(1, "f", "signature", "empty signature part"), (2, "g", "check", "timeout")]
+    assert {r["def_id"] for r in built.collect()} == {1, 3}
+    empty = search.index_definitions(defs.limit(0))
+    assert empty.isEmpty() and search.index_errors(defs.limit(0), empty).isEmpty()
