@@ -330,6 +330,30 @@ SELECT r.user_id, r.event_id AS req_event_id, s.event_id AS resp_event_id
 FROM ok r JOIN ok s ON r.user_id = s.user_id AND r.rn = s.rn AND r.k = 'R' AND s.k = 'S'
 """
 
+
+def _queue(kinds: str, accepted: str) -> str:
+    """Each user's queue replayed event by event; ``accepted`` tells whether request ``x`` takes event ``e``."""
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE event_type IN ({kinds})),
+q(user_id, n, waiting, req, resp) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, k VARCHAR)[]), CAST(NULL AS BIGINT),
+         CAST(NULL AS BIGINT) FROM e
+  UNION ALL
+  SELECT user_id, n, CASE WHEN k IN ('view', 'click', 'error') THEN list_append(waiting, struct_pack(id := event_id, k := k))
+                          ELSE list_filter(waiting, lambda x: hit IS NULL OR x.id <> hit) END, hit, event_id
+  FROM (SELECT q.user_id, e.n, e.event_id, e.k, q.waiting,
+               list_filter(q.waiting, lambda x: {accepted})[1].id AS hit
+        FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.n + 1))
+SELECT user_id, req AS req_event_id, resp AS resp_event_id FROM q WHERE req IS NOT NULL
+"""
+
+
+ORACLE["fifo_kinds"] = _queue("'view', 'click', 'purchase'", "e.k = 'purchase'")
+ORACLE["fifo_overlap"] = _queue("'view', 'click', 'error', 'purchase', 'signup'",
+                                "(e.k = 'purchase' AND x.k <> 'error') OR (e.k = 'signup' AND x.k <> 'view')")
+
 _LINES = r"""
   SELECT doc_id, n, regexp_replace(line, '\r$', '') AS line FROM (
     SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line

@@ -326,6 +326,20 @@ def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.fifo_pairs(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view",
                                 F.col("event_type") == "purchase", "event_id")
 
+
+def fifo_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds that accept one response; a purchase goes to the earliest pending view or click."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    return correlate.fifo_pairs_by_kind(ev, ["user_id"], ["ts", "event_id"], "event_id", "event_type",
+                                        {"view": {"purchase"}, "click": {"purchase"}})
+
+
+def fifo_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds whose responses overlap; views take purchases, errors take signups, clicks take both."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    return correlate.fifo_pairs_by_kind(ev, ["user_id"], ["ts", "event_id"], "event_id", "event_type",
+                                        {"view": {"purchase"}, "click": {"purchase", "signup"}, "error": {"signup"}})
+
 # ------------------------------------------------------------------ extraction
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document with indentation, first word
@@ -455,5 +469,5 @@ REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "tri_state", "propagate_down", "string_agg", "progress", "enrich", "worklist",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
               "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict", "dict_errors",
-              "fifo_match", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
+              "fifo_match", "fifo_kinds", "fifo_overlap", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
               "name_lookup", "search_parts"]
