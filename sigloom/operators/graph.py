@@ -19,35 +19,60 @@ def reverse(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.col(dst).alias(src), F.col(src).alias(dst))
 
 
-def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst",
-                       checkpoint_every: int = 2) -> DataFrame:
+def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, level)`` by repeated peeling of nodes without a live in-edge.
 
     ``level`` is the round a node was peeled in (its longest distance from a
     source).  Nodes on a cycle or downstream of one keep ``level`` NULL (the
-    reference drops them silently).  One native job per round; lineage is cut
-    with reliable checkpoints in the session's checkpoint folder.
+    reference drops them silently).  Parallel edges count once; edges with a
+    null end are left out, their other end is still a node.
+
+    Every stored edge carries the in-degree of its target.  A round follows the
+    out-edges of the nodes peeled last and adds their number to the targets'
+    counters; only targets reached so far and not yet full are kept between
+    rounds, nodes nobody has reached are not touched.  Edges already followed
+    are dropped from the store whenever they are half of it, so that all
+    compactions together write at most as many rows as there are edges.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
-    remaining = nodes(edges, src, dst)
-    done: list[DataFrame] = []
-    level = 0
+    pairs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
+    degree = pairs.groupBy(F.col("d").alias("t")).agg(F.count(F.lit(1)).alias("need"))
+    live = _ckpt(pairs.join(degree, F.col("d") == F.col("t")).select("s", "d", "need"))
+    everyone = _ckpt(nodes(edges, src, dst).where("node is not null")
+                     .join(degree.withColumnRenamed("t", "node"), "node", "left"))  # sources need nothing
+    frontier = everyone.where("need is null").select("node")
+    stored, followed, level = live.count(), 0, 0
+    reached = None
+    done = [frontier.select("node", F.lit(0).alias("level"))]
     while True:
-        frontier = remaining.join(e.select(F.col("d").alias("node")), "node", "left_anti")
-        frontier = _ckpt(frontier) if level % checkpoint_every == 0 else frontier.cache()
-        if frontier.isEmpty():
+        level += 1
+        steps = live.join(frontier.select(F.col("node").alias("s")), "s").select("d", "need", F.lit(1).alias("got"))
+        if reached is not None:
+            steps = steps.unionByName(reached)
+        counters = _ckpt(steps.groupBy("d").agg(F.max("need").alias("need"), F.sum("got").alias("got")))
+        full = F.col("got") == F.col("need")
+        n_full, n_open, got = counters.agg(F.count_if(full), F.count_if(~full),
+                                           F.coalesce(F.sum(F.when(full, F.col("got"))), F.lit(0))).first()
+        if not n_full:
             break
+        frontier = counters.where(full).select(F.col("d").alias("node"))
+        reached = counters.where(~full) if n_open else None
         done.append(frontier.select("node", F.lit(level).alias("level")))
-        remaining = remaining.join(frontier, "node", "left_anti")
-        e = e.join(frontier.select(F.col("node").alias("s")), "s", "left_anti")
-        if level % checkpoint_every == 0:
-            remaining, e = _ckpt(remaining), _ckpt(e)
-        level += 1
-    out = remaining.select("node", F.lit(None).cast("int").alias("level"))
-    for d in done:
-        out = out.unionByName(d)
+        followed += got
+        if 2 * followed >= stored:  # targets that are full need no more of their in-edges
+            levels = _union(done).select(F.col("node").alias("d"))
+            live = _ckpt(live.join(levels, "d", "left_anti"))
+            stored, followed = stored - followed, 0
+    peeled = _union(done)
+    return peeled.unionByName(everyone.select("node").join(peeled, "node", "left_anti")
+                              .select("node", F.lit(None).cast("int").alias("level")))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

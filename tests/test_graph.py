@@ -1,4 +1,5 @@
 import inspect
+import random
 
 from sigloom.operators import graph
 
@@ -48,3 +49,28 @@ def test_peeling_has_no_cap(spark):
     assert "max_rounds" not in inspect.signature(graph.topological_levels).parameters
     edges = [(f"n{i}", f"n{i + 1}") for i in range(8)]
     assert _levels(spark, edges) == {f"n{i}": i for i in range(9)}
+
+
+def test_levels_equal_longest_paths(spark):
+    rnd = random.Random(5)
+    # layers of unequal width with parallel edges, shortcuts, a hot source, cycles with tails and null ends
+    edges = [(rnd.randrange(0, 60), rnd.randrange(60, 120)) for _ in range(80)]
+    edges += [(a, a + rnd.randrange(1, 15)) for a in rnd.choices(range(105), k=150)] + [(0, d) for d in range(1, 120)]
+    edges += [(200, 201), (201, 202), (202, 200), (202, 203), (3, 203), (203, 204), (205, 206), (205, 206)]
+    edges += [(None, 300), (301, None), (None, None)]
+    ends = {n for e in edges for n in e} - {None}
+    into = {n: {s for s, d in edges if d == n and s is not None} for n in ends}
+    want = dict.fromkeys(ends)
+    while True:
+        ready = {n: 1 + max((want[s] for s in into[n]), default=-1) for n in ends
+                 if want[n] is None and all(want[s] is not None for s in into[n])}
+        if not ready:
+            break
+        want |= ready
+    got = {r["node"]: r["level"] for r in graph.topological_levels(
+        spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == want and got[204] is None and got[206] == 1 and got[300] == 0
+
+
+def test_no_edges_no_levels(spark):
+    assert _levels(spark, []) == {}
