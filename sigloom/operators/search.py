@@ -71,19 +71,42 @@ def prepare_queries(queries: DataFrame, query_types: DataFrame | None = None) ->
     return _ckpt(q.join(sig, "query_id", "left"))
 
 
+# ------------------------------------------------------------------ scope
+def _scoped(defs: DataFrame, q: DataFrame) -> bool:
+    return "places" in defs.columns and "places" in q.columns
+
+
+def _places(scoped: bool) -> list[str]:
+    return ["places"] if scoped else []
+
+
+def _meet(q: DataFrame, defs: DataFrame, key: str, scoped: bool) -> DataFrame:
+    """Join of queries and definitions on ``key`` and, with scopes, on a place they share: a definition outside a
+    query's scope is never a candidate. A pair that shares several places comes several times."""
+    if not scoped:
+        return q.join(defs, key)
+    at = lambda df: df.select(*[c for c in df.columns if c != "places"], F.explode("places").alias("__place"))
+    return at(q).join(at(defs), [key, "__place"]).drop("__place")
+
+
 # ------------------------------------------------------------------ names
 def name_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     """Definitions whose name is one of the query's terms."""
-    terms = q.where(F.col("search_names")).select("query_id", F.explode("terms").alias("name")).distinct()
-    return terms.join(defs.select("def_id", "name"), "name").select("query_id", "def_id")
+    scoped = _scoped(defs, q)
+    terms = (q.where(F.col("search_names"))
+             .select("query_id", *_places(scoped), F.explode("terms").alias("name")).distinct())
+    hits = _meet(terms, defs.select("def_id", *_places(scoped), "name"), "name", scoped).select("query_id", "def_id")
+    return hits.distinct() if scoped else hits
 
 
 def loose_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     """J4 (V1): definitions whose signature mentions one of the query's terms."""
+    scoped = _scoped(defs, q)
     terms = (q.where(F.col("search_names") & ~F.col("strict_names"))
-             .select("query_id", F.explode("terms").alias("m")).distinct())
-    ments = defs.where(F.col("mentions").isNotNull()).select("def_id", F.explode("mentions").alias("m")).distinct()
-    return terms.join(ments, "m").select("query_id", "def_id").distinct()
+             .select("query_id", *_places(scoped), F.explode("terms").alias("m")).distinct())
+    ments = (defs.where(F.col("mentions").isNotNull())
+             .select("def_id", *_places(scoped), F.explode("mentions").alias("m")).distinct())
+    return _meet(terms, ments, "m", scoped).select("query_id", "def_id").distinct()
 
 
 # ------------------------------------------------------------------ types
@@ -93,17 +116,20 @@ def _has_empty_leaf(leaves: Column) -> Column:
 
 def exact_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     """Same signature (order-insensitive, prefix-compared leaves)."""
+    scoped = _scoped(defs, q)
     qs = q.where(F.col("search_types") & F.col("strict_types") & F.col("q_enc").isNotNull()) \
-        .select("query_id", "q_shape", "q_leaves", "q_exact_key")
-    d = defs.where(F.col("enc").isNotNull()).select("def_id", "shape", "leaves", "exact_key")
+        .select("query_id", *_places(scoped), "q_shape", "q_leaves", "q_exact_key")
+    d = defs.where(F.col("enc").isNotNull()).select("def_id", *_places(scoped), "shape", "leaves", "exact_key")
     check = (F.col("q_shape") == F.col("shape")) & rel.leaves_same(F.col("q_leaves"), F.col("leaves"))
-    main = (qs.where(~_has_empty_leaf(F.col("q_leaves")))
-            .join(d.where(~_has_empty_leaf(F.col("leaves"))), F.col("q_exact_key") == F.col("exact_key"))
-            .where(check))
+
+    def meet(q_side: DataFrame, d_side: DataFrame, key: str) -> DataFrame:
+        return _meet(q_side.withColumn("__key", F.col(f"q_{key}")), d_side.withColumn("__key", F.col(key)), "__key",
+                     scoped).where(check)
+
     q_empty = qs.where(_has_empty_leaf(F.col("q_leaves")))
     d_empty = d.where(_has_empty_leaf(F.col("leaves")))
-    by_shape_q = q_empty.join(d, F.col("q_shape") == F.col("shape")).where(check)
-    by_shape_d = qs.join(d_empty, F.col("q_shape") == F.col("shape")).where(check)
+    main = meet(qs.where(~_has_empty_leaf(F.col("q_leaves"))), d.where(~_has_empty_leaf(F.col("leaves"))), "exact_key")
+    by_shape_q, by_shape_d = meet(q_empty, d, "shape"), meet(qs, d_empty, "shape")
     return (main.select("query_id", "def_id").unionByName(by_shape_q.select("query_id", "def_id"))
             .unionByName(by_shape_d.select("query_id", "def_id")).distinct())
 
@@ -282,7 +308,12 @@ def related_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     q_short = related_pairs(related_candidates(qs, ds, postings(ds), True), qs, ds).select(F.col("s").alias("qc"), F.col("l").alias("dc"))
     d_short = related_pairs(related_candidates(ds, qs, postings(qs), False), ds, qs).select(F.col("l").alias("qc"), F.col("s").alias("dc"))
     found = _ckpt(q_short.unionByName(d_short))
-    return (found.join(q_of.withColumnRenamed("cls", "qc"), "qc").join(d_of.withColumnRenamed("cls", "dc"), "dc")
+    scoped = _scoped(defs, q)
+    if scoped:
+        q_of = q_of.join(q.select("query_id", "places"), "query_id")
+        d_of = d_of.join(defs.select("def_id", "places"), "def_id")
+    asking = found.join(q_of.withColumnRenamed("cls", "qc"), "qc").drop("qc")
+    return (_meet(asking, d_of.withColumnRenamed("cls", "dc"), "dc", scoped)
             .select("query_id", "def_id").distinct())
 
 
@@ -350,6 +381,18 @@ def index_errors(defs: DataFrame, index: DataFrame, id_col: str = "def_id") -> D
             .select(*keys, F.lit("check").alias("stage"), F.col("type_error").alias("error")).unionByName(failed))
 
 
+def _imports(text: str, separators: str) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda x: x != "")
+
+
+def _imported_libraries() -> Column:
+    return _imports("imported_libraries", "[, \\t\\n]")
+
+
+def _imported_modules() -> Column:
+    return _imports("imported_modules", "\\n")
+
+
 def query_scope(queries: DataFrame) -> DataFrame:
     """Libraries and modules each query imports itself.
 
@@ -358,12 +401,8 @@ def query_scope(queries: DataFrame) -> DataFrame:
     import every row of ``examined_scope`` -- that shared list is kept as its
     own table rather than copied once per query.
     """
-    libs = queries.select("query_id", F.lit("library").alias("kind"),
-                          F.explode(F.filter(F.split(F.coalesce("imported_libraries", F.lit("")), "[, \\t\\n]"),
-                                             lambda x: x != "")).alias("name"))
-    mods = queries.select("query_id", F.lit("module").alias("kind"),
-                          F.explode(F.filter(F.split(F.coalesce("imported_modules", F.lit("")), "\\n"),
-                                             lambda x: x != "")).alias("name"))
+    libs = queries.select("query_id", F.lit("library").alias("kind"), F.explode(_imported_libraries()).alias("name"))
+    mods = queries.select("query_id", F.lit("module").alias("kind"), F.explode(_imported_modules()).alias("name"))
     return libs.unionByName(mods)
 
 
@@ -372,3 +411,34 @@ def examined_scope(selected: DataFrame) -> DataFrame:
     ex = selected.select("library", "module")
     return (ex.select(F.lit("library").alias("kind"), F.col("library").alias("name")).distinct()
             .unionByName(ex.select(F.lit("module").alias("kind"), F.col("module").alias("name"))))
+
+
+def scoped_queries(prepared: DataFrame) -> DataFrame:
+    """Queries with the ``places`` they search: the libraries and modules they import and, with
+    ``include_examined``, the examined selection, which is one place whatever its size.
+
+    Reads the columns ``imported_libraries``, ``imported_modules`` and ``include_examined`` as far as they are there;
+    null means none. A query without any place finds nothing."""
+    def place(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda n: F.concat(F.lit(kind), n))
+
+    parts = [F.array().cast("array<string>")]
+    if "imported_libraries" in prepared.columns:
+        parts.append(place("library:", _imported_libraries()))
+    if "imported_modules" in prepared.columns:
+        parts.append(place("module:", _imported_modules()))
+    if "include_examined" in prepared.columns:
+        parts.append(F.when(F.col("include_examined"), F.array(F.lit("examined"))).otherwise(parts[0]))
+    return prepared.withColumn("places", F.array_distinct(F.concat(*parts)))
+
+
+def placed_definitions(defs: DataFrame, examined: DataFrame | None = None) -> DataFrame:
+    """Definitions ``(library, module, ...)`` with the ``places`` they are found in: their library, their module
+    and, for modules in ``examined(library, module)``, the examined selection. ``search`` of these for
+    ``scoped_queries`` stays in each query's scope. A null library or module is no place."""
+    own = F.array(F.concat(F.lit("library:"), "library"), F.concat(F.lit("module:"), "module"))
+    if examined is None:
+        return defs.withColumn("places", F.array_compact(own))
+    mark = examined.select("library", "module").distinct().withColumn("__examined", F.lit("examined"))
+    return (defs.join(mark, ["library", "module"], "left")
+            .withColumn("places", F.array_compact(F.concat(own, F.array("__examined")))).drop("__examined"))

@@ -442,3 +442,26 @@ UNION ALL
 SELECT 'L:' || l.word, p_partkey, true, false
 FROM (SELECT DISTINCT w[1] AS word FROM p) l JOIN p ON list_contains(p.w, l.word)
 """
+
+ORACLE["search_scope"] = """
+WITH p AS (
+  SELECT p_partkey, string_split_regex(trim(p_name), ' +') AS w, p_brand AS module, p_type AS library, p_size FROM part
+), x AS (
+  SELECT DISTINCT library, module FROM p WHERE p_size = 50
+), d AS (
+  SELECT p.*, list_sort(w) AS ws, (library, module) IN (SELECT (library, module) FROM x) AS examined FROM p
+)
+SELECT 'E:' || e.library || ':' || query AS query_id, p_partkey, false AS by_name, true AS by_type
+FROM (SELECT DISTINCT library, array_to_string(list_reverse(w), ' -> ') AS query, ws FROM d) e
+JOIN d ON d.library = e.library AND d.ws = e.ws
+UNION ALL
+SELECT 'R:' || r.module || ':' || word, p_partkey, false, true
+FROM (SELECT DISTINCT module, w[1] AS word FROM d) r JOIN d ON d.module = r.module AND list_contains(d.w, word)
+UNION ALL
+SELECT 'N:' || word, p_partkey, true, false
+FROM (SELECT DISTINCT w[-1] AS word FROM d) n JOIN d ON d.w[-1] = word AND d.examined
+UNION ALL
+SELECT 'L:' || l.library || ':' || word, p_partkey, true, false
+FROM (SELECT DISTINCT library, w[1] AS word FROM d) l
+JOIN d ON list_contains(d.w, word) AND (d.library = l.library OR d.examined)
+"""

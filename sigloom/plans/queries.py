@@ -463,6 +463,39 @@ def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("query_id", F.col("def_id").alias("p_partkey"), "by_name", "by_type"))
 
 
+def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 with J3-J8: the same search, every query within its own scope.
+
+    A part is a definition of library ``p_type`` and module ``p_brand``, with its words as signature; modules with a
+    part of size 50 are examined. Queries: E asks for the words turned round in one library (exact), R for the first
+    word in one module (related), N for a name in what is examined, L for a first word by loose name in one library
+    and what is examined, X imports nothing and finds nothing.
+    """
+    w = F.split(F.trim(F.col("p_name")), " +")
+    p = Tables(spark, sf_dir).part.select("p_partkey", w.alias("w"), "p_brand", "p_type", "p_size")
+    defs = search.index_definitions(p.select(
+        F.col("p_partkey").alias("def_id"), F.col("p_type").alias("library"), F.col("p_brand").alias("module"),
+        F.element_at("w", -1).alias("name"), F.concat_ws(" -> ", "w").alias("type_raw")))
+    examined = p.where("p_size = 50").select(F.col("p_type").alias("library"), F.col("p_brand").alias("module"))
+    none = F.lit(None).cast("string")
+
+    def asked(kind, query, library, module, include_examined, *switches):
+        return (p.select(query.alias("query"), library.alias("imported_libraries"), module.alias("imported_modules"))
+                .distinct()
+                .select(F.concat_ws(":", F.lit(kind), "imported_libraries", "imported_modules", "query").alias("query_id"),
+                        "*", F.lit(include_examined).alias("include_examined"),
+                        *[F.lit(v).alias(c) for c, v in zip(search.QUERY_DEFAULTS, switches)]))
+
+    q = (asked("E", F.concat_ws(" -> ", F.reverse("w")), F.col("p_type"), none, False, False, True, True, True)
+         .unionByName(asked("R", F.get("w", 0), none, F.col("p_brand"), False, False, True, True, False))
+         .unionByName(asked("N", F.element_at("w", -1), none, none, True, True, True, False, True))
+         .unionByName(asked("L", F.get("w", 0), F.col("p_type"), none, True, True, False, False, True))
+         .unionByName(asked("X", F.element_at("w", -1), none, none, False, True, True, False, True)))
+    placed = checkpoint(search.placed_definitions(defs, examined))
+    return (search.search(placed, search.scoped_queries(search.prepare_queries(q)))
+            .select("query_id", F.col("def_id").alias("p_partkey"), "by_name", "by_type"))
+
+
 REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "seq_split", "seq_nesting", "seq_first", "seq_run", "seq_prev",
               "array_ops", "flatten",
@@ -470,4 +503,4 @@ REGISTERED = ["sig_exact", "sig_related", "sig_contains",
               "resolve_first", "topo_levels", "graph_reverse", "graph_nodes", "module_select",
               "scope_union", "tokenise", "token_gaps", "log_parse", "expand_abbrev", "expand_dict", "dict_errors",
               "fifo_match", "fifo_kinds", "fifo_overlap", "line_scan", "line_fold", "scope_lines", "kind_classify", "rename_binders",
-              "name_lookup", "search_parts"]
+              "name_lookup", "search_parts", "search_scope"]

@@ -178,3 +178,29 @@ def test_index_errors_by_stage(spark):
     assert {r["def_id"] for r in built.collect()} == {1, 3}
     empty = search.index_definitions(defs.limit(0))
     assert empty.isEmpty() and search.index_errors(defs.limit(0), empty).isEmpty()
+
+
+def test_queries_stay_in_their_scope(spark):
+    defs = [(1, "base", "Data.Nat", "suc", "Nat -> Nat"), (2, "base", "Data.List", "suc", "List -> Nat"),
+            (3, "cubes", "Cube", "suc", "Nat -> Nat"), (4, "cubes", "Path", "turn", "Nat -> List"),
+            (5, None, None, "suc", "Nat -> Nat"), (6, "cubes", "Empty", "any", "→")]
+    idx = search.index_definitions(spark.createDataFrame(
+        defs, "def_id long, library string, module string, name string, type_raw string"))
+    examined = spark.createDataFrame([("cubes", "Path"), ("cubes", "Path"), ("base", None)], "library string, module string")
+    placed = search.placed_definitions(idx, examined).checkpoint()
+    on, off = True, False
+    rows = [(1, "suc", on, on, off, on, "base", None, off), (2, "suc", on, on, off, on, "other, base\ncubes", "Cube", off),
+            (3, "suc", on, on, off, on, None, None, off), (4, "List", on, off, off, on, "base", None, on),
+            (5, "List", on, off, off, on, None, "Data.List\nCube", None), (6, "Nat -> Nat", off, on, on, on, "cubes", None, off),
+            (7, "Nat", off, on, on, off, None, "Data.Nat\nData.List", off), (8, "Nat", off, on, on, off, None, "Path", on),
+            (9, "Nat -> Nat", off, on, on, on, "nowhere", "nothing", off),
+            (10, "Nat -> Nat", off, on, on, off, "cubes", None, off)]
+    q = spark.createDataFrame(rows, "query_id long, query string, search_names boolean, strict_names boolean, search_types boolean, "
+                                    "strict_types boolean, imported_libraries string, imported_modules string, include_examined boolean")
+    prepared = search.prepare_queries(q)
+    free = {(r["query_id"], r["def_id"]) for r in search.search(placed, prepared).collect()}
+    found = search.search(placed, search.scoped_queries(prepared)).collect()
+    got = {(r["query_id"], r["def_id"]) for r in found}
+    scopes = {1: {1, 2}, 2: {1, 2, 3, 4, 6}, 3: set(), 4: {1, 2, 4}, 5: {2, 3}, 6: {3, 4, 6}, 7: {1, 2}, 8: {4}, 9: set(), 10: {3, 4, 6}}
+    assert got == {(a, b) for a, b in free if b in scopes[a]} and len(found) == len(got)
+    assert {(1, 1), (1, 2), (2, 3), (4, 4), (5, 2), (6, 3), (7, 1), (8, 4), (10, 6)} <= got and (1, 5) in free
