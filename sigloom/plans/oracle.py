@@ -408,8 +408,10 @@ FROM events
 
 ORACLE["rename_binders"] = """
 WITH w AS (SELECT p_partkey, p_type, string_split_regex(trim(p_name), ' +') AS w FROM part),
-x AS (SELECT p_partkey, p_type, CASE WHEN w[1] = w[-1] THEN '@0' ELSE '@1' END AS b2 FROM w)
-SELECT p_partkey, '{ @0 : ' || p_type || ' } { ' || b2 || ' : ' || p_type || ' } -> ' || b2 AS renamed FROM x
+x AS (SELECT p_partkey, p_type, list_transform(w, lambda v:
+             '@' || len(list_distinct(list_slice(w, 1, list_position(w, v) - 1)))) AS b FROM w)
+SELECT p_partkey, array_to_string(list_transform(b, lambda v: '{ ' || v || ' : ' || p_type || ' }'), ' ')
+                  || ' -> ' || b[-1] AS renamed FROM x
 """
 
 ORACLE["name_lookup"] = """

@@ -403,12 +403,11 @@ def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_binders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4/T5: ``{w1 w2 : p_type} -> w2`` from the first and last word of each part
-    name, with bound names renamed and the binder group expanded."""
+    """T4/T5: ``{w1 w2 ... : p_type} -> w`` from all words of each part name and its
+    last one, with bound names renamed and the binder group expanded."""
     p = Tables(spark, sf_dir).part
     w = F.split(F.trim(F.col("p_name")), " +")
-    text = F.concat(F.lit("{"), F.get(w, 0), F.lit(" "), F.element_at(w, -1), F.lit(" : "), F.col("p_type"),
-                    F.lit("} -> "), F.element_at(w, -1))
+    text = F.concat(F.lit("{"), F.array_join(w, " "), F.lit(" : "), F.col("p_type"), F.lit("} -> "), F.element_at(w, -1))
     src = p.select("p_partkey", text.alias("t"))
     rows = signature.rename_binders(signature.token_rows(src, "p_partkey", "t"), "p_partkey")
     arr = signature.collect_tokens(rows, "p_partkey")
