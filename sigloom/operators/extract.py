@@ -21,6 +21,8 @@ Deviations from the reference are listed in the README (V2, V11, V16).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,15 +179,16 @@ def split_results(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataF
 DEF_KEY = ["library", "module", "inner_path", "name"]
 
 
-def attach_inferred_types(defs: DataFrame, inferred: DataFrame) -> DataFrame:
+def attach_inferred_types(defs: DataFrame, inferred: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Definitions enriched with a checker's results.
 
-    ``inferred(library, module, inner_path, name, type_normalised, error)``;
-    a definition without a result keeps ``type_normalised`` NULL (signatures
+    ``inferred(key..., type_normalised, error)``, where the key is the
+    definitions' ``(library, module, inner_path, name)`` if none is given; a definition without a result keeps ``type_normalised`` NULL (signatures
     then fall back to the raw type text); a failed check sets ``type_error``.
     """
-    inf = inferred.select(*DEF_KEY, "type_normalised", F.col("error").alias("type_error"))
-    return defs.join(inf, DEF_KEY, "left")
+    key = key or DEF_KEY
+    inf = inferred.select(*key, "type_normalised", F.col("error").alias("type_error"))
+    return defs.join(inf, key, "left")
 
 
 def type_worklist(defs: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -194,9 +197,9 @@ def type_worklist(defs: DataFrame, inferred: DataFrame) -> DataFrame:
             .join(inferred.select(*DEF_KEY), DEF_KEY, "left_anti"))
 
 
-def progress_counts(results: DataFrame, error: str = "error") -> DataFrame:
-    """A3: per library, definitions processed (successes and errors) and modules done."""
-    return results.groupBy("library").agg(
+def progress_counts(results: DataFrame, error: str = "error", by: Sequence[str] = ("library",)) -> DataFrame:
+    """A3: per library (or ``by``), definitions processed (successes and errors) and modules done."""
+    return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("processed"),
         F.count(F.when(F.col(error).isNull(), 1)).alias("indexed"),
         F.count(F.when(F.col(error).isNotNull(), 1)).alias("failed"),

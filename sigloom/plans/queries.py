@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import abbrev, tokens
 from ..operators import correlate, extract, graph, hierarchy, multiset, search, sequence, signature
 from ..operators.scan import running
-from ..sources import logs
-from ..session import broadcast_if_small, checkpoint
+from ..sources import corpus, index, logs
+from ..session import checkpoint
 from .tables import Tables
 
 
@@ -157,21 +157,21 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents processed per (lang, source): labelled = ok, unlabelled = error."""
     t = Tables(spark, sf_dir)
     lab = t.labels.select("doc_id").distinct().withColumn("ok", F.lit(True))
-    d = t.documents.select("doc_id", "lang", "source").join(lab, "doc_id", "left")
-    return d.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n_done"),
-        F.count("ok").alias("n_ok"),
-        F.count(F.when(F.col("ok").isNull(), 1)).alias("n_error"))
+    d = (t.documents.select("doc_id", "lang", "source").join(lab, "doc_id", "left")
+         .select("lang", "source", F.col("doc_id").alias("module"),
+                 F.when(F.col("ok").isNull(), F.lit("no label")).alias("error")))
+    return extract.progress_counts(d, by=["lang", "source"]).select(
+        "lang", "source", F.col("processed").alias("n_done"), F.col("indexed").alias("n_ok"), F.col("failed").alias("n_error"))
 
 
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents enriched by labels; missing labels default to -1."""
     t = Tables(spark, sf_dir)
-    lab = t.labels.select("doc_id", "quality", "toxic")
-    return (t.documents.select("doc_id").join(lab, "doc_id", "left")
-            .select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"),
-                    F.coalesce("toxic", F.lit(-1)).alias("toxic"),
-                    F.col("quality").isNotNull().alias("labelled")))
+    lab = t.labels.select("doc_id", F.col("quality").alias("type_normalised"), F.col("toxic").alias("error"))
+    return (extract.attach_inferred_types(t.documents.select("doc_id"), lab, ["doc_id"])
+            .select("doc_id", F.coalesce("type_normalised", F.lit(-1)).alias("quality"),
+                    F.coalesce("type_error", F.lit(-1)).alias("toxic"),
+                    F.col("type_normalised").isNotNull().alias("labelled")))
 
 
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,13 +184,14 @@ def resolve_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every part, the supplier of its first line item (by order, line
     number) among suppliers with a positive balance; otherwise an error row."""
     t = Tables(spark, sf_dir)
-    sup = t.supplier.where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("l_suppkey"))
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").join(sup, "l_suppkey", "left_semi")
-    first = li.groupBy("l_partkey").agg(
-        F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).alias("s_suppkey"))
-    return (t.part.select(F.col("p_partkey").alias("l_partkey")).join(first, "l_partkey", "left")
-            .select(F.col("l_partkey").alias("p_partkey"), "s_suppkey",
-                    F.when(F.col("s_suppkey").isNull(), F.lit("no supplier")).alias("error")))
+    key = F.col("l_partkey").cast("string")
+    stock = t.supplier.where(F.col("s_acctbal") > 0).select(F.format_string("%d/stock.src", "s_suppkey").alias("path"))
+    shelves = t.lineitem.select(key.alias("library"), F.struct("l_orderkey", "l_linenumber").alias("ord"),
+                                F.col("l_suppkey").cast("string").alias("include_dir"))
+    parts = t.part.select("p_partkey", F.col("p_partkey").cast("string").alias("library"), F.lit("stock").alias("module"))
+    found = corpus.resolve_files(parts, shelves, stock, ".src")
+    return found.select("p_partkey", F.split_part("source_path", F.lit("/"), F.lit(1)).cast("bigint").alias("s_suppkey"),
+                        F.when(F.col("source_path").isNull(), F.lit("no supplier")).alias("error"))
 
 
 # ------------------------------------------------------------------ graph
@@ -229,27 +230,25 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the selected modules (library = lang, module = source).
 
-    A module is selected when one of its documents is labelled with quality 1.
-    The selection has one row per module; it is broadcast only when its size
-    estimate is small."""
+    A module is selected when one of its documents is labelled with quality 1."""
     t = Tables(spark, sf_dir)
-    catalog = t.documents.select("lang", "source").distinct()
-    good = (t.labels.where(F.col("quality") == 1).select("doc_id")
-            .join(t.documents.select("doc_id", "lang", "source"), "doc_id").select("lang", "source").distinct())
-    selection = catalog.join(good, ["lang", "source"], "left_semi")
-    return t.documents.select("doc_id", "lang", "source").join(broadcast_if_small(selection),
-                                                               ["lang", "source"], "left_semi")
+    docs = t.documents.select("doc_id", F.col("lang").alias("library"), F.col("source").alias("module"))
+    good = t.labels.where(F.col("quality") == 1).select("doc_id").join(docs, "doc_id").select("library", "module").distinct()
+    selection = (index.catalog(docs).join(good.withColumn("enabled", F.lit(True)), ["library", "module"], "left")
+                 .select("library", "module", F.coalesce("enabled", F.lit(False)).alias("enabled")))
+    return index.select_modules(docs, selection).select("doc_id", F.col("library").alias("lang"),
+                                                        F.col("module").alias("source"))
 
 
 def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names imported by each part (its cleaned name split on
     separators) plus the selected brand, duplicates kept."""
-    p = Tables(spark, sf_dir).part
-    clean = F.trim(F.translate(F.col("p_name"), "\n\t", "  "))
-    imported = p.select("p_partkey", F.explode(F.filter(F.split(clean, "[, \t\n]"), lambda x: x != "")).alias("name"),
-                        F.lit("import").alias("origin"))
-    selected = p.select("p_partkey", F.col("p_brand").alias("name"), F.lit("selected").alias("origin"))
-    return imported.unionByName(selected)
+    p = Tables(spark, sf_dir).part.select(
+        F.col("p_partkey").alias("query_id"), search.clean_query(F.col("p_name")).alias("imported_libraries"),
+        F.col("p_brand").alias("imported_modules"))
+    return search.query_scope(p).select(
+        F.col("query_id").alias("p_partkey"), "name",
+        F.when(F.col("kind") == "library", F.lit("import")).otherwise(F.lit("selected")).alias("origin"))
 
 # ------------------------------------------------------------------ text
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
