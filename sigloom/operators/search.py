@@ -90,12 +90,21 @@ def _meet(q: DataFrame, defs: DataFrame, key: str, scoped: bool) -> DataFrame:
 
 
 # ------------------------------------------------------------------ names
+# Terms up to this number are broadcast: definitions then meet them where they are, however often a term occurs.
+BROADCAST_TERMS = 100_000
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    """Broadcast hint if the counted terms are few; otherwise a shuffle join, whose hot terms AQE splits."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
 def name_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     """Definitions whose name is one of the query's terms."""
     scoped = _scoped(defs, q)
     terms = (q.where(F.col("search_names"))
              .select("query_id", *_places(scoped), F.explode("terms").alias("name")).distinct())
-    hits = _meet(terms, defs.select("def_id", *_places(scoped), "name"), "name", scoped).select("query_id", "def_id")
+    hits = _meet(_few(terms), defs.select("def_id", *_places(scoped), "name"), "name", scoped).select("query_id", "def_id")
     return hits.distinct() if scoped else hits
 
 
@@ -105,8 +114,8 @@ def loose_hits(defs: DataFrame, q: DataFrame) -> DataFrame:
     terms = (q.where(F.col("search_names") & ~F.col("strict_names"))
              .select("query_id", *_places(scoped), F.explode("terms").alias("m")).distinct())
     ments = (defs.where(F.col("mentions").isNotNull())
-             .select("def_id", *_places(scoped), F.explode("mentions").alias("m")).distinct())
-    return _meet(terms, ments, "m", scoped).select("query_id", "def_id").distinct()
+             .select("def_id", *_places(scoped), F.explode(F.array_distinct("mentions")).alias("m")))
+    return _meet(_few(terms), ments, "m", scoped).select("query_id", "def_id").distinct()
 
 
 # ------------------------------------------------------------------ types
