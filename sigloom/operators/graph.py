@@ -19,6 +19,16 @@ def reverse(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.col(dst).alias(src), F.col(src).alias(dst))
 
 
+# A round's frontier with at most this many names is broadcast, so that the stored edges stay where they are; a larger
+# one is joined by a shuffle and never passes through the driver.
+BROADCAST_NAMES = 20_000
+
+
+def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A join side of ``rows`` counted rows: broadcast if few, else (or if not counted) always shuffled."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_NAMES else df.hint("merge")
+
+
 def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, level)`` by repeated peeling of nodes without a live in-edge.
 
@@ -32,22 +42,26 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     counters; only targets reached so far and not yet full are kept between
     rounds, nodes nobody has reached are not touched.  Edges already followed
     are dropped from the store whenever they are half of it, so that all
-    compactions together write at most as many rows as there are edges.
+    compactions together write at most as many rows as there are edges.  The
+    peel ends with the last edge: nodes without out-edges cost no round.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    pairs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
-    degree = pairs.groupBy(F.col("d").alias("t")).agg(F.count(F.lit(1)).alias("need"))
-    live = _ckpt(pairs.join(degree, F.col("d") == F.col("t")).select("s", "d", "need"))
-    everyone = _ckpt(nodes(edges, src, dst).where("node is not null")
-                     .join(degree.withColumnRenamed("t", "node"), "node", "left"))  # sources need nothing
+    pairs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
+    whole = F.col("s").isNotNull() & F.col("d").isNotNull()
+    degree = pairs.where(whole).groupBy(F.col("d").alias("t")).agg(F.count(F.lit(1)).alias("need"))
+    ends = _ckpt(pairs.join(_side(degree), F.col("d") == F.col("t"), "left").select("s", "d", "need"))
+    live = ends.where(whole)
+    everyone = _ckpt(ends.select(F.col("s").alias("node"), F.lit(None).cast("bigint").alias("need"))  # sources need nothing
+                     .unionByName(ends.select(F.col("d").alias("node"), "need")).where("node is not null")
+                     .groupBy("node").agg(F.max("need").alias("need")))
     frontier = everyone.where("need is null").select("node")
-    stored, followed, level = live.count(), 0, 0
+    stored, n_full, followed, level = live.count(), frontier.count(), 0, 0
     reached = None
     done = [frontier.select("node", F.lit(0).alias("level"))]
-    while True:
+    while stored > followed:
         level += 1
-        steps = live.join(frontier.select(F.col("node").alias("s")), "s").select("d", "need", F.lit(1).alias("got"))
+        steps = live.join(_side(frontier.select(F.col("node").alias("s")), n_full), "s").select("d", "need", F.lit(1).alias("got"))
         if reached is not None:
             steps = steps.unionByName(reached)
         counters = _ckpt(steps.groupBy("d").agg(F.max("need").alias("need"), F.sum("got").alias("got")))
@@ -60,12 +74,14 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") ->
         reached = counters.where(~full) if n_open else None
         done.append(frontier.select("node", F.lit(level).alias("level")))
         followed += got
-        if 2 * followed >= stored:  # targets that are full need no more of their in-edges
+        if followed < stored <= 2 * followed:  # targets that are full need no more of their in-edges
             levels = _union(done).select(F.col("node").alias("d"))
-            live = _ckpt(live.join(levels, "d", "left_anti"))
+            live = _ckpt(live.join(_side(levels), "d", "left_anti"))
             stored, followed = stored - followed, 0
     peeled = _union(done)
-    return peeled.unionByName(everyone.select("node").join(peeled, "node", "left_anti")
+    if stored == followed:  # every target is full
+        return peeled
+    return peeled.unionByName(everyone.select("node").join(_side(peeled), "node", "left_anti")
                               .select("node", F.lit(None).cast("int").alias("level")))
 
 
@@ -85,17 +101,6 @@ def references(entries: DataFrame, name: str = "name", body: str = "body") -> Da
     return refs.distinct()
 
 
-def dependants(names: DataFrame, refs: DataFrame) -> DataFrame:
-    """``names(name)`` and every name that reaches one of them through ``refs(src, dst)`` (``dst`` refers to
-    ``src``). Each round follows only the names found in the round before."""
-    found = fresh = _ckpt(names.select("name").distinct())
-    while not fresh.isEmpty():
-        fresh = _ckpt(refs.join(fresh.withColumnRenamed("name", "src"), "src").select(F.col("dst").alias("name")).distinct()
-                      .join(found, "name", "left_anti"))
-        found = found.unionByName(fresh)
-    return found
-
-
 def expand_dictionary(entries: DataFrame, name: str = "name", body: str = "body",
                       wrap: tuple[str, str] = ("(?:", ")")) -> DataFrame:
     """Expand ``(name)`` references dependents-first.
@@ -103,39 +108,50 @@ def expand_dictionary(entries: DataFrame, name: str = "name", body: str = "body"
     Returns ``(name, expanded, error)``; an entry that references an unknown
     name, that sits on a reference cycle, or that reaches such an entry through
     its references keeps ``expanded`` NULL and gets an error.
-    Rounds follow the topological levels of the reference graph; each round is
-    a join of the entries of that level with the already expanded ones.
+    Rounds follow the topological levels of the reference graph: the entries of
+    a level hand their expansion, or their error, along their references to the
+    entries that wait for it.  Entries without a level are on a cycle or refer
+    to one.  No side of a join passes through the driver unless it is counted
+    and small.
     """
     e = entries.select(F.col(name).alias("name"), F.col(body).alias("body"))
-    refs = references(e, "name", "body")
-    known = e.select(F.col("name").alias("src"))
+    refs = _ckpt(references(e, "name", "body"))
+    known = _side(e.select(F.col("name").alias("src")).distinct())
     unknown = refs.join(known, "src", "left_anti").select(F.col("dst").alias("name")).distinct()
-    graph_edges = refs.join(known, "src", "left_semi")
-    peeled = (topological_levels(graph_edges, "src", "dst")
-              .select(F.col("node").alias("name"), "level", F.lit(True).alias("in_graph")))
-    lv = (e.select("name").join(peeled, "name", "left")
+    graph_edges = _ckpt(refs.join(known, "src", "left_semi"))
+    peeled = _ckpt(topological_levels(graph_edges, "src", "dst"))
+    in_graph = peeled.select(F.col("node").alias("name"), "level", F.lit(True).alias("in_graph"))
+    lv = (e.select("name").join(_side(in_graph), "name", "left")
           .select("name", F.when(F.col("in_graph").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level")))
-    cyc = lv.where(F.col("level").isNull()).select("name")
-    levels = sorted(r["level"] for r in lv.where(F.col("level").isNotNull()).select("level").distinct().collect())
+    level_of = lambda node, level: peeled.select(F.col("node").alias(node), F.col("level").alias(level))
+    edges = _ckpt(graph_edges.join(_side(level_of("dst", "until")), "dst").where("until is not null")
+                  .join(_side(level_of("src", "since")), "src"))
+    leveled = _ckpt(e.join(_side(lv.where("level is not null")), "name")
+                    .join(_side(unknown.withColumn("bad", F.lit(True))), "name", "left")
+                    .select("name", "body", "level", F.coalesce("bad", F.lit(False)).alias("bad")))
     empty_subs = F.array().cast("array<struct<src:string,x:string>>")
-    expanded = None
-    for L in levels:
-        cur = e.join(lv.where(F.col("level") == L).select("name"), "name")
-        if expanded is None:
-            nxt = _ckpt(cur.select("name", F.col("body").alias("expanded")))
-        else:
-            r = refs.join(cur.select(F.col("name").alias("dst")), "dst").join(
-                expanded.select(F.col("name").alias("src"), F.col("expanded").alias("x")), "src")
-            pairs = r.groupBy("dst").agg(F.collect_list(F.struct("src", "x")).alias("subs"))
-            nxt = _ckpt(cur.join(pairs.withColumnRenamed("dst", "name"), "name", "left")
-                        .select("name", F.aggregate(F.coalesce("subs", empty_subs), F.col("body"), _sub(wrap))
-                                .alias("expanded")))
-        expanded = nxt if expanded is None else expanded.unionByName(nxt)
-    if expanded is None:
-        expanded = e.select("name", F.lit(None).cast("string").alias("expanded")).limit(0)
-    bad = dependants(unknown.unionByName(cyc).distinct(), refs).withColumn("error", F.lit("unresolved reference"))
-    return (e.select("name").join(expanded, "name", "left").join(bad, "name", "left")
-            .select("name", F.when(F.col("error").isNull(), F.col("expanded")).alias("expanded"), "error"))
+    done, waiting = [], None
+    for level in sorted(r["level"] for r in leveled.select("level").distinct().collect()):
+        nxt = leveled.where(F.col("level") == level).select("name", F.col("body").alias("expanded"), "bad")
+        if waiting is not None:
+            subs = (waiting.where(F.col("until") == level).groupBy(F.col("dst").alias("name"))
+                    .agg(F.array_sort(F.collect_set(F.struct("src", "x"))).alias("subs"), F.bool_or("x_bad").alias("x_bad")))
+            nxt = nxt.join(_side(subs), "name", "left").select(
+                "name", F.aggregate(F.coalesce("subs", empty_subs), F.col("expanded"), _sub(wrap)).alias("expanded"),
+                (F.col("bad") | F.coalesce("x_bad", F.lit(False))).alias("bad"))
+        nxt = _ckpt(nxt)
+        done.append(nxt)
+        handed = (edges.where(F.col("since") == level)
+                  .join(_side(nxt.select(F.col("name").alias("src"), F.col("expanded").alias("x"), F.col("bad").alias("x_bad"))), "src")
+                  .select("src", "dst", "until", "x", "x_bad"))
+        if waiting is not None:
+            handed = handed.unionByName(waiting.where(F.col("until") > level))
+        waiting = _ckpt(handed)
+    done.append(lv.where("level is null").select("name", F.lit(None).cast("string").alias("expanded"), F.lit(True).alias("bad"))
+                .distinct())
+    return (e.select("name").join(_side(_union(done)), "name", "left")
+            .select("name", F.when(~F.col("bad"), F.col("expanded")).alias("expanded"),
+                    F.when(F.col("bad"), F.lit("unresolved reference")).alias("error")))
 
 
 def _sub(wrap: tuple[str, str]):
