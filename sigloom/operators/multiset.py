@@ -17,12 +17,24 @@ never a pairwise comparison inside a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A signature whose number of distinct parts is above this is matched through
-# the exact shared-part join instead of subset enumeration (2^k subsets).
-ENUM_LIMIT = 12
+from ..session import checkpoint as _ckpt
+
+# A signature with more distinct parts than this is not held as an array: it is
+# matched through the exact shared-part join instead of the walk over subsets.
+ENUM_LIMIT = 1024
+
+# Bits of each filter of the walk: 8 to 16 for a class of signatures, within these bounds.
+FILTER_BITS = (1 << 16, 1 << 27)
+
+# Subsets that the walk extends at once, so that its memory is bounded.
+WALK_ROWS = 1 << 20
 
 _MASK32 = 0xFFFFFFFF
 FP = ("f1", "f2", "f3", "f4")
@@ -41,10 +53,6 @@ def leaf_hashes(parts: DataFrame, leaf: str) -> DataFrame:
     return parts.select("*", a.alias("f1"), b.alias("f2"), c.alias("f3"), d.alias("f4"))
 
 
-def _adder(field: str):
-    return lambda acc, x: acc + x[field]
-
-
 def _fp_sum(prefix: str = "") -> list[Column]:
     return [F.sum(f).alias(prefix + f) for f in FP]
 
@@ -82,9 +90,65 @@ def same_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "lea
     return fp.join(counts, keys).select(id_col, "arity", "n_same")
 
 
-def _distinct_leaves(parts: DataFrame, id_col: str, leaf: str) -> DataFrame:
-    h = leaf_hashes(parts.select(id_col, leaf), leaf)
-    return h.select(id_col, *FP).distinct()
+def _words(bits: Column, n_bits: int) -> list[Column]:
+    """Word and mask of a hash's bit in a filter of ``n_bits``."""
+    bit = bits.bitwiseAND(F.lit(n_bits - 1))
+    return [F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b")]
+
+
+def _filters(classes: DataFrame, n_bits: int) -> np.ndarray:
+    """Two filters of ``n_bits``: the first hashes of all beginnings of all sets, and the second hashes of all sets.
+
+    A filter only saves work: what it lets through wrongly finds no partner."""
+    firsts = F.transform(F.col("ps"), lambda p: p["h1"])
+    begins = F.transform(F.sequence(F.lit(1), F.size("ps")), lambda i: F.aggregate(
+        F.slice(firsts, F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(x)))
+    rows = (classes.select(F.lit(0).alias("f"), F.explode(begins).alias("h")).select("f", *_words(F.col("h"), n_bits))
+            .unionByName(classes.select(F.lit(1).alias("f"), *_words(F.col("s2"), n_bits))))
+    words = rows.groupBy("f", "w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros((2, n_bits // 64), dtype=np.int64)
+    out[words["f"].to_numpy(), words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def _walk(batches: Iterator[pa.RecordBatch], filters: np.ndarray, n_bits: int) -> Iterator[pa.RecordBatch]:
+    """Subsets of every class's set that may be the set of a class: ``(s1, s2, c1, c2, arity, n)``.
+
+    Sets are sorted, so every subset is reached once, over its beginnings; only
+    beginnings that some set has are extended.
+    """
+    def has(f: int, h: np.ndarray) -> np.ndarray:
+        bit = h & (n_bits - 1)
+        return (filters[f][bit >> 6] >> (bit & 63)) & 1 == 1
+
+    for batch in batches:
+        ps = batch.column("ps")
+        ends = ps.offsets.to_numpy().astype(np.int64)
+        size, base = np.diff(ends), ends[0]
+        parts = ps.flatten()
+        h1, h2 = (parts.field(f).to_numpy() for f in ("h1", "h2"))
+        last = ends[1:] - base
+        row = np.arange(len(size))
+        waiting = [(row, ends[:-1] - base, np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64))]
+        while waiting:
+            row, at, x1, x2 = waiting.pop()  # sets begun with (x1, x2) go on with the parts from ``at``
+            left = last[row] - at
+            cut = max(1, int(np.searchsorted(np.cumsum(left), WALK_ROWS, "right")))
+            if cut < len(row):
+                waiting.append((row[cut:], at[cut:], x1[cut:], x2[cut:]))
+                row, at, x1, x2, left = row[:cut], at[:cut], x1[:cut], x2[:cut], left[:cut]
+            k = np.repeat(np.arange(len(row)), left)
+            part = np.arange(len(k)) - np.repeat(np.cumsum(left) - left, left) + at[k]
+            x1, x2, row = x1[k] ^ h1[part], x2[k] ^ h2[part], row[k]
+            begun = has(0, x1)
+            x1, x2, row, part = x1[begun], x2[begun], row[begun], part[begun]
+            whole = has(1, x2)
+            found = batch.select(["s1", "s2", "arity", "n"]).take(pa.array(row[whole]))
+            yield pa.RecordBatch.from_arrays([pa.array(x1[whole]), pa.array(x2[whole]), *found.columns],
+                                             ["s1", "s2", "c1", "c2", "arity", "n"])
+            more = part + 1 < last[row]
+            if more.any():
+                waiting.append((row[more], part[more] + 1, x1[more], x2[more]))
 
 
 def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "leaf",
@@ -94,44 +158,54 @@ def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "
     The query plays the shorter side when ``arity(q) <= arity(d)``:
     related  <=>  distinct(q) ⊆ parts(d)   if arity(q) <= arity(d)
                   distinct(d) ⊆ parts(q)   otherwise.
-    Small signatures (k distinct parts <= ``enum_limit``) enumerate their 2^k
-    part subsets and meet on subset fingerprints (linear in rows, no pairs).
-    Pairs that involve a large signature are found exactly by a join on shared
-    parts, counting shared parts per pair; large signatures are rare because
-    their number is bounded by rows / enum_limit.
+    Signatures of one set of parts and one arity are a class. Every class walks
+    over the subsets of its set (at most ``enum_limit`` parts) that are the set
+    of a class too, along the beginnings of sets that exist, and meets those
+    classes on the set's two 64-bit hashes: rows grow with related classes, not
+    with 2^k. Pairs that involve a larger signature are found exactly by a join
+    on shared parts, counting shared parts per pair; they are rare because their
+    number is bounded by rows / enum_limit.
     """
-    dl = _distinct_leaves(parts, id_col, leaf)
-    shape = (parts.groupBy(id_col).agg(F.count(F.lit(1)).alias("arity"))
-             .join(dl.groupBy(id_col).agg(F.count(F.lit(1)).alias("k"), *_fp_sum()), id_col))
-    shape = shape.select(id_col, "arity", "k", *FP)
-
-    small = shape.where(F.col("k") <= enum_limit)
-    # subsets of each small signature's distinct parts
-    arr = (dl.join(small.select(id_col), id_col, "left_semi")
-           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*FP))).alias("ps"))
-           .join(small.select(id_col, "arity"), id_col))   # arity attached before the 2^k explode
-    subs = (arr.select(id_col, "arity", "ps", F.explode(F.expr("sequence(1, (1 << size(ps)) - 1)")).alias("m"))
-            .select(id_col, "arity", F.expr("filter(ps, (x, i) -> ((m >> i) & 1) = 1)").alias("s")))
-    subs = subs.select(id_col, "arity", *[F.aggregate(F.col("s"), F.lit(0).cast("bigint"), _adder(f)).alias(f)
-                                          for f in FP])
-    # read by both count branches: built once (recomputable from lineage if lost)
-    subs = subs.persist()
-
-    # A: d small with arity(d) >= arity(q) and distinct(q) is one of d's subsets
-    a_cnt = subs.groupBy(*FP, "arity").agg(F.count(F.lit(1)).alias("n"))
-    a = (small.alias("q").join(a_cnt.alias("c"), [F.col(f"q.{f}") == F.col(f"c.{f}") for f in FP])
-         .where(F.col("c.arity") >= F.col("q.arity"))
-         .groupBy(F.col(f"q.{id_col}").alias(id_col)).agg(F.sum("n").alias("n")))
-    # B: d small with arity(d) < arity(q) and distinct(d) is one of q's subsets
-    b_cnt = small.groupBy(*FP, "arity").agg(F.count(F.lit(1)).alias("n"))
-    b = (subs.alias("q").join(b_cnt.alias("c"), [F.col(f"q.{f}") == F.col(f"c.{f}") for f in FP])
-         .where(F.col("c.arity") < F.col("q.arity"))
-         .groupBy(F.col(f"q.{id_col}").alias(id_col)).agg(F.sum("n").alias("n")))
-
-    # C: pairs with at least one large signature, via shared distinct parts
+    h = leaf_hashes(parts.select(id_col, leaf), leaf).where(F.col(id_col).isNotNull())
+    h = h.select(id_col, F.shiftleft("f2", 32).bitwiseOR(F.col("f1")).alias("h1"),
+                 F.shiftleft("f4", 32).bitwiseOR(F.col("f3")).alias("h2"))
+    rows = (h.groupBy(id_col, "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(id_col))))
+    sets = rows.groupBy(id_col).agg(
+        F.sum("n").alias("arity"), F.max("k").alias("k"), F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2"),
+        F.array_sort(F.collect_list(F.when(F.col("k") <= enum_limit, F.struct("h1", "h2")))).alias("ps"))
+    key = ["s1", "s2", "arity"]
+    shape = sets.select(id_col, "k", *key)
+    # k is part of a class only through its set; the one large class of an arity is no problem: it holds no array
+    classes = _ckpt(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.first("ps").alias("ps")))
+    small = classes.where(F.col("k") <= enum_limit)
+    n_small, n_large = classes.agg(F.count_if(F.col("k") <= enum_limit), F.count_if(F.col("k") > enum_limit)).first()
+
+    n_bits = min(max(1 << (8 * n_small).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    shared = parts.sparkSession.sparkContext.broadcast(_filters(small, n_bits))
+    met = (small.select("s1", "s2", "arity", "n", "ps")
+           .mapInArrow(lambda b: _walk(b, shared.value, n_bits), "s1 long, s2 long, c1 long, c2 long, arity long, n long"))
+    # q with its own set of parts, and the classes that hold it
+    pairs = (small.select("s1", "s2", F.col("arity").alias("aq"), F.col("n").alias("nq"))
+             .join(met.withColumnsRenamed({"arity": "ad", "n": "nd"}), ["s1", "s2"]).where("aq <= ad"))
+    # A: arity(d) >= arity(q) and distinct(q) is one of d's subsets; B: the longer one of such a pair as the query
+    sides = F.array(F.struct("s1", "s2", F.col("aq").alias("arity"), F.col("nd").alias("m")),
+                    F.struct(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.col("ad").alias("arity"),
+                             F.when(F.col("aq") < F.col("ad"), F.col("nq")).alias("m")))
+    counts = (pairs.select(F.explode(sides).alias("x")).select("x.*").where("m is not null")
+              .groupBy(*key).agg(F.sum("m").alias("m")))
+    hits = shape.join(counts, key, "left").select(id_col, "arity", F.coalesce("m", F.lit(0)).alias("n_related"))
+    if not n_large:
+        return hits
+    return (hits.unionByName(_large_counts(rows.select(id_col, "h1", "h2"), shape, id_col, enum_limit))
+            .groupBy(id_col).agg(F.max("arity").alias("arity"), F.sum("n_related").alias("n_related")))
+
+
+def _large_counts(dl: DataFrame, shape: DataFrame, id_col: str, enum_limit: int) -> DataFrame:
+    """Pairs with at least one signature of more than ``enum_limit`` distinct parts, via shared distinct parts."""
     big_ids = shape.where(F.col("k") > enum_limit).select(id_col)
     big_parts = dl.join(big_ids, id_col, "left_semi")
-    lk = ["f1", "f2", "f3", "f4"]
+    lk = ["h1", "h2"]
     qp = dl.select(F.col(id_col).alias("q"), *lk)
     bp = big_parts.select(F.col(id_col).alias("d"), *lk)
     # (q any, d big) and (q big, d small) — the second via the swapped roles
@@ -145,12 +219,8 @@ def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "
                 .groupBy("q", "d").agg(F.count(F.lit(1)).alias("shared")))
     c2 = (pairs_bq.join(sq, "q").join(sd, "d")
           .where(F.col("kd") <= enum_limit).where(rel))
-    c = (c1.unionByName(c2).groupBy(F.col("q").alias(id_col))
-         .agg(F.count(F.lit(1)).alias("n")))
-
-    hits = a.unionByName(b).unionByName(c).groupBy(id_col).agg(F.sum("n").alias("n_related"))
-    return (shape.select(id_col, "arity").join(hits, id_col, "left")
-            .select(id_col, "arity", F.coalesce("n_related", F.lit(0)).cast("bigint").alias("n_related")))
+    return (c1.unionByName(c2).groupBy(F.col("q").alias(id_col), F.col("aq").alias("arity"))
+            .agg(F.count(F.lit(1)).alias("n_related")))
 
 
 def mention_counts(parts: DataFrame, terms: DataFrame, id_col: str = "id",
