@@ -8,11 +8,11 @@ does not advance after a hit).  These hold when every leaf has the same token
 count and identifiers carry no dotted qualifier, which is how
 ``basket_parts`` builds them; general signatures go through ``search``.
 
-Nothing here collects a signature into an array: a signature is identified by
-an order-insensitive fingerprint -- sums of two independent 64-bit hashes of
-its parts, split into 32-bit halves so the sums cannot overflow -- which is a
-partial (map-side) aggregate.  Matching is then an equi-join on fingerprints,
-never a pairwise comparison inside a group.
+A signature is identified by an order-insensitive fingerprint of two
+independent 64-bit hashes of its parts -- sums, split into 32-bit halves so
+they cannot overflow, or xors for a set of parts -- and matching is an
+equi-join on fingerprints, never a pairwise comparison inside a group.  Only
+related signatures collect parts into an array, up to ``ENUM_LIMIT`` of them.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "
         F.array_sort(F.collect_list(F.when(F.col("k") <= enum_limit, F.struct("h1", "h2")))).alias("ps"))
     key = ["s1", "s2", "arity"]
     shape = sets.select(id_col, "k", *key)
-    # k is part of a class only through its set; the one large class of an arity is no problem: it holds no array
+    # a set has one k, so the first array of a class is that of all its signatures (empty for a large set)
     classes = _ckpt(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.first("ps").alias("ps")))
     small = classes.where(F.col("k") <= enum_limit)
     n_small, n_large = classes.agg(F.count_if(F.col("k") <= enum_limit), F.count_if(F.col("k") > enum_limit)).first()
