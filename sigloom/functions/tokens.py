@@ -54,8 +54,16 @@ PATTERN_PLAIN = "|".join(f"(?:{p})" for _, p in RULES)
 # earlier alternatives at every letter.  (RE2, used by the oracle, has no
 # look-ahead; the oracle keeps PATTERN_PLAIN.)
 _SPECIAL_FIRST = r"""[-{"'\d:→λ(){}⦃⦄_]"""
-_NAME = dict(RULES)["name"]
-PATTERN_FAST = f"(?:(?!{_SPECIAL_FIRST}){_NAME})|" + PATTERN_PLAIN
+# ``name`` without the alternative inside its loop ("'" is one of ``_N``) and
+# without backtracking: what may follow a repetition is never in it, and
+# nothing has to match behind a name.
+_PART = rf"_?+{_N}++(?:_{_N}++)*+_?+"
+_NAME = rf"{_PART}(?:\.{_PART})*+"
+# No rule starts with one of these; at white space Java otherwise tries them all.
+_NO_FIRST = r"[\s.;@\\]"
+# Most names begin with a letter, which needs none of the slower tests.
+_WORD = rf"[a-zA-Z]{_N}*+(?:_{_N}++)*+_?+(?:\.{_PART})*+"
+PATTERN_FAST = f"(?!{_NO_FIRST})(?:{_WORD}|(?:(?!{_SPECIAL_FIRST}){_NAME})|{PATTERN_PLAIN})"
 PATTERN = "(?d)" + PATTERN_FAST
 PATTERN_UNICODE = "(?dU)" + PATTERN_FAST
 
@@ -113,11 +121,11 @@ def _positions(lg: pd.Series, lt: pd.Series, ng: pd.Series, nt: pd.Series,
     Inputs per row: lengths, newline counts and last-newline index (-1 if none)
     of every gap (g) and token (t); gap i precedes token i.
     """
-    starts, lines, cols = [], [], []
+    starts, lines, cols, none = [], [], [], np.zeros(0, np.int64)
     for a, b, c, d, e, f in zip(lg, lt, ng, nt, qg, qt):
-        n = len(b)
+        n = 0 if b is None else len(b)  # None: a null text
         if n == 0:
-            starts.append([]), lines.append([]), cols.append([])
+            starts.append(none), lines.append(none), cols.append(none)
             continue
         a, c, e = np.asarray(a[:n], dtype=np.int64), np.asarray(c[:n], dtype=np.int64), np.asarray(e[:n], dtype=np.int64)
         b, d, f = np.asarray(b, dtype=np.int64), np.asarray(d, dtype=np.int64), np.asarray(f, dtype=np.int64)
@@ -129,9 +137,9 @@ def _positions(lg: pd.Series, lt: pd.Series, ng: pd.Series, nt: pd.Series,
         last_piece = np.where(f >= 0, start + f, np.where(e >= 0, off + e, -1))
         prev = np.concatenate(([-1], np.maximum.accumulate(last_piece)[:-1]))
         last_before = np.where(e >= 0, off + e, prev)
-        starts.append(start.tolist())
-        lines.append((nl_before + c + 1).tolist())
-        cols.append((start - last_before).tolist())
+        starts.append(start)
+        lines.append(nl_before + c + 1)
+        cols.append(start - last_before)
     return pd.DataFrame({"start": starts, "line": lines, "col": cols})
 
 

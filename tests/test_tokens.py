@@ -37,3 +37,20 @@ def test_positions_and_gaps(spark):
     gaps = tokens.unmatched(df, "id", "t").orderBy("pos").collect()
     # the gap before "c" holds ";"; the trailing "; " is not reported
     assert [(r["pos"], r["gap"]) for r in gaps] == [(1, " ;")]
+
+
+def test_long_names_and_null_texts(spark):
+    # matched without backtracking, so a name of any length takes no stack
+    long = ["a" * 60_000, "b'_c." * 12_000 + "d"]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, None), (3, "")], "id int, t string")
+    for unicode in (False, True):
+        rows = tokens.token_table(df, "id", "t", unicode).orderBy("pos").collect()
+        assert [(r["id"], r["tag"], r["value"], r["start_idx"]) for r in rows] == \
+            [(1, "name", long[0], 0), (1, "name", long[1], 60_001)]
+
+
+def test_names_and_gaps_without_backtracking(spark):
+    text = "a_ _b c__d .e f._g h.'i@\\ j;_ k_.l \"m n\" \"o"
+    assert _toks(spark, text) == [
+        ("name", "a_"), ("name", "_b"), ("name", "c_"), ("name", "_d"), ("name", "e"), ("name", "f._g"),
+        ("name", "h.'i"), ("name", "j"), ("discard", "_"), ("name", "k_.l"), ("lit_str", '"m n" "'), ("name", "o")]
