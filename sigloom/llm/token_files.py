@@ -33,9 +33,10 @@ from . import simple8b
 from . import text_hash as th
 from .common import shared_path, text_batches
 
-CHUNK_IDS = 1 << 18
+CHUNK_IDS = 1 << 17  # a chunk ends with the document that reaches so many; about 350 kB coded
+CHUNK_BLOCK = 1024
 MEMO_PIECES = 500_000
-SLICE = 8 << 20
+SLICE = 4 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ["\n", ".", ","]
 _LINES = r"^ ?\pL+[.,]?(\n\pL+[.,]?)*$"
@@ -206,13 +207,14 @@ def _spaced(text: str) -> list[str]:
 def _write(path: str, end_id: int):
     def run(batches):
         encoder, before, part, chunk = _encoder(path), 0, None, 0
-        docs, lens, ids = [], [], []
+        docs, lens, ids = [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-        def flush():
+        def row(n_docs, n_ids):
+            """One chunk: the first documents that wait."""
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()),
-                 pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())),
-                 pa.array([simple8b.encode(np.concatenate(ids))], pa.binary())],
+                 pa.array([docs[:n_docs]], pa.list_(pa.int64())), pa.array([lens[:n_docs]], pa.list_(pa.int64())),
+                 pa.array([simple8b.encode(ids[:n_ids], CHUNK_BLOCK)], pa.binary())],
                 ["part", "chunk", "before", "doc_ids", "lens", "payload"])
 
         for batch in batches:
@@ -220,21 +222,26 @@ def _write(path: str, end_id: int):
             _, offs = th.utf8(texts)
             for i, j in th.slices(offs, SLICE):
                 got, n = encoder.encode(texts[i:j].fill_null(""))
-                stop = np.cumsum(n)
-                ids.append(np.insert(got, stop, end_id))  # the end id behind every text
+                ids = np.concatenate([ids, np.insert(got, np.cumsum(n), end_id)])  # the end id behind every text
+                lens = np.concatenate([lens, n + 1])
                 docs += keys[i:j].to_pylist()
-                lens += (n + 1).tolist()
-                if sum(map(len, ids)) >= CHUNK_IDS:
-                    yield flush()
-                    before, chunk = before + sum(lens), chunk + 1
-                    docs, lens, ids = [], [], []
+                del got
+                while len(ids) >= CHUNK_IDS:
+                    stop = np.cumsum(lens)
+                    n_docs = int(np.searchsorted(stop, CHUNK_IDS)) + 1
+                    n_ids = int(stop[n_docs - 1])
+                    yield row(n_docs, n_ids)
+                    before, chunk = before + n_ids, chunk + 1
+                    docs, lens, ids = docs[n_docs:], lens[n_docs:], ids[n_ids:]
         if docs:
-            yield flush()
+            yield row(len(docs), len(ids))
     return run
 
 
 def _read(batches):
+    _encoder.cache_clear()  # a worker that wrote files needs its encoder and memo no more
     for batch in batches:
+        th.give_back()
         for i in range(batch.num_rows):
             ids = simple8b.decode(batch.column(4)[i].as_py()).astype("<u4")
             lens = np.array(batch.column(3)[i].as_py(), np.int64)

@@ -236,6 +236,32 @@ def test_token_files(spark):
     assert empty.count() == 0
 
 
+def test_token_file_chunks_are_bounded(spark, monkeypatch):
+    """A chunk ends with the document that reaches CHUNK_IDS, however many ids a batch has; nothing is lost."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 100)
+    texts = ["a b c", "", "d " * 60, "e " * 250] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts), pa.array([7] * 20, pa.int32())],
+                                       ["doc_id", "text", "part"])
+    chunks = list(token_files._write(path, 0)([batch]))
+    docs, lens, before = [], [], 0
+    for i, c in enumerate(chunks):
+        row = c.to_pylist()[0]
+        assert (row["part"], row["chunk"], row["before"]) == (7, i, before)
+        assert sum(row["lens"][:-1]) < 100 and (sum(row["lens"]) >= 100 or c is chunks[-1])
+        assert len(simple8b.decode(row["payload"])) == sum(row["lens"])
+        docs, lens, before = docs + row["doc_ids"], lens + row["lens"], before + sum(row["lens"])
+    enc = token_files.Encoder(path)
+    assert docs == list(range(20)) and lens == (enc.encode(pa.array(texts))[1] + 1).tolist()
+    assert token_files._encoder.cache_info().currsize == 1
+    back = pa.Table.from_batches(token_files._read(
+        pa.RecordBatch.from_pylist([{k: c.to_pylist()[0][k] for k in ("part", "before", "doc_ids", "lens", "payload")}], pa.schema(
+            [("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())]))
+        for c in chunks))
+    assert back["doc_id"].to_pylist() == docs and back["n_tokens"].to_pylist() == lens
+    assert token_files._encoder.cache_info().currsize == 0  # readers hold no encoder
+
+
 def test_encoder_memo_stays_bounded():
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     enc = token_files.Encoder(path, limit=50)
