@@ -32,6 +32,8 @@ def store(df: DataFrame) -> DataFrame:
     Cuts the lineage and freezes the rows: a lost executor costs a re-read, never other values."""
     path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
+    if heap_grown(df.sparkSession):
+        settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +46,13 @@ def small(df: DataFrame, limit: int | None = None, weight=None) -> DataFrame:
     return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
+def heap_grown(spark) -> bool:
+    """Whether the driver's heap takes more than half of what it may: a long chain of jobs lets it grow with what
+    finished plans left, far beyond what is in use, and only a full collection makes it smaller."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    return runtime.totalMemory() > runtime.maxMemory() // 2
+
+
 def settle(spark) -> None:
     """Let the driver give back what finished plans left behind: a long chain of jobs otherwise fills its heap with
     plans and broadcast copies that are no longer used, and Spark only drops shuffles and broadcasts of collected

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from brute import jaccard, removal
 
-from sigloom.llm import decontaminate, jaccard_join, simple8b, substring_dedup, token_files
+from sigloom.llm import common, decontaminate, jaccard_join, simple8b, substring_dedup, token_files
 from sigloom.llm import text_hash as th
 
 SCHEMA = "doc_id long, text string, grp long, n int, fp string"
@@ -321,3 +321,17 @@ def test_words_across_pieces(monkeypatch):
     one = {w: th.words(*th.utf8(pa.array([w])))[0][0] for t in texts for w in t.split()}
     assert [h[at[i]:at[i + 1]].tolist() for i in range(len(texts))] == [[one[w] for w in t.split()] for t in texts]
     assert len(set(one.values())) == len(one)
+
+
+def test_store_settles_a_grown_heap(spark, monkeypatch):
+    """A stored table is followed by a collection only when the driver's heap takes more than half of its limit."""
+    calls = []
+    monkeypatch.setattr(common, "settle", lambda s: calls.append(s))
+    for grown in (False, True):
+        monkeypatch.setattr(common, "heap_grown", lambda s: grown)
+        assert common.store(spark.range(3)).count() == 3
+    assert len(calls) == 1
+    monkeypatch.undo()
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    total = runtime.totalMemory()
+    assert not common.heap_grown(spark) or total > runtime.maxMemory() // 4
