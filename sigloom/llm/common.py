@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..session import ensure_checkpoint_dir
 
 # A broadcast side has rows of a few longs; so many of them are at most about 50 MB.
 BROADCAST_ROWS = 1_000_000
+# Characters of a plan's text that the driver keeps for each of up to 1,000 finished writes.
+PLAN_TEXT = 8_000
 
 
 def text_batches(spark, rows: int = 2_000) -> None:
@@ -31,12 +34,28 @@ def store(df: DataFrame) -> DataFrame:
 
     Cuts the lineage and freezes the rows: a lost executor costs a re-read, never other values."""
     path = shared_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    with short_plan_texts(df.sparkSession):
+        df.write.parquet(path)
     if heap_grown(df.sparkSession):
         settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_plan_texts(spark):
+    """Cut the texts of plans to ``PLAN_TEXT`` characters, as Spark's documentation advises when they take too much
+    of the driver's memory: a long chain's plans are written out anew with every finished stage and kept to the
+    session's end. The session's setting is restored; a smaller one stays."""
+    key = "spark.sql.maxPlanStringLength"
+    given = spark.conf.get(key)
+    plain = given.removesuffix("b")  # the default is given in bytes; one in a larger unit is the user's own
+    spark.conf.set(key, str(min(PLAN_TEXT, int(plain))) if plain.isdigit() else given)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def small(df: DataFrame, limit: int | None = None, weight=None) -> DataFrame:
     """Broadcast hint for a *stored* table when its counted size is within ``limit`` rows (``BROADCAST_ROWS``).
 
@@ -47,10 +66,10 @@ def small(df: DataFrame, limit: int | None = None, weight=None) -> DataFrame:
 
 
 def heap_grown(spark) -> bool:
-    """Whether the driver's heap takes more than half of what it may: a long chain of jobs lets it grow with what
+    """Whether the driver's heap takes more than a third of what it may: a long chain of jobs lets it grow with what
     finished plans left, far beyond what is in use, and only a full collection makes it smaller."""
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    return runtime.totalMemory() > runtime.maxMemory() // 2
+    return runtime.totalMemory() > runtime.maxMemory() // 3
 
 
 def settle(spark) -> None:

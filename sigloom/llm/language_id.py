@@ -208,8 +208,11 @@ def train(docs: DataFrame, families: dict[str, str] = FAMILIES, per_language: in
     for f in sorted(set(family)):
         own = [i for i, x in enumerate(family) if x == f]
         within[f] = _contest([rows[i] for i in own], sorted({lang[i] for i in own}), [lang[i] for i in own])
-    return {"family": _contest(rows, sorted(set(family)), family), "within": within,
-            "cover": _cover(counts, lang)}
+    model = {"family": _contest(rows, sorted(set(family)), family), "within": within,
+             "cover": _cover(counts, lang)}
+    del got, counts, rows
+    th.give_back()  # the driver would keep the learned counts' memory to its end
+    return model
 
 
 def _decide(contest: dict, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -335,3 +335,21 @@ def test_store_settles_a_grown_heap(spark, monkeypatch):
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     total = runtime.totalMemory()
     assert not common.heap_grown(spark) or total > runtime.maxMemory() // 4
+
+
+def test_store_keeps_short_plan_texts(spark):
+    """While a table is written, the driver keeps no plan text beyond the limit; the session's setting is as before."""
+    key, wide = "spark.sql.maxPlanStringLength", spark.range(3).selectExpr(*[f"id + {i} AS c{i}" for i in range(2000)])
+    given, kept = spark.conf.get(key), spark._jsparkSession.sharedState().statusStore()
+    before = kept.executionsCount()
+    out = common.store(wide)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = kept.executionsList(int(before), 10)
+    texts = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    assert texts and max(map(len, texts)) <= common.PLAN_TEXT
+    assert out.count() == 3 and spark.conf.get(key) == given
+    with common.short_plan_texts(spark):
+        spark.conf.set(key, "500")
+        with common.short_plan_texts(spark):
+            assert spark.conf.get(key) == "500"
+    assert spark.conf.get(key) == given
