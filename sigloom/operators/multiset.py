@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint as _ckpt
+from ..session import shuffle_partitions, stored
 
 # A signature with more distinct parts than this is not held as an array: it is
 # matched through the exact shared-part join instead of the walk over subsets.
@@ -36,6 +36,13 @@ FILTER_BITS = (1 << 16, 1 << 27)
 # Subsets that the walk extends at once, so that its memory is bounded.
 WALK_ROWS = 1 << 20
 
+# A round of related counts meets about so many pairs of classes, the first one takes at most so
+# many classes, the least round is one slice; what a round shuffles goes when it ends.
+ROUND_PAIRS, ROUND_CLASSES, SLICES = 1 << 27, 1 << 20, 1 << 12
+
+# Classes that one task walks: at least, unless the tasks are as many as shuffle partitions; at most.
+TASK_CLASSES = 4_000, 50_000
+
 _MASK32 = 0xFFFFFFFF
 FP = ("f1", "f2", "f3", "f4")
 
@@ -112,7 +119,8 @@ def _filters(classes: DataFrame, n_bits: int) -> np.ndarray:
 
 
 def _walk(batches: Iterator[pa.RecordBatch], filters: np.ndarray, n_bits: int) -> Iterator[pa.RecordBatch]:
-    """Subsets of every class's set that may be the set of a class: ``(s1, s2, c1, c2, arity, n)``.
+    """Subsets of every class's set that may be the set of a class: ``(s1, s2)`` and the class's columns but ``ps``
+    (its own ``s1, s2`` as ``c1, c2``).
 
     Sets are sorted, so every subset is reached once, over its beginnings; only
     beginnings that some set has are extended.
@@ -122,7 +130,7 @@ def _walk(batches: Iterator[pa.RecordBatch], filters: np.ndarray, n_bits: int) -
         return (filters[f][bit >> 6] >> (bit & 63)) & 1 == 1
 
     for batch in batches:
-        ps = batch.column("ps")
+        ps, kept = batch.column("ps"), [x for x in batch.schema.names if x != "ps"]
         ends = ps.offsets.to_numpy().astype(np.int64)
         size, base = np.diff(ends), ends[0]
         parts = ps.flatten()
@@ -143,9 +151,9 @@ def _walk(batches: Iterator[pa.RecordBatch], filters: np.ndarray, n_bits: int) -
             begun = has(0, x1)
             x1, x2, row, part = x1[begun], x2[begun], row[begun], part[begun]
             whole = has(1, x2)
-            found = batch.select(["s1", "s2", "arity", "n"]).take(pa.array(row[whole]))
+            found = batch.select(kept).take(pa.array(row[whole]))
             yield pa.RecordBatch.from_arrays([pa.array(x1[whole]), pa.array(x2[whole]), *found.columns],
-                                             ["s1", "s2", "c1", "c2", "arity", "n"])
+                                             ["s1", "s2", *({"s1": "c1", "s2": "c2"}.get(x, x) for x in kept)])
             more = part + 1 < last[row]
             if more.any():
                 waiting.append((row[more], part[more] + 1, x1[more], x2[more]))
@@ -162,45 +170,66 @@ def related_signature_counts(parts: DataFrame, id_col: str = "id", leaf: str = "
     over the subsets of its set (at most ``enum_limit`` parts) that are the set
     of a class too, along the beginnings of sets that exist, and meets those
     classes on the set's two 64-bit hashes: rows grow with related classes, not
-    with 2^k. Pairs that involve a larger signature are found exactly by a join
-    on shared parts, counting shared parts per pair; they are rare because their
-    number is bounded by rows / enum_limit.
+    with 2^k. Parts are shuffled once, by signature, and signatures and classes
+    are stored; classes walk in rounds of about ``ROUND_PAIRS`` met classes, so
+    the disk that shuffles take does not grow with the pairs. Pairs that involve
+    a larger signature are found exactly by a join on shared parts, counting
+    shared parts per pair; they are rare because their number is bounded by
+    rows / enum_limit.
     """
     h = leaf_hashes(parts.select(id_col, leaf), leaf).where(F.col(id_col).isNotNull())
     h = h.select(id_col, F.shiftleft("f2", 32).bitwiseOR(F.col("f1")).alias("h1"),
                  F.shiftleft("f4", 32).bitwiseOR(F.col("f3")).alias("h2"))
-    rows = (h.groupBy(id_col, "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    # all steps below group by the signature first, so this is their only shuffle
+    rows = (h.repartition(F.col(id_col)).groupBy(id_col, "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(id_col))))
-    sets = rows.groupBy(id_col).agg(
+    sets = stored(rows.groupBy(id_col).agg(
         F.sum("n").alias("arity"), F.max("k").alias("k"), F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2"),
-        F.array_sort(F.collect_list(F.when(F.col("k") <= enum_limit, F.struct("h1", "h2")))).alias("ps"))
+        F.array_sort(F.collect_list(F.when(F.col("k") <= enum_limit, F.struct("h1", "h2")))).alias("ps")))
     key = ["s1", "s2", "arity"]
     shape = sets.select(id_col, "k", *key)
     # a set has one k, so the first array of a class is that of all its signatures (empty for a large set)
-    classes = _ckpt(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.first("ps").alias("ps")))
+    classes = stored(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.first("ps").alias("ps"))
+                     .withColumn("c", F.monotonically_increasing_id()))
     small = classes.where(F.col("k") <= enum_limit)
     n_small, n_large = classes.agg(F.count_if(F.col("k") <= enum_limit), F.count_if(F.col("k") > enum_limit)).first()
-
-    n_bits = min(max(1 << (8 * n_small).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    shared = parts.sparkSession.sparkContext.broadcast(_filters(small, n_bits))
-    met = (small.select("s1", "s2", "arity", "n", "ps")
-           .mapInArrow(lambda b: _walk(b, shared.value, n_bits), "s1 long, s2 long, c1 long, c2 long, arity long, n long"))
-    # q with its own set of parts, and the classes that hold it
-    pairs = (small.select("s1", "s2", F.col("arity").alias("aq"), F.col("n").alias("nq"))
-             .join(met.withColumnsRenamed({"arity": "ad", "n": "nd"}), ["s1", "s2"]).where("aq <= ad"))
-    # A: arity(d) >= arity(q) and distinct(q) is one of d's subsets; B: the longer one of such a pair as the query
-    sides = F.array(F.struct("s1", "s2", F.col("aq").alias("arity"), F.col("nd").alias("m")),
-                    F.struct(F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.col("ad").alias("arity"),
-                             F.when(F.col("aq") < F.col("ad"), F.col("nq")).alias("m")))
-    counts = (pairs.select(F.explode(sides).alias("x")).select("x.*").where("m is not null")
-              .groupBy(*key).agg(F.sum("m").alias("m")))
-    hits = shape.join(counts, key, "left").select(id_col, "arity", F.coalesce("m", F.lit(0)).alias("n_related"))
+    counts = _class_counts(small, n_small).groupBy("c").agg(F.sum("m").alias("m"))
+    hits = (shape.join(classes.select(*key, "c").join(counts, "c"), key, "left")
+            .select(id_col, "arity", F.coalesce("m", F.lit(0)).alias("n_related")))
     if not n_large:
         return hits
     return (hits.unionByName(_large_counts(rows.select(id_col, "h1", "h2"), shape, id_col, enum_limit))
             .groupBy(id_col).agg(F.max("arity").alias("arity"), F.sum("n_related").alias("n_related")))
 
 
+def _class_counts(small: DataFrame, n_small: int) -> DataFrame:
+    """``(c, m)``: parts of the number of signatures related to those of class ``c``, to be summed.
+
+    ``small`` is a stored table ``(s1, s2, arity, n, ps, c)`` of ``n_small`` classes; a round takes a slice of them."""
+    n_bits = min(max(1 << (8 * n_small).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    shared = small.sparkSession.sparkContext.broadcast(_filters(small, n_bits))
+    place = F.pmod(F.xxhash64("c"), F.lit(SLICES))
+    # q with its own set of parts, and the classes that hold it
+    q = small.select("s1", "s2", F.col("arity").alias("aq"), F.col("n").alias("nq"), F.col("c").alias("cq"))
+    # A: arity(d) >= arity(q) and distinct(q) is one of d's subsets; B: the longer one of such a pair as the query
+    sides = F.array(F.struct(F.col("cq").alias("c"), F.col("n").alias("m")),
+                    F.struct("c", F.when(F.col("aq") < F.col("arity"), F.col("nq")).alias("m")))
+    sums, at, width = None, 0, max(1, SLICES * ROUND_CLASSES // max(n_small, ROUND_CLASSES))
+    while at < SLICES:
+        seen = Observation()
+        n = n_small * width // SLICES
+        tasks = max(min(shuffle_partitions(small.sparkSession), n // TASK_CLASSES[0] + 1), n // TASK_CLASSES[1])
+        met = (small.where((place >= at) & (place < at + width)).select("c", "arity", "n", "ps").repartition(tasks, "c")
+               .mapInArrow(lambda b: _walk(b, shared.value, n_bits), "s1 long, s2 long, c long, arity long, n long")
+               .observe(seen, F.count(F.lit(1)).alias("pairs")))
+        pairs = q.join(met, ["s1", "s2"]).where("aq <= arity").select(F.explode(sides).alias("x")).select("x.*")
+        got = stored(pairs.where("m is not null").groupBy("c").agg(F.sum("m").alias("m")))
+        sums = got if sums is None else sums.unionByName(got)
+        at, width = at + width, max(1, min(8 * width, width * ROUND_PAIRS // max(1, seen.get["pairs"])))
+    shared.destroy()
+    return sums
+
+
 def _large_counts(dl: DataFrame, shape: DataFrame, id_col: str, enum_limit: int) -> DataFrame:
     """Pairs with at least one signature of more than ``enum_limit`` distinct parts, via shared distinct parts."""
     big_ids = shape.where(F.col("k") > enum_limit).select(id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     when the setting is absent (tests, local runs)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and read it back (cuts lineage).
+
+    Columns are packed, unlike a checkpoint's rows, and the shuffle files of the job that
+    writes are dropped when it ends instead of staying until the driver collects its plan."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    given = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+    return spark.read.schema(df.schema).parquet(path)
