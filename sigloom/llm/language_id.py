@@ -10,7 +10,8 @@ A contest always has a winner, so what no learned language covers is found apart
 mean log-probability of its ``_COVER``-grams, each taken from the learned language where it is most frequent (a
 mix of learned languages is covered). A text is ``und`` if its cover lies more than ``limit`` deviations below the
 usual cover of the language that won; the deviation shrinks with the text's length, so a text of a few letters is
-rarely rejected. Usual cover, deviation and limit are calibrated on the learned texts, each half scored with the
+rarely rejected. Words that hold a digit (keys, addresses, numbers) are in no language and count only in a text that has
+no others. Usual cover, deviation and limit are calibrated on the learned texts, each half scored with the
 tables of the other half. A language with less than two different texts has no limit.
 
 Training is bounded: at most about ``PER_LANGUAGE`` labelled texts of each language, chosen by a hash of
@@ -170,11 +171,25 @@ def _cover(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> dict:
     return {"table": whole, "known": known}
 
 
+def _worded(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The bytes of a slice of texts, blank where a word holds a digit, unless the text has a letter in no other word."""
+    gap, first = th.SPACE[buf], np.zeros(len(buf) + 1, bool)
+    first[offs[:-1]] = True
+    word = np.cumsum(~gap & (first[:-1] | np.concatenate([[True], gap[:-1]])))
+    digit = (buf >= 48) & (buf <= 57)
+    if not digit.any():
+        return buf
+    out = np.where(np.bincount(word[digit], minlength=word[-1] + 1)[word] > 0, np.uint8(0x20), buf)
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    left = np.bincount(text[_CHAR[out] != 0x20], minlength=len(offs) - 1) > 0
+    return np.where(left[text], out, buf)
+
+
 def _uncovered(cover: dict, langs: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Which texts lie below the limit of the language that they were given."""
     texts, out = len(langs), np.zeros(len(langs), bool)
     total, n, seen = np.zeros(texts), np.zeros(texts), [np.zeros(0, np.int64)]
-    for slot, text in _grams(buf, offs, (_COVER,)):
+    for slot, text in _grams(_worded(buf, offs), offs, (_COVER,)):
         slot = slot - ORDERS.index(_COVER) * SIZE
         n += np.bincount(text, minlength=texts)
         total += np.bincount(text, cover["table"][slot], texts)
@@ -280,7 +295,10 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     return out.select(*keep, F.col("__j.lang").alias("lang_pred"), F.col("__j.score").alias("score"), F.col("__j.covered").alias("covered"))
 
 
-def accepted(docs: DataFrame, model: dict | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are not rejected: a language was found and covers the text, with a score of ``least`` or more."""
+def accepted(docs: DataFrame, model: dict | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that are not rejected: a language was found and covers the text, with a score of ``least`` or more.
+
+    A winner of three or more that lost a contest scores below 0.5; its text is still in that language, so by default
+    no score rejects."""
     out = docs.withColumn("__j", judged(train(docs) if model is None else model, docs))
     return out.where(F.col("__j.covered") & (F.col("__j.score") >= least)).select(*docs.columns)
